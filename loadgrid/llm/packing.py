@@ -17,6 +17,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
+from loadgrid.llm.common import chunks
+
 CAPACITY = 2048
 OPEN_BINS = 4096
 PIECES_PER_SHARD = 8192
@@ -102,22 +104,12 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
-def chunks(texts: pa.Array, most: int = CHUNK_BYTES):
-    """Slices of texts of about that many bytes, as (start, length)."""
-    sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))
-    at = 0
-    while at < len(sizes):
-        end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + most)))
-        yield at, end - at
-        at = end
-
-
 def _pieces_of(tokenizer: str, capacity: int, end: int):
     def run(batches):
         encode = Ids(tokenizer)
         for b in batches:
             texts = pc.fill_null(b.column(1), "")
-            for at, n in chunks(texts):
+            for at, n in chunks(texts, CHUNK_BYTES):
                 yield piece_table(b.column(0).slice(at, n), *encode(texts.slice(at, n)), capacity, end)
 
     return run
