@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loadgrid.llm import exact_dedup, mixing, near_dedup, packing, quality, secrets, topk, url_filter
+from loadgrid.llm import exact_dedup, mixing, near_dedup, packing, quality, secrets, topk, toxicity, url_filter
 from loadgrid.llm.common import table
 
 
@@ -40,6 +40,10 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filter_urls(table(spark, sf_dir, "pages"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op8_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -48,7 +52,7 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_secret_scan, op4_source_mix, op7_exact_top_k, op8_quality, op10_url_filter, op9_exact_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_secret_scan, op4_source_mix, op5_toxicity, op7_exact_top_k, op8_quality, op10_url_filter, op9_exact_dedup)}
 
 ORACLE: dict = {}
 
