@@ -209,3 +209,12 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rows_ = seen.select("id", *key).join(roots, key, "left")
     component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id"))
     return rows_.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+
+
+def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
+    """docs with one row of each group of near_groups(); columns and other rows stay as they are.
+
+    Rows with a null id stay if near_groups() keeps any such row.
+    """
+    kept = near_groups(docs, id_col, text_col, width, percent).where("kept").select(F.col(id_col).alias("__keep")).distinct()
+    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("__keep")), "left_semi")

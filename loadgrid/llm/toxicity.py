@@ -41,7 +41,7 @@ SYMBOLS = 28  # 0: no letter, 1 to 26: a to z, 27: any other letter
 MEMO = 200_000
 
 _SUSPICIOUS = re.compile(r"[^\W\d_][0-9@$!|+(<€£¥.\-_*~'^,/\\]+[^\W_]|[0-9@$!|+(<€£¥][^\W\d_]|([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)(?:\S[ .\-_*]){3,40}\S(?!\S)")
+_SPACED = re.compile(r"(?<!\S)(?:\S[ .\-_*]){3,40}\S(?!\w)")
 _RUN = re.compile(r"[^\W\d_]+")
 
 
@@ -282,3 +282,19 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
     return scored.select(
         F.col("id").alias(id_col), F.coalesce(fold(F.col("id"), folds) == held, F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted")
     )
+
+
+def without_toxic(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 0, most: float = 0.5) -> DataFrame:
+    """docs without the rows whose score is most or more; columns and other rows stay as they are."""
+    known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).alias("label"))
+    model, vocabulary, weights, offset = train(docs, known.where(fold(F.col("id"), folds) != held), text_col, id_col)
+    at = docs.columns.index(text_col)
+
+    def keep(batches):
+        signs_ = Signs(model, vocabulary)
+        least = np.log(most / (1 - most))
+        for b in batches:
+            clean = [offset + sum(weights[h] for h in signs_.of(text or "")) < least for text in b.column(at).to_pylist()]
+            yield b.filter(pa.array(clean, pa.bool_()))
+
+    return docs.mapInArrow(keep, docs.schema)
