@@ -11,6 +11,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loadgrid.operators.tables import written
+
 _ASSIGN = r"""([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 
 
@@ -86,7 +88,8 @@ def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple
 def findings(docs: DataFrame, ledger: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple = RULES) -> DataFrame:
     """Every row of docs as (id_col, blob, spans), spans sorted by start, then kind, of the rules' present versions."""
     current = ledger.where(F.concat_ws("/", "kind", F.col("version").cast("string")).isin([f"{r.kind}/{r.version}" for r in rules]))
-    by_blob = current.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"))
+    # written, so that the join deals both sides out anew and Spark may split a blob that many rows hold
+    by_blob = written(current.groupBy("blob").agg(F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans")))
     rows = versions(docs, id_col, text_col).select("id", "blob")
     return rows.join(by_blob, "blob", "left").select(F.col("id").alias(id_col), "blob", F.coalesce("spans", F.array().cast(f"array<{SPAN}>")).alias("spans"))
 
