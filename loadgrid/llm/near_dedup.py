@@ -9,8 +9,10 @@ into bands; documents that share a band are candidates, and a candidate pair is
 Large groups of copies cost no pairs within the group:
 1. Equal sets form a class that is represented by its smallest id.
 2. In each bucket every member is compared with one leader, the smallest id.
-3. Members of a bucket that are still in different components are compared with each other, unless the distances to a
-   common leader already rule a link out: Jaccard distance is a metric, so |d(a, leader) - d(b, leader)| <= d(a, b).
+3. While buckets hold several components and many open pairs, each is given other leaders in turn, and members outside
+   the leader's component are compared with it.
+4. Members of a bucket that are still in different components are compared with each other, unless the distances to the
+   first leader already rule a link out: Jaccard distance is a metric, so |d(a, leader) - d(b, leader)| <= d(a, b).
 Every pair that shares a bucket is thus linked, in the same component, or surely no link.
 """
 
@@ -27,7 +29,9 @@ BANDS, ROWS = 24, 4
 #: A pair at the threshold of 0.8 shares no band with probability (1 - 0.8**4)**24 = 3e-6.
 CHUNK_BYTES = 4_000_000
 #: Members that one task compares with a leader at a time.
-GROUP = 256
+GROUP = 64
+#: Other leaders are tried while a bucket has more open pairs than this for each of its members, in so many turns at most.
+PAIRS_PER_ROW, MOST_TURNS = 4, 16
 #: Candidates' ids are sent to all executors up to this many (8 MB), else joined by a shuffle.
 FEW_IDS = 1_000_000
 EMPTY = np.uint64(2**64 - 1)
@@ -190,20 +194,43 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     is_link = F.expr(f"100 * common >= {percent} * whole")
     parts = components(first.where(is_link).select("a", "b"))
 
+    def open_buckets(parts: DataFrame) -> DataFrame:
+        """Members of buckets that still hold several components."""
+        named = inside.join(parts, inside["node"] == parts["node"], "left").select(inside["*"], F.coalesce("component", inside["node"]).alias("part"))
+        split = named.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("bucket")
+        return written(named.join(split, "bucket"))
+
+    def unseen(pairs: DataFrame, known: DataFrame) -> DataFrame:
+        ends = lambda df: df.select("a", "b", F.least("a", "b").alias("__x"), F.greatest("a", "b").alias("__y"))
+        fresh = ends(pairs).dropDuplicates(["__x", "__y"])
+        return written(fresh.join(ends(known).select("__x", "__y"), ["__x", "__y"], "left_anti").select("a", "b"))
+
+    # other leaders, as long as many pairs are open: each joins most of what its group has left
+    known, open_ = first, open_buckets(parts)
+    for turn in range(1, MOST_TURNS + 1):
+        own = open_.groupBy("bucket", "part").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
+        left, n_rows = own.agg(F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2), F.lit(0.0)), F.coalesce(F.sum("k"), F.lit(0))).first()
+        if left <= PAIRS_PER_ROW * n_rows:
+            break
+        lead = open_.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("n").alias("lead_n"), F.col("part").alias("lead_part"))).alias("l")).select("bucket", "l.*")
+        cand = open_.join(lead, "bucket").where(F.col("part") != F.col("lead_part")).where(fits("n", "lead_n")).select("a", F.col("node").alias("b"))
+        more = written(compared(unseen(cand, known), texts, width))
+        known = known.unionByName(more)
+        found = more.where(is_link).select("a", "b")
+        if not found.isEmpty():
+            parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
+            open_ = open_buckets(parts)
+
     # what is left: members of a bucket in different components
-    named = inside.join(parts, inside["node"] == parts["node"], "left").select(inside["*"], F.coalesce("component", inside["node"]).alias("part"))
-    split = named.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("bucket")
     far = first.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("common") / F.col("whole")).alias("far"))
-    open_ = named.join(split, "bucket").join(far, ["leader", "node"], "left")
+    open_ = open_.join(far, ["leader", "node"], "left")
     open_ = written(open_.select("bucket", "node", "n", "leader", "part", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.col("far")).alias("far")))
     x, y = (open_.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "part", "far"))) for s in "xy")
-    # members of the leader's component meet others; others meet each other once
     pair = x.join(y, "bucket").where("part_x <> part_y AND node_x < node_y").where(fits("n_x", "n_y"))
     near = F.abs(F.col("far_x") - F.col("far_y")) <= (1 - percent / 100) + 1e-9
-    rest = pair.where(F.coalesce(near, F.lit(True))).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")).distinct()
-    rest = written(rest.join(first.select("a", "b"), ["a", "b"], "left_anti"))
-    links = first.where(is_link).select("a", "b").unionByName(compared(rest, texts, width).where(is_link).select("a", "b"))
-    final = components(links)
+    rest = unseen(pair.where(F.coalesce(near, F.lit(True))).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")), known)
+    found = compared(rest, texts, width).where(is_link).select("a", "b")
+    final = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
 
     roots = classes.join(final, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))
     rows_ = seen.select("id", *key).join(roots, key, "left")
