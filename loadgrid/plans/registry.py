@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from loadgrid.plans import interval_queries
+
 QUERIES: dict = {}
 ORACLE: dict = {}
+for _part in (interval_queries,):
+    QUERIES |= _part.QUERIES
+    ORACLE |= _part.ORACLE
 
 
 def entry(spark, sf_dir):

@@ -1,0 +1 @@
+"""Nothing yet: all jobs of this library are batch jobs, and no operator of its inventory is a stream."""
