@@ -121,7 +121,7 @@ def compare_spans(left: DataFrame, right: DataFrame, atol: float = 1e-5) -> Data
     same = F.coalesce((F.col("start_time_a") == F.col("start_time_b")) & (F.col("num_values_a") == F.col("num_values_b")), F.lit(False))
     step = F.coalesce(F.col("sample_interval_s_a") == F.col("sample_interval_s_b"), F.lit(False))
     checks = joined.agg(F.count_if(~same).alias("span"), F.count_if(same & ~step).alias("interval"), F.count_if(same & ~close(F.col("values_a"), F.col("values_b"), atol)).alias("value"))
-    counts = places.agg(F.count_if("in_b IS NULL").alias("only_left"), F.count_if("in_a IS NULL").alias("only_right"))
+    counts = places.agg(F.count_if(F.col("in_b").isNull()).alias("only_left"), F.count_if(F.col("in_a").isNull()).alias("only_right"))
     wide = checks.crossJoin(counts)
     each = F.array(*(F.struct(F.lit(c).alias("check"), (F.col(c) == 0).alias("passed"), F.col(c).alias("n")) for c in ("only_left", "only_right", "span", "interval", "value")))
     return wide.select(F.inline(each))

@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from loadgrid.plans import interval_queries
+from loadgrid.plans import interval_queries, series_queries
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _part in (interval_queries,):
+for _part in (interval_queries, series_queries):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
 
