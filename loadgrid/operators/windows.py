@@ -230,7 +230,8 @@ def variates(windows: DataFrame, keys: list[str], features: dict[str, tuple[str,
     for name, (values, mask) in features.items():
         shown = F.zip_with(F.col(values), F.col(mask), lambda v, m: F.when(m == 1, v))
         if name == target:
-            shown = F.transform(shown, lambda v, i, n=F.size(values): F.when(i < n - predict, v))
+            last = F.size(values) - predict
+            shown = F.transform(shown, lambda v, i: F.when(i < last, v))  # noqa: B023
         each.append(F.struct(F.lit(name).alias("variate"), shown.alias("values")))
     return windows.select(F.xxhash64(*keys).alias("group"), *keys, F.inline(F.array(*each)))
 

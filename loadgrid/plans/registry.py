@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from loadgrid.plans import interval_queries, series_queries
+from loadgrid.plans import interval_queries, release_queries, score_queries, series_queries, window_queries
 
 QUERIES: dict = {}
 ORACLE: dict = {}
-for _part in (interval_queries, series_queries):
+for _part in (interval_queries, series_queries, window_queries, score_queries, release_queries):
     QUERIES |= _part.QUERIES
     ORACLE |= _part.ORACLE
 
