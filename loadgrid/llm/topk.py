@@ -192,7 +192,7 @@ def blocks(cells: DataFrame, rows: int) -> DataFrame:
     return salted.select("id", "v", "dim", "cell", F.pmod(F.xxhash64("id"), "salts").alias("salt")).groupBy("dim", "cell", "salt").applyInArrow(_block, BLOCK)
 
 
-FOUND = "query_id long, vec_id long, score long, cell int, salt long"
+FOUND = "query_id long, vec_id long, score long, dim int, cell int, salt long"
 
 
 def _search(k: int):
@@ -214,7 +214,7 @@ def _search(k: int):
         total = sum(n)
         return pa.table({
             "query_id": pa.array(np.repeat(queries.ids, n), pa.int64()), "vec_id": cat(best.ids, pa.int64()), "score": cat(best.scores, pa.int64()),
-            "cell": pa.array([rows[0]["cell"]] * total, pa.int32()), "salt": pa.array([rows[0]["salt"]] * total, pa.int64()),
+            "dim": pa.array([rows[0]["dim"]] * total, pa.int32()), "cell": pa.array([rows[0]["cell"]] * total, pa.int32()), "salt": pa.array([rows[0]["salt"]] * total, pa.int64()),
         })
 
     return run
@@ -263,10 +263,10 @@ def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vect
     home = F.col("cell") == F.col("d_cell")
     own = written(searched(pairs.where(home).select("dim", "cell", "salt", "d_cell", "d_salt", F.lit(None).cast("double").alias("worst")), queries, data, k))
     kth = own.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") == k)
-    have = kth.groupBy("cell", "salt").agg(F.min("score").cast("double").alias("worst"), F.count("*").alias("have"))
+    have = kth.groupBy("dim", "cell", "salt").agg(F.min("score").cast("double").alias("worst"), F.count("*").alias("have"))
     # a block's bound holds only if all its queries have k rows
-    have = queries.select("cell", "salt", "n").join(have, ["cell", "salt"]).where("have = n").select("cell", "salt", "worst")
-    others = pairs.where(~home).join(have, ["cell", "salt"], "left").mapInArrow(_bounded, "dim int, cell int, salt long, d_cell int, d_salt long, worst double")
+    have = queries.select("dim", "cell", "salt", "n").join(have, ["dim", "cell", "salt"]).where("have = n").select("dim", "cell", "salt", "worst")
+    others = pairs.where(~home).join(have, ["dim", "cell", "salt"], "left").mapInArrow(_bounded, "dim int, cell int, salt long, d_cell int, d_salt long, worst double")
     rest = searched(written(others), queries, data, k)
     ranked = own.unionByName(rest).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
