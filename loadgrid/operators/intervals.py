@@ -1,8 +1,8 @@
 """Set algebra on half-open intervals [start, stop) per location.
 
-All sets are DataFrames (location_id, start, stop) of longs; times are Unix seconds. Windows are always partitioned by
-location, and events at one time are summed before a window sees them. Results are clean: sorted out, disjoint and not
-adjacent. Rows with a null are no intervals.
+All sets are DataFrames (location_id, start, stop) of longs; times are Unix seconds. Sweeps are partitioned by location and
+a bucket of time, and events at one time are summed before a window sees them. Results are clean: sorted out, disjoint and
+not adjacent. Rows with a null are no intervals.
 """
 
 from __future__ import annotations
@@ -13,42 +13,59 @@ from loadgrid.functions.scalars import location_id
 
 LOC, START, STOP = "location_id", "start", "stop"
 FAR = 2**62
+#: Seconds that one task sweeps of a location at least.
+BUCKET = 180 * 86400
 
 
-def clean(a: DataFrame) -> DataFrame:
+def _events(x: DataFrame, da: int, db: int) -> DataFrame:
+    """(location_id, t, da, db): what opens and closes at a time."""
+    real = x.where(F.col(STOP) > F.col(START))
+    ends = F.array(*(F.struct(F.col(c).alias("t"), F.lit(s * da).alias("da"), F.lit(s * db).alias("db")) for c, s in ((START, 1), (STOP, -1))))
+    return real.select(LOC, F.inline(ends))
+
+
+def _runs(events: DataFrame, keep, bucket: int) -> DataFrame:
+    """Maximal intervals where keep(in_a, in_b) holds, a condition on the numbers of open intervals; keep(0, 0) doesn't.
+
+    Events are summed per time, then swept in buckets of time, so that a location with many events is shared out among
+    tasks. A bucket starts from the sums of those before it, and its last run stops at the first change after it; only
+    one row per location and bucket is swept over a whole location.
+    """
+    net = events.groupBy(LOC, F.floor(F.col("t") / bucket).alias("__b"), "t").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
+    by_loc = Window.partitionBy(LOC).orderBy("__b")
+    before = by_loc.rowsBetween(Window.unboundedPreceding, -1)
+    zero = lambda c: F.coalesce(c, F.lit(0).cast("long"))
+    carry = net.groupBy(LOC, "__b").agg(F.sum("da").alias("a"), F.sum("db").alias("b")).select(LOC, "__b", zero(F.sum("a").over(before)).alias("__a0"), zero(F.sum("b").over(before)).alias("__b0"))
+    w = Window.partitionBy(LOC, "__b").orderBy("t")
+    upto = w.rowsBetween(Window.unboundedPreceding, 0)
+    rows = net.join(carry, [LOC, "__b"]).withColumns({"in_a": F.col("__a0") + F.sum("da").over(upto), "in_b": F.col("__b0") + F.sum("db").over(upto)})
+    rows = rows.withColumn("__keep", keep(F.col("in_a"), F.col("in_b")))
+    rows = rows.withColumn("__was", F.coalesce(F.lag("__keep").over(w), keep(F.col("__a0"), F.col("__b0"))))
+    turns = rows.where(F.col("__keep") != F.col("__was")).select(LOC, "__b", "t", "__keep")
+    after = turns.groupBy(LOC, "__b").agg(F.min("t").alias("__first")).select(LOC, "__b", F.lead("__first").over(by_loc).alias("__next"))
+    ended = turns.withColumn(STOP, F.lead("t").over(w)).join(after, [LOC, "__b"])
+    return ended.where("__keep").select(LOC, F.col("t").alias(START), F.coalesce(STOP, "__next").alias(STOP))
+
+
+def clean(a: DataFrame, bucket: int = BUCKET) -> DataFrame:
     """Drops empty and reversed intervals and merges those that overlap or touch."""
-    w = Window.partitionBy(LOC).orderBy(START, STOP)
-    reach = F.max(STOP).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = a.select(LOC, START, STOP).where(F.col(STOP) > F.col(START)).withColumn("__new", F.when(F.col(START) <= reach, 0).otherwise(1))
-    rows = rows.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(LOC, "__island").agg(F.min(START).alias(START), F.max(STOP).alias(STOP)).drop("__island")
+    return _runs(_events(a, 1, 0), lambda x, y: x > 0, bucket)
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return clean(a.select(LOC, START, STOP).unionByName(b.select(LOC, START, STOP)))
 
 
-def _sweep(a: DataFrame, b: DataFrame, keep: Column) -> DataFrame:
-    """Where keep holds, an expression on in_a and in_b, the numbers of open intervals of either set."""
-
-    def events(x: DataFrame, da: int, db: int) -> DataFrame:
-        real = x.where(F.col(STOP) > F.col(START))
-        ends = F.array(*(F.struct(F.col(c).alias("t"), F.lit(s * da).alias("da"), F.lit(s * db).alias("db")) for c, s in ((START, 1), (STOP, -1))))
-        return real.select(LOC, F.inline(ends))
-
-    w = Window.partitionBy(LOC).orderBy("t")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    net = events(a, 1, 0).unionByName(events(b, 0, 1)).groupBy(LOC, "t").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
-    parts = net.select(LOC, F.col("t").alias(START), F.lead("t").over(w).alias(STOP), F.sum("da").over(upto).alias("in_a"), F.sum("db").over(upto).alias("in_b"))
-    return clean(parts.where(keep))
+def _sweep(a: DataFrame, b: DataFrame, keep, bucket: int = BUCKET) -> DataFrame:
+    return _runs(_events(a, 1, 0).unionByName(_events(b, 0, 1)), keep, bucket)
 
 
 def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
-    return _sweep(a, b, (F.col("in_a") > 0) & (F.col("in_b") == 0))
+    return _sweep(a, b, lambda x, y: (x > 0) & (y == 0))
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
-    return _sweep(a, b, (F.col("in_a") > 0) & (F.col("in_b") > 0))
+    return _sweep(a, b, lambda x, y: (x > 0) & (y > 0))
 
 
 def clip(a: DataFrame, low: int | Column, high: int | Column) -> DataFrame:
@@ -108,15 +125,19 @@ def locate(points: DataFrame, a: DataFrame, t: str = "t", carry: list[str] | Non
     """points with hit_start and hit_stop of the interval of a that holds them, null if none does.
 
     carry names further columns of a to bring along. a must be disjoint within a location. An as-of join: points and
-    starts are sorted together once per location, and the last start before a point is its candidate.
+    starts are sorted together per location and bucket of time, and the last start before a point is its candidate.
     """
     carry = carry or []
     payload = F.struct(F.col(START).alias("hit_start"), F.col(STOP).alias("hit_stop"), *carry)
     left = points.select(F.col(LOC).alias("__loc"), F.col(t).alias("__t"), F.lit(1).alias("__kind"), F.struct(*points.columns).alias("__row"))
     starts = a.where(F.col(STOP) > F.col(START)).select(F.col(LOC).alias("__loc"), F.col(START).alias("__t"), F.lit(0).alias("__kind"), payload.alias("__iv"))
-    both = left.unionByName(starts, allowMissingColumns=True)
-    w = Window.partitionBy("__loc").orderBy("__t", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("__iv", F.last("__iv", ignorenulls=True).over(w)).where("__kind = 1")
+    both = left.unionByName(starts, allowMissingColumns=True).withColumn("__b", F.floor(F.col("__t") / BUCKET))
+    # the last start before a bucket, from one row per location and bucket
+    lasts = starts.withColumn("__b", F.floor(F.col("__t") / BUCKET)).groupBy("__loc", "__b").agg(F.max_by("__iv", "__t").alias("__last"))
+    seen = both.select("__loc", "__b").distinct().join(lasts, ["__loc", "__b"], "left")
+    before = seen.withColumn("__from", F.last("__last", ignorenulls=True).over(Window.partitionBy("__loc").orderBy("__b").rowsBetween(Window.unboundedPreceding, -1))).drop("__last")
+    w = Window.partitionBy("__loc", "__b").orderBy("__t", "__kind").rowsBetween(Window.unboundedPreceding, 0)
+    found = both.join(before, ["__loc", "__b"], "left").withColumn("__iv", F.coalesce(F.last("__iv", ignorenulls=True).over(w), "__from")).where("__kind = 1")
     hit = F.when(F.col("__t") < F.col("__iv.hit_stop"), F.col("__iv"))
     return found.select("__row.*", *(hit[c].alias(c) for c in ("hit_start", "hit_stop", *carry)))
 
@@ -146,10 +167,11 @@ def with_coverage(a: DataFrame, length: int, least: int, resolution: int) -> Dat
     """Points x with at least `least` of [x, x + length) in a, to within resolution."""
     shifts = F.sequence(F.lit(0), F.lit((round(length / resolution) - 1) * resolution), F.lit(resolution))
     ends = F.array(F.struct(F.col(START).alias("t"), F.lit(1).alias("d")), F.struct(F.col(STOP).alias("t"), F.lit(-1).alias("d")))
-    events = a.select(LOC, F.inline(ends)).withColumn("s", F.explode(shifts)).groupBy(LOC, (F.col("t") - F.col("s")).alias("t")).agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(LOC).orderBy("t")
-    rows = events.select(LOC, F.col("t").alias(START), (F.lead("t").over(w) + resolution + 1).alias(STOP), F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("n"))
-    return union(add_duration(a, -least), rows.where((F.col("n") >= round(least / resolution)) & F.col(STOP).isNotNull()))
+    shifted = a.select(LOC, F.inline(ends)).withColumn("s", F.explode(shifts))
+    events = shifted.select(LOC, (F.col("t") - F.col("s")).alias("t"), F.col("d").alias("da"), F.lit(0).alias("db"))
+    enough = max(1, round(least / resolution))
+    runs = _runs(events, lambda x, y: x >= enough, BUCKET)
+    return union(add_duration(a, -least), runs.withColumn(STOP, F.col(STOP) + resolution + 1))
 
 
 def fill_gaps(a: DataFrame, gap_hours: int, context_days: int, valid_ratio: float) -> DataFrame:

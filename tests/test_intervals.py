@@ -37,8 +37,11 @@ def draw(seed, n):
     return [(rng.randrange(3), a := rng.randrange(SPAN), a + rng.randrange(-3, 15)) for _ in range(n)]
 
 
-@pytest.mark.parametrize(("n", "seed"), [(0, 1), (1, 2), (10, 3), (80, 4)])
-def test_set_operations(spark, n, seed):
+@pytest.mark.parametrize(("n", "seed", "bucket"), [(0, 1, 10**9), (1, 2, 10**9), (10, 3, 7), (80, 4, 10**9), (80, 5, 7), (30, 6, 1)])
+def test_set_operations(spark, monkeypatch, n, seed, bucket):
+    for f in (iv.clean, iv._sweep):
+        monkeypatch.setattr(f, "__defaults__", (bucket,))
+    monkeypatch.setattr(iv, "BUCKET", bucket)
     a, b = draw(seed, n), draw(seed + 100, n)
     x, y = frame(spark, a), frame(spark, b)
     p, q = seconds(a), seconds(b)
@@ -67,7 +70,9 @@ def test_window_starts_leave_the_stop_out(spark):
     assert {tuple(r) for r in iv.count_starts(a, 5).collect()} == {(1, 3), (2, 1)}
 
 
-def test_coverage_is_near_the_exact_one(spark):
+@pytest.mark.parametrize("bucket", [10**9, 77])
+def test_coverage_is_near_the_exact_one(spark, monkeypatch, bucket):
+    monkeypatch.setattr(iv, "BUCKET", bucket)
     rows = [(1, 0, 400), (1, 500, 900), (1, 1400, 2000)]
     data = seconds(rows)
     length, least, res = 500, 300, 10
@@ -80,7 +85,9 @@ def test_coverage_is_near_the_exact_one(spark):
             assert (1, t) not in inside
 
 
-def test_locate_matches_a_scan(spark):
+@pytest.mark.parametrize("bucket", [10**9, 6])
+def test_locate_matches_a_scan(spark, monkeypatch, bucket):
+    monkeypatch.setattr(iv, "BUCKET", bucket)
     a = [(1, 0, 10), (1, 15, 20), (2, 5, 6)]
     points = [(loc, t) for loc in (1, 2, 3) for t in range(-2, 25)]
     df = iv.locate(spark.createDataFrame(points, "location_id long, t long"), frame(spark, a))
