@@ -9,9 +9,10 @@ into bands; documents that share a band are candidates, and a candidate pair is
 Large groups of copies cost no pairs within the group:
 1. Equal sets form a class that is represented by its smallest id.
 2. In each bucket every member is compared with one leader, the smallest id.
-3. While buckets hold several components and many open pairs, each is given other leaders in turn, and members outside
-   the leader's component are compared with it.
-4. Members of a bucket that are still in different components are compared with each other, unless the distances to the
+3. While buckets hold several components and many open pairs, each is given other leaders from its largest component in
+   turn, and members outside that component are compared with it.
+4. If many pairs are open still, documents too many of whose shingles no other open one has are left out: they have no link.
+5. Members of a bucket that are still in different components are compared with each other, unless the distances to the
    first leader already rule a link out: Jaccard distance is a metric, so |d(a, leader) - d(b, leader)| <= d(a, b).
 Every pair that shares a bucket is thus linked, in the same component, or surely no link.
 """
@@ -30,8 +31,9 @@ BANDS, ROWS = 24, 4
 CHUNK_BYTES = 4_000_000
 #: Members that one task compares with a leader at a time.
 GROUP = 64
-#: Other leaders are tried while a bucket has more open pairs than this for each of its members, in so many turns at most.
-PAIRS_PER_ROW, MOST_TURNS = 4, 16
+#: Other leaders are tried while there are more open pairs than this for each class, in so many turns at most, and as
+#: long as one of two turns leaves no more than this share of them.
+PAIRS_PER_CLASS, MOST_TURNS, GAIN = 4, 16, 0.9
 #: Candidates' ids are sent to all executors up to this many (8 MB), else joined by a shuffle.
 FEW_IDS = 1_000_000
 EMPTY = np.uint64(2**64 - 1)
@@ -161,6 +163,24 @@ def compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
     return members.unionByName(leaders).groupBy("leader", "part").applyInArrow(_compare(width), "a long, b long, common long, whole long")
 
 
+def linkable(texts: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id) of texts (id, text) enough of whose shingles occur in another one of them too.
+
+    A link's intersection is at least percent of the union, so of either set: a text with fewer shared shingles has none.
+    """
+
+    def shingles(batches):
+        for b in batches:
+            for start, count in chunks(b.column(1), CHUNK_BYTES):
+                values, at = shingle_sets(b.column(1).slice(start, count), width)
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, count).take(pa.array(np.repeat(np.arange(count), np.diff(at)))), pa.array(values.view(np.int64))], names=["id", "shingle"])
+
+    each = written(texts.select("id", "text").mapInArrow(shingles, "id long, shingle long"))
+    often = each.groupBy("shingle").agg(F.count("*").alias("n")).select("shingle", (F.col("n") > 1).cast("int").alias("shared"))
+    sizes = each.join(often, "shingle").groupBy("id").agg(F.sum("shared").alias("shared"), F.count("*").alias("n"))
+    return sizes.where(100 * F.col("shared") >= percent * F.col("n")).select("id")
+
+
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """One row per row of docs: id_col, n_shingles, component_id, kept.
 
@@ -206,13 +226,18 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         return written(fresh.join(ends(known).select("__x", "__y"), ["__x", "__y"], "left_anti").select("a", "b"))
 
     # other leaders, as long as many pairs are open: each joins most of what its group has left
-    known, open_ = first, open_buckets(parts)
+    known, open_, n_classes, last = first, open_buckets(parts), classes.count(), None
+    stuck = 0
     for turn in range(1, MOST_TURNS + 1):
-        own = open_.groupBy("bucket", "part").agg(F.count("*").alias("k")).groupBy("bucket").agg(F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"))
-        left, n_rows = own.agg(F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2), F.lit(0.0)), F.coalesce(F.sum("k"), F.lit(0))).first()
-        if left <= PAIRS_PER_ROW * n_rows:
+        own = open_.groupBy("bucket", "part").agg(F.count("*").alias("k")).groupBy("bucket").agg(
+            F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.max(F.struct("k", "part"))["part"].alias("largest")
+        )
+        left = own.agg(F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2), F.lit(0.0))).first()[0]
+        stuck = stuck + 1 if last is not None and left > GAIN * last else 0
+        if left <= PAIRS_PER_CLASS * n_classes or stuck == 2:
             break
-        lead = open_.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("n").alias("lead_n"), F.col("part").alias("lead_part"))).alias("l")).select("bucket", "l.*")
+        last = left
+        lead = open_.join(own.select("bucket", "largest"), "bucket").where(F.col("part") == F.col("largest")).groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("n").alias("lead_n"), F.col("part").alias("lead_part"))).alias("l")).select("bucket", "l.*")
         cand = open_.join(lead, "bucket").where(F.col("part") != F.col("lead_part")).where(fits("n", "lead_n")).select("a", F.col("node").alias("b"))
         more = written(compared(unseen(cand, known), texts, width))
         known = known.unionByName(more)
@@ -221,6 +246,9 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
             open_ = open_buckets(parts)
 
+    if left > PAIRS_PER_CLASS * n_classes:
+        open_ = open_.join(linkable(texts.join(open_.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), width, percent).withColumnRenamed("id", "node"), "node", "left_semi")
+
     # what is left: members of a bucket in different components
     far = first.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("common") / F.col("whole")).alias("far"))
     open_ = open_.join(far, ["leader", "node"], "left")
