@@ -21,7 +21,8 @@ from pyspark.sql import DataFrame, functions as F
 from loadgrid.llm.common import written
 
 SLOTS = 4
-#: Entries of one task's index before it passes them on; bounds the memory of a task.
+#: Entries of one task's index before it passes them on; bounds the memory of a task. In the second step, which passes
+#: nothing on early, a task gets half of it on average.
 MAX_ENTRIES = 400_000
 
 
@@ -124,8 +125,11 @@ def later(id_a, row_a, id_b, row_b) -> bool:
     return id_a > id_b or (id_a == id_b and row_a < row_b)
 
 
-def _index(rows):
-    """Passes (digest, id, row, size) on with one row for each digest, whose id and row are the live one's."""
+def _index(most: int | None):
+    """Passes (digest, id, row, size) on with one row for each digest, whose id and row are the live one's.
+
+    With most, an index of more entries is passed on early, so a digest may come again: only for what is merged later.
+    """
 
     def out(index):
         entries = list(index.live())
@@ -135,22 +139,25 @@ def _index(rows):
                 names=["digest", "keep_id", "keep_row", "size"],
             )
 
-    index = CuckooIndex()
-    for batch in rows:
-        for key, i, row, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            entry = index.lookup(key)
-            if entry is None:
-                index.insert(key, i, row, size)
-            elif later(i, row, entry[1], entry[2]):
-                total = entry[3] + size
-                index.delete(key)
-                index.insert(key, i, row, total)
-            else:
-                entry[3] += size
-        if len(index) > MAX_ENTRIES:
-            yield from out(index)
-            index = CuckooIndex()
-    yield from out(index)
+    def run(rows):
+        index = CuckooIndex()
+        for batch in rows:
+            for key, i, row, size in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                entry = index.lookup(key)
+                if entry is None:
+                    index.insert(key, i, row, size)
+                elif later(i, row, entry[1], entry[2]):
+                    total = entry[3] + size
+                    index.delete(key)
+                    index.insert(key, i, row, total)
+                else:
+                    entry[3] += size
+            if most is not None and len(index) > most:
+                yield from out(index)
+                index = CuckooIndex()
+        yield from out(index)
+
+    return run
 
 
 def _digests(batches):
@@ -171,8 +178,10 @@ def live_index(rows: DataFrame) -> DataFrame:
     The result is itself such rows, so an index that was written can be updated with live_index(index union new).
     """
     schema = "digest binary, keep_id long, keep_row long, size long"
-    own = rows.select("digest", "id", "row", "size").mapInArrow(_index, schema)
-    return own.repartition("digest").mapInArrow(_index, schema)
+    own = written(rows.select("digest", "id", "row", "size").mapInArrow(_index(MAX_ENTRIES), schema))
+    # nobody merges what the second step passes on: its indexes are bounded by their number, which is set, so that none is joined to another
+    parts = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-2 * own.count() // MAX_ENTRIES))
+    return own.repartition(parts, "digest").mapInArrow(_index(None), schema)
 
 
 def remove(index: DataFrame, gone: DataFrame) -> DataFrame:

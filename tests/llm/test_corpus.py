@@ -99,6 +99,27 @@ def test_index_is_updated_and_emptied(spark):
     assert sorted(r.keep_id for r in exact_dedup.remove(both, b).collect()) == [2]
 
 
+def test_a_full_index_repeats_no_digest(spark, monkeypatch):
+    from pyspark import cloudpickle
+
+    monkeypatch.setattr(exact_dedup, "MAX_ENTRIES", 3)
+    texts = [(100 * k + i, f"text {i}", "") for k in range(4) for i in range(20)]
+    old = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.execution.arrow.maxRecordsPerBatch")}
+    cloudpickle.register_pickle_by_value(exact_dedup)  # so that tasks see the bound set here
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", 1)
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+        rows = exact_dedup.exact_dedup(docs(spark, texts).repartition(4)).collect()
+        left = exact_dedup.without_copies(docs(spark, texts).repartition(4)).collect()
+    finally:
+        cloudpickle.unregister_pickle_by_value(exact_dedup)
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(r.doc_id for r in rows) == sorted(i for i, _, _ in texts)
+    assert {r.group_size for r in rows} == {4}
+    assert sorted(r.doc_id for r in rows if r.kept) == sorted(r.doc_id for r in left) == [300 + i for i in range(20)]
+
+
 # near dedup
 def shingles(t, k):
     w = re.findall(r"[^\x20\x09-\x0D]+", lower(t or ""))
