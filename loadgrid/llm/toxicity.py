@@ -34,7 +34,8 @@ FIT_ROWS = 50_000
 FEW_LABELS = 2_000_000
 #: Signs without any meaning that are expected to be taken as evidence by chance, over all together, at most.
 ERROR = 1.0
-MAX_EVIDENCE = 20_000
+#: Evidence is sent to all tasks up to this many signs, else joined by a shuffle.
+FEW_SIGNS = 200_000
 RIDGE = 0.3
 BEGINNINGS, WHOLE = (3, 4, 5, 6, 7, 8), 10
 SYMBOLS = 28  # 0: no letter, 1 to 26: a to z, 27: any other letter
@@ -195,21 +196,54 @@ def _hits(model: list, vocabulary: dict):
     return run
 
 
-def evidence(counts: DataFrame, rows: int, toxic: int, error: float = ERROR) -> list[str]:
-    """Signs that go with toxicity by more than chance, strongest first.
+def _listed(model: list):
+    """(row, signs) of (row, text): all signs of each text."""
+
+    def run(batches):
+        signs_ = Signs(model)
+        for b in batches:
+            for at in range(0, b.num_rows, 500):
+                part = b.slice(at, 500)
+                rows = [sorted(signs_.of(text or "")) for text in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.string()))], names=["row", "signs"])
+
+    return run
+
+
+def evidence(counts: DataFrame, rows: int, toxic: int, error: float = ERROR) -> DataFrame:
+    """(sign, strength): signs that go with toxicity by more than chance.
 
     A sign in n texts of which t are toxic is kept if a share so far above the base rate has a probability below error
-    over all signs (Chernoff bound). At most MAX_EVIDENCE, the strongest, come to the driver.
+    over all signs (Chernoff bound), however many there are.
     """
     total = counts.count()
     if not total or not toxic or toxic == rows:
-        return []
+        return counts.select("sign", F.lit(0.0).alias("strength")).where("false")
     base = toxic / rows
     share = F.col("toxic") / F.col("n")
     clean = F.when(share < 1, (1 - share) * F.log((1 - share) / (1 - base))).otherwise(0.0)
     strength = F.col("n") * (share * F.log(share / base) + clean)
-    kept = counts.where("toxic > 0").where(share > base).withColumn("strength", strength).where(F.col("strength") > float(np.log(total / error)))
-    return [r["sign"] for r in kept.orderBy(F.desc("strength"), "sign").limit(MAX_EVIDENCE).select("sign").collect()]
+    found = counts.where("toxic > 0").where(share > base).withColumn("strength", strength)
+    return found.where(F.col("strength") > float(np.log(total / error))).select("sign", "strength")
+
+
+def _numbered_hits(texts: DataFrame, known: DataFrame, kept: DataFrame, model: list) -> tuple[DataFrame, dict]:
+    """(id, hits, label) of labelled texts, hits being numbers of signs that are kept, and these numbers.
+
+    Where kept is too large to be sent, only its signs that occur in these texts have numbers; others would get no weight.
+    """
+    rows = texts.join(F.broadcast(known), "id")
+    if kept.count() <= FEW_SIGNS:
+        vocabulary = {r["sign"]: i for i, r in enumerate(kept.orderBy(F.desc("strength"), "sign").collect())}
+        return rows.select("id", "text").mapInArrow(_hits(model, vocabulary), "id long, hits array<int>").join(known, "id"), vocabulary
+    rows = written(rows.withColumn("row", F.monotonically_increasing_id()))
+    own = rows.select("row", "text").mapInArrow(_listed(model), "row long, signs array<string>")
+    own = written(own.select("row", F.explode("signs").alias("sign")).join(kept.select("sign"), "sign"))
+    vocabulary = {r["sign"]: i for i, r in enumerate(own.select("sign").distinct().orderBy("sign").collect())}
+    schema = "sign string, number int"
+    numbers = texts.sparkSession.createDataFrame(pa.table({"sign": pa.array(vocabulary, pa.string()), "number": pa.array(vocabulary.values(), pa.int32())}), schema)
+    lists = own.join(numbers, "sign").groupBy("row").agg(F.array_sort(F.collect_list("number")).alias("hits"))
+    return rows.join(lists, "row", "left").select("id", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"), "label"), vocabulary
 
 
 def fit(hits: list[list[int]], labels: list[int], size: int, ridge: float = RIDGE, steps: int = 400) -> tuple[np.ndarray, float]:
@@ -258,9 +292,9 @@ def train(docs: DataFrame, known: DataFrame, text_col: str = "text", id_col: str
     near = F.broadcast(known) if n <= FEW_LABELS else known
     counts = texts.join(near, "id").select("text", "label").mapInArrow(_count_signs(model), "sign string, n long, toxic long")
     counts = written(counts.groupBy("sign").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic")))
-    vocabulary = {s: i for i, s in enumerate(evidence(counts, n, toxic))}
+    kept = written(evidence(counts, n, toxic))
     few = known if n <= FIT_ROWS else known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(FIT_ROWS / n * (1 << 20)))
-    fitted = texts.join(F.broadcast(few), "id").select("id", "text").mapInArrow(_hits(model, vocabulary), "id long, hits array<int>").join(few, "id")
+    fitted, vocabulary = _numbered_hits(texts, few, kept, model)
     rows = fitted.select("id", "hits", "label").collect()  # about FIT_ROWS
     rows.sort(key=lambda r: (r["id"], r["label"], r["hits"]))
     weights, offset = fit([r["hits"] for r in rows], [r["label"] for r in rows], len(vocabulary))

@@ -328,6 +328,16 @@ def test_toxicity_sees_through_disguise(spark):
     assert {round(r.score, 6) for r in none} == {0.5}
 
 
+def test_all_evidence_is_kept(spark, monkeypatch):
+    counts = spark.range(25_000).select(F.concat(F.lit("="), "id").alias("sign"), F.lit(60).cast("long").alias("n"), F.lit(60).cast("long").alias("toxic"))
+    found = toxicity.evidence(counts, 1_000_000, 100_000)
+    assert (len(found) if isinstance(found, list) else found.count()) == 25_000
+    d, labels = labelled(spark)
+    want = sorted((r.doc_id or -1, round(r.score, 9)) for r in toxicity.classify(d, labels).collect())
+    monkeypatch.setattr(toxicity, "FEW_SIGNS", 0)
+    assert sorted((r.doc_id or -1, round(r.score, 9)) for r in toxicity.classify(d, labels).collect()) == want
+
+
 def test_viterbi_is_the_best_path():
     rng = np.random.default_rng(2)
     model = np.log(rng.dirichlet(np.ones(toxicity.SYMBOLS), (toxicity.SYMBOLS, toxicity.SYMBOLS))).tolist()
