@@ -26,8 +26,6 @@ LOOKS = {
 #: Signs that may stand between the letters of a word.
 GAPS = ".-_*~'^,/\\ "
 LOOK_COST, DROP_COST, GAP_COST, REPEAT_COST = 1.0, 3.0, 0.5, 0.5
-#: Longest token that is decoded; longer ones, such as encoded data, have no obfuscated word to restore.
-LONGEST = 40
 #: Labelled rows that the regression is fitted on at most; counts of evidence cover all of them.
 FIT_ROWS = 50_000
 #: Labels are sent to all executors up to this many, else joined by a shuffle.
@@ -39,10 +37,13 @@ FEW_SIGNS = 200_000
 RIDGE = 0.3
 BEGINNINGS, WHOLE = (3, 4, 5, 6, 7, 8), 10
 SYMBOLS = 28  # 0: no letter, 1 to 26: a to z, 27: any other letter
-MEMO = 200_000
+MEMO, MEMO_LETTERS = 200_000, 100
+MARK = "\0"
 
 _SUSPICIOUS = re.compile(r"[^\W\d_][0-9@$!|+(<€£¥.\-_*~'^,/\\]+[^\W_]|[0-9@$!|+(<€£¥][^\W\d_]|([^\W\d_])\1\1")
-_SPACED = re.compile(r"(?<!\S)(?:\S[ .\-_*]){3,40}\S(?!\w)")
+_LOOKING = re.compile(r"[0-9@$!|+(<€£¥]")
+_SPACED = re.compile(r"(?<!\S)(?:\S[ .\-_*]){2,}\S(?!\w)")
+_REPEATED = re.compile(r"(.)\1{3,}", re.DOTALL)
 _RUN = re.compile(r"[^\W\d_]+")
 
 
@@ -83,9 +84,10 @@ def character_model(docs: DataFrame, text_col: str = "text") -> np.ndarray:
     return np.log((n + 2 * two) / (n.sum(2, keepdims=True) + 2))
 
 
-def restore(token: str, model: list) -> list[str]:
-    """Words that a lower-case token may hide, best first: the best Viterbi path for each of the last letters."""
-    paths = {(0, 0): (0.0, "")}
+def _marked(token: str, model: list) -> list[str]:
+    """As restore(), with a MARK where a gap was."""
+    # a word is a chain (rest, last letter), so that a long token takes no copies
+    paths: dict = {(0, 0): (0.0, None)}
     for i, c in enumerate(token):
         ways: list[tuple[str, float]] = []
         if c.isalpha():
@@ -94,7 +96,8 @@ def restore(token: str, model: list) -> list[str]:
             if same:
                 ways.append(("", REPEAT_COST))
         elif c in GAPS:
-            ways.append(("", GAP_COST))
+            paths = {state: (score - GAP_COST, (word, MARK)) for state, (score, word) in paths.items()}
+            continue
         else:
             ways += [(x, LOOK_COST) for x in LOOKS.get(c, "")]
             repeated = i > 0 and token[i - 1] == c
@@ -104,14 +107,26 @@ def restore(token: str, model: list) -> list[str]:
             for letter, cost in ways:
                 if letter:
                     s = _symbol(ord(letter))
-                    state, value, text = (b, s), score - cost + model[a][b][s], word + letter
+                    state, value, text = (b, s), score - cost + model[a][b][s], (word, letter)
                 else:
                     state, value, text = (a, b), score - cost, word
                 if state not in after or value > after[state][0]:
                     after[state] = (value, text)
         paths = after
-    ends = sorted(((score + model[a][b][0], word) for (a, b), (score, word) in paths.items()), reverse=True)
-    return [word for _, word in ends[:3] if word]
+    ends = sorted(((score + model[a][b][0], chain) for (a, b), (score, chain) in paths.items()), key=lambda e: e[0], reverse=True)
+    words = []
+    for score, chain in ends[:3]:
+        letters = []
+        while chain is not None:
+            chain, letter = chain
+            letters.append(letter)
+        words.append((score, "".join(reversed(letters))))
+    return [word for _, word in sorted(words, reverse=True) if word.strip(MARK)]
+
+
+def restore(token: str, model: list) -> list[str]:
+    """Words that a lower-case token may hide, best first: the best Viterbi path for each of the last letters."""
+    return [word.replace(MARK, "") for word in _marked(token, model)]
 
 
 def signs(word: str) -> list[str]:
@@ -123,6 +138,25 @@ def signs(word: str) -> list[str]:
     return found
 
 
+def inner_signs(marked: str, anywhere: bool):
+    """Signs of the words that a restored text may hold: they start and end where a gap was, or start anywhere."""
+    parts = marked.split(MARK)
+    text = "".join(parts)
+    n, edges = len(text), [0, *np.cumsum([len(p) for p in parts]).tolist()]
+    cuts = sorted(set(edges))
+    first = 0
+    for start in range(n) if anywhere else cuts[:-1]:
+        for k in BEGINNINGS:
+            if start + k < n:
+                yield f"^{text[start : start + k]}"
+        while first < len(cuts) and cuts[first] < start + 3:
+            first += 1
+        for end in cuts[first : first + WHOLE]:
+            if end > start + WHOLE:
+                break
+            yield f"={text[start:end]}"
+
+
 class Signs(dict):
     """Signs of a token and of what it may hide; only those in the vocabulary, as numbers, if there is one."""
 
@@ -133,16 +167,24 @@ class Signs(dict):
         found = set()
         for run in _RUN.findall(token):
             found.update(signs(run))
-        if len(token) <= LONGEST and _SUSPICIOUS.search(token):
-            for word in restore(token, self.model):
-                found.update(signs(word))
+        if _SUSPICIOUS.search(token):
+            found.update(self._hidden(token, bool(_LOOKING.search(token))))
         if self.vocabulary is not None:
             found = {self.vocabulary[x] for x in found if x in self.vocabulary}
-        if len(self) >= MEMO:
-            self.clear()
-        self[token] = out = tuple(found)
+        out = tuple(found)
+        if len(token) <= MEMO_LETTERS:
+            if len(self) >= MEMO:
+                self.clear()
+            self[token] = out
         return out
 
+    def _hidden(self, token: str, anywhere: bool):
+        """Signs of what a token may hide; of a vocabulary, only those in it."""
+        for word in _marked(_REPEATED.sub(r"\1\1\1", token), self.model):
+            for x in inner_signs(word, anywhere):
+                if self.vocabulary is None or x in self.vocabulary:
+                    yield x
+
     def of(self, text: str) -> set:
         """Signs of a whole text."""
         text = text.lower()
@@ -150,14 +192,9 @@ class Signs(dict):
         for token in set(text.split()):
             found.update(self[token])
         for spaced in _SPACED.finditer(text):
-            run = spaced.group()[:: 2] if spaced.group()[1::2].strip(GAPS) == "" else spaced.group()
-            for word in restore(run, self.model):
-                for piece in (word, word[1:], word[2:]):  # a lone letter before the word joins in
-                    for x in signs(piece):
-                        if self.vocabulary is None:
-                            found.add(x)
-                        elif x in self.vocabulary:
-                            found.add(self.vocabulary[x])
+            # every second sign is a gap; between all letters a word may start or end
+            for x in self._hidden(spaced.group(), True):
+                found.add(x if self.vocabulary is None else self.vocabulary[x])
         return found
 
 
@@ -178,9 +215,9 @@ def _count_signs(model: list):
                 n.update(own)
                 if label:
                     t.update(own)
-            if len(n) > 400_000:
-                yield from out(n, t)
-                n, t = Counter(), Counter()
+                if len(n) > 400_000:
+                    yield from out(n, t)
+                    n, t = Counter(), Counter()
         yield from out(n, t)
 
     return run

@@ -328,6 +328,20 @@ def test_toxicity_sees_through_disguise(spark):
     assert {round(r.score, 6) for r in none} == {0.5}
 
 
+def test_disguised_words_are_seen_wherever_they_stand():
+    model = np.full((toxicity.SYMBOLS,) * 3, -1.0).tolist()
+    of = lambda text: toxicity.Signs(model).of(text)
+    assert {"^idio", "=idiot"} <= of("y o u a r e a n i d i o t")
+    assert "=ass" in of("y o u a s s y o u") and "^idio" in of("so y o u i d i o t s a r e")
+    assert "=ass" in of("an a s s, that") and "=ass" in of("a.s.s") and "=ass" in of("a $ s")
+    assert {"=you", "=idiot"} <= of("you.1d10t") and "=idiot" in of("you1d10t") and "=idiot" in of("1d10t.you")
+    assert "=idiot" in of("i" * 60 + "diot") and "=idiot" in of("what.a.sentence.that.was.joined.by.dots.1d10t.and.more")
+    long = " ".join("abcdefghij" * 5 + "idiot" + "klmnopq" * 3)
+    assert {"=idiot", "^idiotkl"} <= of(long)
+    assert toxicity.Signs(model, {"=idiot": 7}).of(long) == {7}
+    assert "=idiot" in of("1d10t" + "." * 5000 + "xyz") and len(of("ab1" * 20_000)) < 1000
+
+
 def test_all_evidence_is_kept(spark, monkeypatch):
     counts = spark.range(25_000).select(F.concat(F.lit("="), "id").alias("sign"), F.lit(60).cast("long").alias("n"), F.lit(60).cast("long").alias("toxic"))
     found = toxicity.evidence(counts, 1_000_000, 100_000)
