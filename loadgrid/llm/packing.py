@@ -35,26 +35,34 @@ class Ids:
 
     Its pre-tokenizer never joins what stands before a single space or a line break with what follows it, if no other
     white space is near. So texts are split there, and each distinct part of a batch is encoded once.
+
+    With added, literals of the file's added tokens become their ids, as the tokenizer does by default; else they are
+    plain text, as with its encode_special_tokens.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added: bool = False):
         import json
 
         import tiktoken
 
         spec = json.load(open(path, encoding="utf-8"))
         kind, model = spec["pre_tokenizer"], spec["model"]
-        special = {x["content"] for x in spec["added_tokens"] if x["special"]}
+        tokens = {x["content"]: x["id"] for x in spec["added_tokens"]}
         if (kind["type"], kind["use_regex"], kind["add_prefix_space"], model["type"], model["ignore_merges"]) != ("ByteLevel", True, False, "BPE", False):
             raise ValueError("only byte-level BPE without a prefix space is known here")
+        if any(x[k] for x in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip")):
+            raise ValueError("only added tokens that take nothing around them are known here")
+        self.added = list(tokens) if added else []
         shown = byte_letters()
-        ranks = {bytes(shown[c] for c in word): i for word, i in model["vocab"].items() if word not in special}
-        self.bpe = tiktoken.Encoding("ids", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens={})
+        ranks = {bytes(shown[c] for c in word): i for word, i in model["vocab"].items() if word not in tokens}
+        self.bpe = tiktoken.Encoding("ids", pat_str=PRE_TOKENS, mergeable_ranks=ranks, special_tokens=tokens)
         (self.line,) = self.bpe.encode_ordinary("\n")
 
     def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids, and the offset of each text's first one, with one offset more at the end."""
         uneven = pc.match_substring_regex(texts, UNEVEN).to_numpy(zero_copy_only=False)
+        for token in self.added:
+            uneven = uneven | pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         if uneven.any():
             return self._mixed(texts, uneven)
         return self._even(texts)
@@ -64,7 +72,7 @@ class Ids:
         parts, k = [], 0
         for text, whole in zip(texts.to_pylist(), uneven, strict=True):
             if whole:
-                parts.append(self.bpe.encode_to_numpy(text, disallowed_special=()))
+                parts.append(self.bpe.encode_to_numpy(text, allowed_special=set(self.added), disallowed_special=()))
             else:
                 parts.append(own[at[k] : at[k + 1]])
                 k += 1
@@ -106,7 +114,7 @@ def byte_letters() -> dict[str, int]:
 
 def _pieces_of(tokenizer: str, capacity: int, end: int):
     def run(batches):
-        encode = Ids(tokenizer)
+        encode = Ids(tokenizer, added=True)
         for b in batches:
             texts = pc.fill_null(b.column(1), "")
             for at, n in chunks(texts, CHUNK_BYTES):

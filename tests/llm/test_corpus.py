@@ -189,6 +189,21 @@ def test_ids_equal_the_tokenizer():
             assert got[at[k] : at[k + 1]].tolist() == t.encode(x, add_special_tokens=False).ids, repr(x)
 
 
+def test_added_tokens_have_their_ids(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    t = Tokenizer.from_file(path)
+    rng = random.Random(7)
+    parts = ["a", " b", "\n", "  ", "it's", "<|endoftext|>", " <|endoftext|> ", "<|endoftext", "|>", "\u3000", "\u00e9"]
+    texts = ["a <|endoftext|> b", "<|endoftext|>", *("".join(rng.choice(parts) for _ in range(rng.randrange(10))) for _ in range(300))]
+    want = [t.encode(x, add_special_tokens=False).ids for x in texts]
+    assert want[0] == [64, 220, 50256, 275]
+    rows = packing.pack_documents(docs(spark, [(i, x, "") for i, x in enumerate(texts)]), path).collect()
+    assert {(r.doc_id, r.length, r.ids_crc32) for r in rows} == {(i, len(w) + 1, zlib.crc32(np.array([*w, 0], "<u4").tobytes())) for i, w in enumerate(want)}
+
+
 def test_best_fit_bounds_and_ties():
     assert packing.best_fit([6, 5, 4, 3, 2], 10, 2) == ([0, 1, 0, 1, 1], [0, 0, 6, 5, 8])
     bins, _ = packing.best_fit([6, 7, 5, 4], 10, 2)
