@@ -23,7 +23,8 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str = "location_id", rig
     """(left_id, right_id, km): for each left point (lat, lon) the nearest right point (w_lat, w_lon), ties to the smaller id.
 
     A right side of at most FEW_POINTS distinct points is broadcast. Beyond, both are cut into cells: points look into
-    the cells around their own, ring by ring with doubled cells, until a match is closer than any point outside can be.
+    the cells around their own, ring by ring with larger cells, until a match is closer than any point outside can be; what is left then
+    looks at all points.
     """
     distance = planar_km if metric == "planar" else great_circle_km
     km = distance(F.col("lat"), F.col("lon"), F.col("w_lat"), F.col("w_lon"))
@@ -34,23 +35,30 @@ def nearest(left: DataFrame, right: DataFrame, left_id: str = "location_id", rig
     if points.limit(FEW_POINTS + 1).count() <= FEW_POINTS:
         found = best(places.crossJoin(F.broadcast(points)))
     else:
+        sphere = metric != "planar"
+        turned = lambda c: F.pmod(F.col(c) + 180, F.lit(360.0)) - 180 if sphere else F.col(c)
         found, open_, size = None, places, cell
-        while size < 1000:
+        while size < 90:
             side = 111.0 * size
-            near = lambda c, s=size: F.explode(F.sequence(F.floor(F.col(c) / s) - 1, F.floor(F.col(c) / s) + 1))
-            looked = open_.withColumn("__x", near("lat")).withColumn("__y", near("lon"))
-            celled = points.withColumns({"__x": F.floor(F.col("w_lat") / size), "__y": F.floor(F.col("w_lon") / size)})
+            near = lambda c, s=size: F.explode(F.sequence(F.floor(c / s) - 1, F.floor(c / s) + 1))
+            looked = open_.withColumn("__x", near(F.col("lat"))).withColumn("__y", near(turned("lon")))
+            celled = points.withColumn("__lon", turned("w_lon"))
+            if sphere:  # points near the date line stand on both sides of it
+                celled = celled.withColumn("__lon", F.explode(F.array(*(F.col("__lon") + d for d in (-360, 0, 360))))).where(F.abs("__lon") <= 180 + 2 * size)
+            celled = celled.withColumns({"__x": F.floor(F.col("w_lat") / size), "__y": F.floor(F.col("__lon") / size)})
             hits = best(looked.join(celled, ["__x", "__y"]))
-            if metric != "planar":  # degrees of longitude shrink towards the poles
-                sure = F.col("best.km") <= side * F.cos(F.radians(F.least(F.lit(89.0), F.abs(F.col("lat")) + 2 * size)))
-            else:
-                sure = F.col("best.km") <= side
+            sure = F.col("best.km") <= side
+            if sphere:  # the way to the meridian that bounds the cells, which is shorter towards the poles
+                sure = sure & (F.col("best.km") <= 111.0 * F.degrees(F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(F.lit(size))))))
             done = hits.where(sure)
             found = done if found is None else found.unionByName(done)
             open_ = open_.join(done, ["lat", "lon"], "left_anti")
             if open_.isEmpty():
                 break
             size *= 4
+        else:  # what is far from all points, or near a pole, looks at each
+            rest = best(open_.crossJoin(points))
+            found = rest if found is None else found.unionByName(rest)
     return left.join(found, ["lat", "lon"]).select(left_id, F.col("best.id").alias(right_id), F.col("best.km").alias("km"))
 
 

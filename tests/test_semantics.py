@@ -133,6 +133,17 @@ def test_nearest_by_cells_equals_nearest_by_broadcast(spark, monkeypatch):
         monkeypatch.undo()
 
 
+def test_nearest_by_cells_finds_far_points_and_those_beyond_the_date_line(spark, monkeypatch):
+    left = spark.createDataFrame([(0, 52.0, 5.0), (1, -40.0, 20.0), (2, 10.0, 179.9), (3, 10.0, -179.9), (4, 89.5, 0.0), (5, 10.0, 359.0)], "location_id int, lat double, lon double")
+    right = spark.createDataFrame([(0, 35.0, 140.0), (1, 10.0, -179.5), (2, 10.5, 179.2), (3, 89.0, 170.0), (4, -80.0, -100.0), (5, 10.2, -1.5)], "weather_id int, w_lat double, w_lon double")
+    for metric in ("planar", "sphere"):
+        want = sorted(tuple(r) for r in places.nearest(left, right, metric=metric).collect())
+        assert len(want) == 6
+        monkeypatch.setattr(places, "FEW_POINTS", 2)
+        assert sorted(tuple(r) for r in places.nearest(left, right, metric=metric).collect()) == want
+        monkeypatch.undo()
+
+
 def test_flat_buffer(spark, tmp_path):
     data = np.arange(24, dtype="<f4").reshape(12, 2)
     data[3, 1] = np.nan
