@@ -7,13 +7,15 @@ agree in a coordinate with a probability equal to their Jaccard similarity, shar
 into bands; documents that share a band are candidates, and a candidate pair is a link once the full sets confirm it.
 
 Large groups of copies cost no pairs within the group:
-1. Equal sets form a class that is represented by its smallest id.
-2. In each bucket every member is compared with one leader, the smallest id.
-3. While buckets hold several components and many open pairs, each is given other leaders from its largest component in
-   turn, and members outside that component are compared with it.
-4. If many pairs are open still, documents too many of whose shingles no other open one has are left out: they have no link.
-5. Members of a bucket that are still in different components are compared with each other, unless the distances to the
-   first leader already rule a link out: Jaccard distance is a metric, so |d(a, leader) - d(b, leader)| <= d(a, b).
+1. Equal sets form a class, which takes part once.
+2. The leader of a bucket is the member that shares buckets with most others, so that a group of near copies has its
+   middle as leader in most of its buckets. Every other member is compared with it in full, once for each leader. That
+   gives its links, and its difference from the leader: shingles that only one of the two sets has.
+3. Members of a group (a leader and those compared with it) that are still in different components are tried by their
+   differences: what two sets don't share is what their differences don't share. Two members that are no link of the
+   leader both have differences that are mostly their own, while a link needs half of them in common. So differences
+   are ordered by how many members have each element, elements of one component alone first, and a pair is a candidate
+   only if it shares an element early enough in both (a prefix filter, which loses nothing). Candidates are compared in full.
 Every pair that shares a bucket is thus linked, in the same component, or surely no link.
 """
 
@@ -22,7 +24,7 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from loadgrid.llm.common import chunks, components, mixed, written
 
@@ -31,11 +33,8 @@ BANDS, ROWS = 24, 4
 CHUNK_BYTES = 4_000_000
 #: Members that one task compares with a leader at a time.
 GROUP = 64
-#: Other leaders are tried while there are more open pairs than this for each class, in so many turns at most, and as
-#: long as one of two turns leaves no more than this share of them.
-PAIRS_PER_CLASS, MOST_TURNS, GAIN = 4, 16, 0.9
-#: Candidates' ids are sent to all executors up to this many (8 MB), else joined by a shuffle.
-FEW_IDS = 1_000_000
+#: Places of candidates' texts are sent to all executors up to this many (24 MB), else joined by a shuffle.
+FEW_PLACES = 1_000_000
 EMPTY = np.uint64(2**64 - 1)
 
 
@@ -108,77 +107,148 @@ def band_keys(sketch: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-_SKETCHED = "id long, n_shingles long, key1 long, key2 long, bands array<long>"
+_SKETCHED = "id long, spot long, n_shingles long, key1 long, key2 long, bands array<long>"
 
 
 def _sketch(width: int, bands: int, rows: int):
     def run(batches):
         for b in batches:
-            texts = pc.fill_null(b.column(1), "")
+            texts = pc.fill_null(b.column(2), "")
             for start, count in chunks(texts, CHUNK_BYTES):
                 values, at = shingle_sets(texts.slice(start, count), width)
                 sums = [np.concatenate([np.zeros(1, np.uint64), np.cumsum(mixed(values, salt))]) for salt in (11, 12)]
                 keys = [pa.array((s[at[1:]] - s[at[:-1]]).view(np.int64)) for s in sums]
                 found = band_keys(sketches(values, at, bands * rows), bands, rows)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * bands), pa.array(found.ravel()))
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, count), pa.array(np.diff(at)), *keys, lists], names=["id", "n_shingles", "key1", "key2", "bands"])
+                own = [b.column(k).slice(start, count) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*own, pa.array(np.diff(at)), *keys, lists], names=["id", "spot", "n_shingles", "key1", "key2", "bands"])
 
     return run
 
 
-def _compare(width: int):
-    """Sizes of the intersection of the leader's set with each member's; the leader's row comes with member null."""
+_COMPARED = "a long, b long, n_a long, n_b long, common long, apart array<long>"
+
+
+def _compare(width: int, apart: bool):
+    """Sizes of the leader's set, each member's and their intersection; the leader's row comes with member null.
+
+    With apart also the shingles that only one of the two has.
+    """
 
     def run(rows: pa.Table) -> pa.Table:
-        member = rows["member"].combine_chunks()
-        own = pc.is_null(member)
+        own = pc.is_null(rows["member"].combine_chunks())
         leader, _ = shingle_sets(rows["text"].filter(own).combine_chunks().slice(0, 1), width)
         others = rows.filter(pc.invert(own))
         texts = others["text"].combine_chunks()
-        common, sizes = [], []
+        common, sizes, lists = [], [], []
         for start, count in chunks(texts, CHUNK_BYTES):
             values, at = shingle_sets(texts.slice(start, count), width)
             for d in range(count):
                 mine = values[at[d] : at[d + 1]]
                 spot = np.searchsorted(leader, mine)
                 spot[spot == len(leader)] = 0
-                common.append(int((leader[spot] == mine).sum()) if len(leader) else 0)
+                both = leader[spot] == mine
+                common.append(int(both.sum()))
                 sizes.append(len(mine))
-        whole = [len(leader) + s - c for s, c in zip(sizes, common, strict=True)]
-        return pa.table({"a": others["leader"], "b": others["member"], "common": pa.array(common, pa.int64()), "whole": pa.array(whole, pa.int64())})
+                if apart:
+                    lists.append(np.concatenate([mine[~both], np.delete(leader, spot[both])]).view(np.int64))
+        ends = np.concatenate([[0], np.cumsum([len(x) for x in lists] if apart else np.zeros(len(sizes)))]).astype(np.int32)
+        flat = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))
+        return pa.table({
+            "a": others["leader"], "b": others["member"], "n_a": pa.array([len(leader)] * len(sizes), pa.int64()), "n_b": pa.array(sizes, pa.int64()),
+            "common": pa.array(common, pa.int64()), "apart": pa.ListArray.from_arrays(pa.array(ends), flat),
+        })
 
     return run
 
 
-def compared(pairs: DataFrame, texts: DataFrame, width: int) -> DataFrame:
-    """pairs (a, b) of ids with common and whole, the sizes of intersection and union of their full sets.
+def compared(pairs: DataFrame, texts: DataFrame, width: int, apart: bool = False) -> DataFrame:
+    """pairs (a, b) of nodes with n_a, n_b, common: the sizes of their full sets and of the intersection; with apart also the difference.
 
     The pairs of an a are dealt into groups of about GROUP, each with a's text, so that no group grows with the input.
     """
     counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
     dealt = pairs.join(counts, "a").select(F.col("a").alias("leader"), F.col("b").alias("member"), F.pmod(F.xxhash64("b"), "parts").alias("part"))
-    members = dealt.join(texts, dealt["member"] == texts["id"]).select("leader", "part", "member", "text")
+    members = dealt.join(texts, dealt["member"] == texts["node"]).select("leader", "part", "member", "text")
     leaders = counts.select(F.col("a").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
-    leaders = leaders.join(texts, leaders["leader"] == texts["id"]).select("leader", "part", F.lit(None).cast("long").alias("member"), "text")
-    return members.unionByName(leaders).groupBy("leader", "part").applyInArrow(_compare(width), "a long, b long, common long, whole long")
+    leaders = leaders.join(texts, leaders["leader"] == texts["node"]).select("leader", "part", F.lit(None).cast("long").alias("member"), "text")
+    return members.unionByName(leaders).groupBy("leader", "part").applyInArrow(_compare(width, apart), _COMPARED)
+
 
+def _stars(classes: DataFrame) -> DataFrame:
+    """(a, b): every class b that shares a bucket with others, with the bucket's leader a; classes are (node, bands)."""
+    spread = classes.select("node", F.explode("bands").alias("bucket"))
+    sizes = spread.groupBy("bucket").agg(F.count("*").alias("members")).where("members > 1")
+    inside = written(spread.join(sizes, "bucket"))
+    central = inside.groupBy("node").agg(F.sum("members").alias("shared"))
+    leading = inside.join(central, "node").groupBy("bucket").agg(F.max(F.struct("shared", (-F.col("node")).alias("minus"))).alias("first"))
+    pairs = inside.join(leading.select("bucket", (-F.col("first.minus")).alias("a")), "bucket").select("a", F.col("node").alias("b"))
+    return written(pairs.where("a <> b").distinct())
 
-def linkable(texts: DataFrame, width: int, percent: int) -> DataFrame:
-    """(id) of texts (id, text) enough of whose shingles occur in another one of them too.
 
-    A link's intersection is at least percent of the union, so of either set: a text with fewer shared shingles has none.
+def _candidates(first: DataFrame, parts: DataFrame, is_link, percent: int) -> DataFrame:
+    """(a, b) of classes in different parts (node, component) whose differences from a common leader allow a link.
+
+    A link's sets differ by at most slack * (sum of both sizes) shingles, slack = (100 - percent) / (100 + percent). So
+    differences of sizes d_x and d_y need at least (d_x + d_y - slack * (n_x + n_y)) / 2 elements in common.
     """
+    over, under = 100 + percent, 100 - percent
+    named = first.join(parts, first["b"] == parts["node"], "left").withColumn("part", F.coalesce("component", "b"))
+    named = named.select("a", "b", "n_a", "n_b", F.size("apart").alias("d"), "part", is_link.alias("linked"), "apart")
+    several = named.groupBy("a").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("a")
+    held = written(named.join(several, "a", "left_semi").withColumn("e", F.explode("apart")).drop("apart"))
+    often = held.groupBy("a", "e").agg(F.count("*").alias("often"), F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high")
+    alive = held.join(often.select("a", "e", "often"), ["a", "e"])
+    own = Window.partitionBy("a", "b")
+    # place of the element in the order, counted from 0; those that no other part has come first
+    at = F.col("d") - F.count("*").over(own) + F.row_number().over(own.orderBy("often", "e")) - 1
+    alive = alive.withColumn("at", at)
+    least = lambda x: F.greatest(F.lit(1), F.ceil(x / (2 * over) - 1e-9))
+    # a partner that is no link of the leader has more than slack * (n + n_a) elements; one that is has none at least
+    alone = F.col("d") * over - under * F.col("n_b")
+    short = F.col("at") <= F.col("d") - least(alone + under * F.col("n_a"))
+    long = F.col("at") <= F.col("d") - least(alone - under * F.col("n_a"))
+    alive = written(alive.withColumn("short", short).where(short | (long & ~F.col("linked"))))
+    side = lambda s: [F.col(c).alias(f"{c}_{s}") for c in ("b", "n_b", "d", "part", "at")]
+    x, y = alive.where("NOT linked").select("a", "e", *side("x")), alive.where("short").select("a", "e", *side("y"))
+    need = least((F.col("d_x") + F.col("d_y")) * over - under * (F.col("n_b_x") + F.col("n_b_y")))
+    fits = 100 * F.least("n_b_x", "n_b_y") >= percent * F.greatest("n_b_x", "n_b_y")
+    early = (F.col("at_x") <= F.col("d_x") - need) & (F.col("at_y") <= F.col("d_y") - need)
+    pairs = x.join(y, ["a", "e"]).where((F.col("part_x") != F.col("part_y")) & fits & early)
+    return pairs.select(F.least("b_x", "b_y").alias("a"), F.greatest("b_x", "b_y").alias("b")).distinct()
+
+
+def labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent: int, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+    """near_groups() as (id, spot, n_shingles, component_id, kept), spot being a hash of the text."""
+    base = docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col).cast("string")).alias("spot"), F.col(text_col).cast("string").alias("text"))
+    seen = written(base.mapInArrow(_sketch(width, bands, rows), _SKETCHED))
+    key = ["key1", "key2", "n_shingles"]
+    grouped = seen.where("n_shingles > 0").groupBy(*key).agg(F.min("id").alias("low"), F.first(F.struct("id", "spot")).alias("place"), F.first("bands").alias("bands"))
+    classes = written(grouped.withColumn("node", F.monotonically_increasing_id()))
+    stars = _stars(classes)
+
+    # one text of each class that has a candidate
+    ends = stars.select(F.col("a").alias("node")).unionByName(stars.select(F.col("b").alias("node"))).distinct()
+    wanted = written(ends.join(classes, "node").select("node", F.col("place.id").alias("at_id"), F.col("place.spot").alias("at_spot")))
+    if wanted.count() <= FEW_PLACES:
+        wanted = F.broadcast(wanted)
+    texts = base.join(wanted, (F.col("spot") == F.col("at_spot")) & F.col("id").eqNullSafe(F.col("at_id")))
+    texts = written(texts.groupBy("node").agg(F.first("text").alias("text")))
 
-    def shingles(batches):
-        for b in batches:
-            for start, count in chunks(b.column(1), CHUNK_BYTES):
-                values, at = shingle_sets(b.column(1).slice(start, count), width)
-                yield pa.RecordBatch.from_arrays([b.column(0).slice(start, count).take(pa.array(np.repeat(np.arange(count), np.diff(at)))), pa.array(values.view(np.int64))], names=["id", "shingle"])
+    is_link = F.expr(f"100 * common >= {percent} * (n_a + n_b - common)")
+    first = written(compared(stars, texts, width, apart=True))
+    parts = components(first.where(is_link).select("a", "b"))
+    rest = written(compared(_candidates(first, parts, is_link, percent), texts, width).where(is_link).select("a", "b"))
+    if not rest.isEmpty():
+        parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(rest))
 
-    each = written(texts.select("id", "text").mapInArrow(shingles, "id long, shingle long"))
-    often = each.groupBy("shingle").agg(F.count("*").alias("n")).select("shingle", (F.col("n") > 1).cast("int").alias("shared"))
-    sizes = each.join(often, "shingle").groupBy("id").agg(F.sum("shared").alias("shared"), F.count("*").alias("n"))
-    return sizes.where(100 * F.col("shared") >= percent * F.col("n")).select("id")
+    ids = parts.join(classes.select("node", "low"), "node")
+    lowest = ids.groupBy("component").agg(F.min("low").alias("component_id"))
+    named = written(parts.join(lowest, "component").select("node", "component_id"))
+    roots = classes.join(named, "node", "left").select(*key, F.when(named["node"].isNull(), F.col("low")).otherwise(F.col("component_id")).alias("root"))
+    found = seen.select("id", "spot", *key).join(roots, key, "left")
+    component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("root"))
+    return found.select("id", "spot", "n_shingles", component.alias("component_id")).withColumn("kept", F.col("id").eqNullSafe(F.col("component_id")))
 
 
 def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -186,90 +256,20 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Two documents are linked when 100 * intersection >= percent * union of their sets of width-word shingles; a text
     with fewer words is one shingle. component_id is the smallest id that links reach, kept says that it is the row's
-    own. Null and empty texts and texts of white space have no shingles and are linked with nothing. Rows with a null
-    id and words take the component of the rows whose set equals theirs, null if those have no id either; they are never
-    kept if there is such a component. Ids should be unique: rows that repeat an id share its component. Other columns
-    have no effect. An empty table gives an empty result.
+    own. Null and empty texts and texts of white space have no shingles and are linked with nothing. Ids should be
+    unique. Rows that repeat an id are documents of their own: each has the component of its own text. Rows with a null
+    id are linked like others; their component has a null id, and they are kept, only if no row in it has an id. Other
+    columns have no effect. An empty table gives an empty result.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).cast("string").alias("text"))
-    seen = written(base.mapInArrow(_sketch(width, bands, rows), _SKETCHED))
-    key = ["key1", "key2", "n_shingles"]
-    classes = written(seen.where("n_shingles > 0").groupBy(*key).agg(F.min("id").alias("node"), F.first("bands").alias("bands")))
-
-    spread = classes.where("node IS NOT NULL").select("node", F.col("n_shingles").alias("n"), F.explode("bands").alias("bucket"))
-    leading = spread.groupBy("bucket").agg(F.min(F.struct("node", "n")).alias("first"), F.count("*").alias("members")).where("members > 1")
-    inside = written(spread.join(leading, "bucket").select("bucket", "node", "n", F.col("first.node").alias("leader"), F.col("first.n").alias("leader_n")))
-
-    def fits(x: str, y: str):
-        """The larger set is at most 100 / percent times the smaller one: else no link is possible."""
-        return 100 * F.least(x, y) >= percent * F.greatest(x, y)
-
-    stars = inside.where("node <> leader").where(fits("n", "leader_n")).select(F.col("leader").alias("a"), F.col("node").alias("b")).distinct()
-    stars = written(stars)
-    wanted = inside.select(F.col("node").alias("id")).distinct()
-    if wanted.count() <= FEW_IDS:
-        wanted = F.broadcast(wanted)
-    texts = written(base.where("id IS NOT NULL").join(wanted, "id", "left_semi").dropDuplicates(["id"]))
-    first = written(compared(stars, texts, width))
-    is_link = F.expr(f"100 * common >= {percent} * whole")
-    parts = components(first.where(is_link).select("a", "b"))
-
-    def open_buckets(parts: DataFrame) -> DataFrame:
-        """Members of buckets that still hold several components."""
-        named = inside.join(parts, inside["node"] == parts["node"], "left").select(inside["*"], F.coalesce("component", inside["node"]).alias("part"))
-        split = named.groupBy("bucket").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low <> high").select("bucket")
-        return written(named.join(split, "bucket"))
-
-    def unseen(pairs: DataFrame, known: DataFrame) -> DataFrame:
-        ends = lambda df: df.select("a", "b", F.least("a", "b").alias("__x"), F.greatest("a", "b").alias("__y"))
-        fresh = ends(pairs).dropDuplicates(["__x", "__y"])
-        return written(fresh.join(ends(known).select("__x", "__y"), ["__x", "__y"], "left_anti").select("a", "b"))
-
-    # other leaders, as long as many pairs are open: each joins most of what its group has left
-    known, open_, n_classes, last = first, open_buckets(parts), classes.count(), None
-    stuck = 0
-    for turn in range(1, MOST_TURNS + 1):
-        own = open_.groupBy("bucket", "part").agg(F.count("*").alias("k")).groupBy("bucket").agg(
-            F.sum("k").alias("k"), F.sum(F.col("k") * F.col("k")).alias("kk"), F.max(F.struct("k", "part"))["part"].alias("largest")
-        )
-        left = own.agg(F.coalesce(F.sum((F.col("k") * F.col("k") - F.col("kk")) / 2), F.lit(0.0))).first()[0]
-        stuck = stuck + 1 if last is not None and left > GAIN * last else 0
-        if left <= PAIRS_PER_CLASS * n_classes or stuck == 2:
-            break
-        last = left
-        lead = open_.join(own.select("bucket", "largest"), "bucket").where(F.col("part") == F.col("largest")).groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)).alias("h"), F.col("node").alias("a"), F.col("n").alias("lead_n"), F.col("part").alias("lead_part"))).alias("l")).select("bucket", "l.*")
-        cand = open_.join(lead, "bucket").where(F.col("part") != F.col("lead_part")).where(fits("n", "lead_n")).select("a", F.col("node").alias("b"))
-        more = written(compared(unseen(cand, known), texts, width))
-        known = known.unionByName(more)
-        found = more.where(is_link).select("a", "b")
-        if not found.isEmpty():
-            parts = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
-            open_ = open_buckets(parts)
-
-    if left > PAIRS_PER_CLASS * n_classes:
-        open_ = open_.join(linkable(texts.join(open_.select(F.col("node").alias("id")).distinct(), "id", "left_semi"), width, percent).withColumnRenamed("id", "node"), "node", "left_semi")
-
-    # what is left: members of a bucket in different components
-    far = first.select(F.col("a").alias("leader"), F.col("b").alias("node"), (1 - F.col("common") / F.col("whole")).alias("far"))
-    open_ = open_.join(far, ["leader", "node"], "left")
-    open_ = written(open_.select("bucket", "node", "n", "leader", "part", F.when(F.col("node") == F.col("leader"), 0.0).otherwise(F.col("far")).alias("far")))
-    x, y = (open_.select("bucket", *(F.col(c).alias(f"{c}_{s}") for c in ("node", "n", "part", "far"))) for s in "xy")
-    pair = x.join(y, "bucket").where("part_x <> part_y AND node_x < node_y").where(fits("n_x", "n_y"))
-    near = F.abs(F.col("far_x") - F.col("far_y")) <= (1 - percent / 100) + 1e-9
-    rest = unseen(pair.where(F.coalesce(near, F.lit(True))).select(F.col("node_x").alias("a"), F.col("node_y").alias("b")), known)
-    found = compared(rest, texts, width).where(is_link).select("a", "b")
-    final = components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(found))
-
-    roots = classes.join(final, "node", "left").select(*key, F.coalesce("component", "node").alias("component_id"))
-    rows_ = seen.select("id", *key).join(roots, key, "left")
-    component = F.when(F.col("n_shingles") == 0, F.col("id")).otherwise(F.col("component_id"))
-    return rows_.select(F.col("id").alias(id_col), "n_shingles", component.alias("component_id")).withColumn("kept", F.col(id_col).eqNullSafe(F.col("component_id")))
+    found = labelled(docs, id_col, text_col, width, percent, bands, rows)
+    return found.select(F.col("id").alias(id_col), "n_shingles", "component_id", "kept")
 
 
 def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
-    """docs with one row of each group of near_groups(); columns and other rows stay as they are.
+    """docs with the rows that near_groups() keeps; columns and other rows stay as they are.
 
-    Rows with a null id stay if near_groups() keeps any such row.
+    Rows that repeat both id and text stay or go together. An empty table gives an empty result.
     """
-    kept = near_groups(docs, id_col, text_col, width, percent).where("kept").select(F.col(id_col).alias("__keep")).distinct()
-    return docs.join(kept, docs[id_col].cast("long").eqNullSafe(F.col("__keep")), "left_semi")
+    kept = labelled(docs, id_col, text_col, width, percent).where("kept").select(F.col("id").alias("__keep"), F.col("spot").alias("__spot")).distinct()
+    same = docs[id_col].cast("long").eqNullSafe(F.col("__keep")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__spot"))
+    return docs.join(kept, same, "left_semi")
