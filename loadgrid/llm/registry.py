@@ -20,10 +20,11 @@ def op2_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.find_secrets(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    base = F.filter("spans", lambda s: s["kind"] < 3)
-    n = lambda k: F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long")
+    kinds = ("assign", "access", "hex")
+    base = F.filter("spans", lambda s: s["kind"].isin(*kinds))
+    n = [F.size(F.filter("spans", lambda s: s["kind"] == k)).cast("long").alias(f"n_{k}") for k in kinds]  # noqa: B023
     return found.select(
-        "doc_id", n(0).alias("n_assign"), n(1).alias("n_access"), n(2).alias("n_hex"), F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans")
+        "doc_id", *n, F.sha2(secrets.listed(base), 256).alias("base_sha256"), secrets.listed(F.col("spans")).alias("spans")
     )
 
 
