@@ -3,8 +3,9 @@
 Vectors are dealt into cells around pivots and cells into blocks of bounded size; each block of queries and each block
 of data becomes a cover tree: a node is a ball around one of its points, and its children cover it at a smaller scale.
 Two trees are searched together. A pair of nodes is dropped when its bound - inner product of the centres plus what
-both radii can add - is below the worst kth score among the node's queries. Pairs of whole blocks are dropped in the
-same way, after each block of queries has met the data of its own cell. Bounds only prune, so results are exact.
+both radii can add - is below the worst kth score among the node's queries. Blocks of queries are tried in the same way
+against whole cells, then against the blocks of the cells that are left, after each has met the data of its own cell.
+Bounds only prune, so results are exact.
 """
 
 from __future__ import annotations
@@ -19,8 +20,11 @@ from loadgrid.operators.tables import written
 DATA_ROWS, QUERY_ROWS = 8192, 1024
 #: Blocks of data that one task searches in turn for a block of queries.
 BLOCKS_PER_TASK = 8
-#: Pivots are drawn from at most so many rows; they decide where rows go, not what is found.
-PIVOT_SAMPLE, PIVOTS = 2048, 16
+#: Pivots are drawn from at most so many rows; they decide where rows go, not what is found. There is about one for each
+#: ROWS_PER_PIVOT rows, within these bounds.
+PIVOT_SAMPLE, PIVOTS, ROWS_PER_PIVOT = 4096, (16, 512), 4 * DATA_ROWS
+#: Scores that a long can't hold count as the nearest one that it can.
+LOWEST, HIGHEST = -(2**63), 2**63 - 1
 LEAF = 256
 #: Scales of successive levels of a tree.
 BASE = 1.3
@@ -37,6 +41,7 @@ def quantised(vectors: DataFrame, id_col: str, vector_col: str, scale: int) -> D
 
 def pivots_of(vectors: DataFrame) -> dict[int, np.ndarray]:
     """By dimension: points of a bounded sample, each the farthest from those before it."""
+    most = min(max(PIVOTS[0], vectors.count() // ROWS_PER_PIVOT), PIVOTS[1])
     by_dim: dict[int, list] = {}
     for row in vectors.limit(PIVOT_SAMPLE).collect():
         by_dim.setdefault(len(row["v"]), []).append(row["v"])
@@ -44,7 +49,7 @@ def pivots_of(vectors: DataFrame) -> dict[int, np.ndarray]:
     for dim, rows in by_dim.items():
         points = np.array(sorted(rows), np.float64)
         chosen, far = [0], ((points - points[0]) ** 2).sum(1)
-        while len(chosen) < min(PIVOTS, len(points)) and far.max() > 0:
+        while len(chosen) < min(most, len(points)) and far.max() > 0:
             chosen.append(int(far.argmax()))
             far = np.minimum(far, ((points - points[chosen[-1]]) ** 2).sum(1))
         found[dim] = points[chosen]
@@ -79,9 +84,11 @@ class CoverTree:
         order = np.arange(len(points))
         self.x = points.astype(np.float64)
         self.order, self.nodes = order, []
+        self.most = int(max(abs(int(points.max())), abs(int(points.min()))))
         middle = self.x.mean(0)
         self._add(0, len(points), int(((self.x - middle) ** 2).sum(1).argmin()))
         self.x, self.ids = self.x[self.order], ids[self.order]
+        self.whole = points[self.order] if self.most * self.most * points.shape[1] >= 2**53 else None
 
     def _add(self, start: int, stop: int, centre: int) -> int:
         own = self.order[start:stop]
@@ -122,22 +129,30 @@ class Best:
 
     def __init__(self, n: int, k: int):
         self.k = k
-        self.scores = [np.zeros(0)] * n
+        self.scores = [np.zeros(0, np.int64)] * n
         self.ids = [np.zeros(0, np.int64)] * n
         self.worst = np.full(n, -np.inf)
 
     def offer(self, q: int, scores: np.ndarray, ids: np.ndarray) -> None:
-        least = self.worst[q]
         if len(scores) > self.k:
-            least = max(least, np.partition(scores, -self.k)[-self.k])
-        at = np.flatnonzero(scores >= least)
+            at = np.flatnonzero(scores >= max(self.worst[q], np.partition(scores, -self.k)[-self.k]))
+        else:
+            at = np.flatnonzero(scores >= self.worst[q])
         if not len(at):
             return
-        s, i = np.concatenate([self.scores[q], scores[at]]), np.concatenate([self.ids[q], ids[at]])
-        top = np.lexsort((i, -s))[: self.k]
+        s, i = np.concatenate([self.scores[q], scores[at].astype(np.int64)]), np.concatenate([self.ids[q], ids[at]])
+        top = np.lexsort((i, ~s))[: self.k]  # ~s falls as s grows, and can't overflow
         self.scores[q], self.ids[q] = s[top], i[top]
         if len(top) == self.k:
-            self.worst[q] = s[top[-1]]
+            self.worst[q] = np.nextafter(float(s[top[-1]]), -np.inf) if abs(s[top[-1]]) >= 2**53 else s[top[-1]]
+
+
+def products(queries: CoverTree, data: CoverTree, qs: slice, ds: slice) -> np.ndarray:
+    """Inner products, exact: by doubles where these hold all of them, else by whole numbers, within the range of a long."""
+    if queries.most * data.most * queries.x.shape[1] < 2**53:
+        return queries.x[qs] @ data.x[ds].T
+    own = lambda t, at: (t.x[at].astype(np.int64) if t.whole is None else t.whole[at]).astype(object)
+    return np.clip(own(queries, qs) @ own(data, ds).T, LOWEST, HIGHEST).astype(np.int64)
 
 
 def search(queries: CoverTree, data: CoverTree, best: Best) -> None:
@@ -156,7 +171,7 @@ def search(queries: CoverTree, data: CoverTree, best: Best) -> None:
         elif qkids:
             stack += [(c, b) for c in qkids]
         else:
-            scores = queries.x[qs:qe] @ data.x[ds:de].T
+            scores = products(queries, data, slice(qs, qe), slice(ds, de))
             ids = data.ids[ds:de]
             for q in range(qs, qe):
                 row = scores[q - qs]
@@ -164,35 +179,33 @@ def search(queries: CoverTree, data: CoverTree, best: Best) -> None:
                 best.offer(q, *((row[~own], ids[~own]) if own.any() else (row, ids)))
 
 
-BLOCK = "dim int, cell int, salt long, n long, centre binary, radius double, ids binary, data binary, kind string"
+BLOCK = "dim int, cell int, salt long, n long, centre binary, radius double, ids binary, rows binary, data binary, kind string"
 
 
 def _block(rows: pa.Table) -> pa.Table:
     dim = rows["dim"][0].as_py()
-    x, ids = matrix(rows["v"], dim), rows["id"].to_numpy()
-    turn = np.argsort(ids, kind="stable")
-    x, ids = x[turn], ids[turn]
-    most = int(np.abs(x).max())
-    if float(most) ** 2 * dim >= 2.0**53:
-        raise ValueError("vectors are too long for exact inner products")
-    kind = next(t for t in ("int16", "int32", "int64") if most <= np.iinfo(t).max)
-    centre = x.mean(0)
-    radius = float(np.sqrt(((x - centre) ** 2).sum(1).max()))
+    x, ids, places = matrix(rows["v"], dim), rows["id"].to_numpy(), rows["row"].to_numpy()
+    turn = np.lexsort((places, ids))
+    x, ids, places = x[turn], ids[turn], places[turn]
+    kind = next(t for t in ("int16", "int32", "int64") if np.iinfo(t).min <= x.min() and x.max() <= np.iinfo(t).max)
+    fine = x.astype(np.float64)
+    centre = fine.mean(0)
+    radius = float(np.sqrt(((fine - centre) ** 2).sum(1).max()))
     return pa.table({
         "dim": pa.array([dim], pa.int32()), "cell": rows["cell"].slice(0, 1), "salt": rows["salt"].slice(0, 1), "n": pa.array([len(ids)], pa.int64()),
-        "centre": pa.array([centre.tobytes()], pa.binary()), "radius": [radius], "ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()),
+        "centre": pa.array([centre.tobytes()], pa.binary()), "radius": [radius], "ids": pa.array([ids.astype(np.int64).tobytes()], pa.binary()), "rows": pa.array([places.astype(np.int64).tobytes()], pa.binary()),
         "data": pa.array([x.astype(kind).tobytes()], pa.binary()), "kind": [kind],
     })
 
 
 def blocks(cells: DataFrame, rows: int) -> DataFrame:
-    """One row per block of cells (id, v, dim, cell); a cell is salted into as many blocks as its rows need."""
+    """One row per block of cells (id, row, v, dim, cell); a cell is salted into as many blocks as its rows need."""
     counts = cells.groupBy("dim", "cell").agg(F.ceil(F.count("*") / rows).alias("salts"))
     salted = cells.join(F.broadcast(counts), ["dim", "cell"])  # at most PIVOTS rows for each dimension
-    return salted.select("id", "v", "dim", "cell", F.pmod(F.xxhash64("id"), "salts").alias("salt")).groupBy("dim", "cell", "salt").applyInArrow(_block, BLOCK)
+    return salted.select("id", "row", "v", "dim", "cell", F.pmod(F.xxhash64("id", "row"), "salts").alias("salt")).groupBy("dim", "cell", "salt").applyInArrow(_block, BLOCK)
 
 
-FOUND = "query_id long, vec_id long, score long, dim int, cell int, salt long"
+FOUND = "query_row long, query_id long, vec_id long, score long, dim int, cell int, salt long"
 
 
 def _search(k: int):
@@ -200,7 +213,7 @@ def _search(k: int):
 
     def tree(row: dict) -> CoverTree:
         ids = np.frombuffer(row["ids"], np.int64)
-        return CoverTree(np.frombuffer(row["data"], row["kind"]).reshape(len(ids), -1), ids)
+        return CoverTree(np.frombuffer(row["data"], row["kind"]).astype(np.int64).reshape(len(ids), -1), ids)
 
     def run(rows: pa.Table) -> pa.Table:
         rows = rows.sort_by([("side", "ascending"), ("d_cell", "ascending"), ("d_salt", "ascending")]).to_pylist()
@@ -210,10 +223,11 @@ def _search(k: int):
         for row in rows[1:]:
             search(queries, tree(row), best)
         n = [len(i) for i in best.ids]
+        places = np.frombuffer(rows[0]["rows"], np.int64)[queries.order]
         cat = lambda parts, t: pa.array(np.concatenate(parts).astype(np.int64), t)
         total = sum(n)
         return pa.table({
-            "query_id": pa.array(np.repeat(queries.ids, n), pa.int64()), "vec_id": cat(best.ids, pa.int64()), "score": cat(best.scores, pa.int64()),
+            "query_row": pa.array(np.repeat(places, n), pa.int64()), "query_id": pa.array(np.repeat(queries.ids, n), pa.int64()), "vec_id": cat(best.ids, pa.int64()), "score": cat(best.scores, pa.int64()),
             "dim": pa.array([rows[0]["dim"]] * total, pa.int32()), "cell": pa.array([rows[0]["cell"]] * total, pa.int32()), "salt": pa.array([rows[0]["salt"]] * total, pa.int64()),
         })
 
@@ -222,7 +236,7 @@ def _search(k: int):
 
 def searched(pairs: DataFrame, queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
     """The k best of each query among the data of its block's pairs (dim, cell, salt, d_cell, d_salt, worst)."""
-    payload = ["n", "ids", "data", "kind"]
+    payload = ["n", "ids", "rows", "data", "kind"]
     tasks = pairs.withColumn("task", F.floor((F.row_number().over(Window.partitionBy("dim", "cell", "salt").orderBy("d_cell", "d_salt")) - 1) / BLOCKS_PER_TASK))
     named = data.select("dim", F.col("cell").alias("d_cell"), F.col("salt").alias("d_salt"), *payload)
     right = tasks.join(named, ["dim", "d_cell", "d_salt"]).withColumn("side", F.lit(1))
@@ -231,42 +245,66 @@ def searched(pairs: DataFrame, queries: DataFrame, data: DataFrame, k: int) -> D
     return right.unionByName(left).groupBy("dim", "cell", "salt", "task").applyInArrow(_search(k), FOUND)
 
 
-def _bounded(rows):
-    """Whether a block of data can hold anything for a block of queries."""
-    for b in rows:
-        keep = []
-        for row in b.to_pylist():
-            q, d = np.frombuffer(row["q_centre"]), np.frombuffer(row["d_centre"])
-            bound = q @ d + row["q_radius"] * np.sqrt(d @ d) + row["d_radius"] * np.sqrt(q @ q) + row["q_radius"] * row["d_radius"]
-            keep.append(row["worst"] is None or bound + 1e-6 * abs(bound) + 1 >= row["worst"])
-        b = b.filter(pa.array(keep, pa.bool_()))
-        yield b.select(["dim", "cell", "salt", "d_cell", "d_salt", "worst"])
+def bounded(pairs: DataFrame, keep: list[str]) -> DataFrame:
+    """Those pairs of a block of queries (q_centre, q_radius, worst) and a set of data (d_centre, d_radius) that can give anything; only keep of their columns."""
+
+    def run(batches):
+        for b in batches:
+            fits = []
+            for q, qr, d, dr, worst in zip(*(b.column(c).to_pylist() for c in ("q_centre", "q_radius", "d_centre", "d_radius", "worst")), strict=True):
+                q, d = np.frombuffer(q), np.frombuffer(d)
+                bound = q @ d + qr * np.sqrt(d @ d) + dr * np.sqrt(q @ q) + qr * dr
+                fits.append(worst is None or bound + 1e-6 * abs(bound) + 1 >= worst)
+            yield b.filter(pa.array(fits, pa.bool_())).select(keep)
+
+    return pairs.mapInArrow(run, pairs.select(keep).schema)
+
+
+def cells_of(data: DataFrame, pivots: dict[int, np.ndarray]) -> DataFrame:
+    """(dim, d_cell, d_centre, d_radius): a ball around all blocks of each cell; at most PIVOTS for each dimension."""
+
+    def reach(batches):
+        for b in batches:
+            far, centres = [], []
+            for dim, cell, centre, radius in zip(*(b.column(c).to_pylist() for c in ("dim", "cell", "centre", "radius")), strict=True):
+                middle = pivots[dim][cell] if dim in pivots else np.zeros(dim)
+                far.append(float(np.sqrt(((np.frombuffer(centre) - middle) ** 2).sum())) + radius)
+                centres.append(middle.astype(np.float64).tobytes())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(centres, pa.binary()), pa.array(far, pa.float64())], names=["dim", "d_cell", "d_centre", "d_radius"])
+
+    each = data.select("dim", "cell", "centre", "radius").mapInArrow(reach, "dim int, d_cell int, d_centre binary, d_radius double")
+    return each.groupBy("dim", "d_cell").agg(F.min("d_centre").alias("d_centre"), (F.max("d_radius") * (1 + 1e-9) + 1e-6).alias("d_radius"))
 
 
 def top_k(vectors: DataFrame, is_query, k: int = 5, id_col: str = "vec_id", vector_col: str = "embedding", scale: int = 256) -> DataFrame:
     """The k best rows for each query: query_id, rank from 1, vec_id, score; all others, if there are fewer than k.
 
-    is_query: a condition on id_col. Components become floor(scale * x); scores are inner products, ties go to the
-    smaller id. Vectors that are null, empty, or hold null or non-finite components take no part, nor do rows with a
-    null id; vectors of different dimensions are not compared. Rows that share the query's id are the query's own; other
-    rows that share an id compete one by one. Components beyond what is exact in a double raise an error. Other columns
+    is_query: a condition on id_col. Components become floor(scale * x), scores are inner products, ties go to the
+    smaller id. Components and scores beyond 64 bits count as the nearest number of 64 bits. Vectors that are null,
+    empty, or hold null or non-finite components take no part, nor do rows with a null id; vectors of different
+    dimensions are not compared. Rows that share the query's id are the query's own; other rows that share an id compete
+    one by one. Each row with a query's id is a query of its own, so a repeated id has its ranks as often. Other columns
     have no effect. An empty table gives an empty result.
     """
     rows = quantised(vectors.select(id_col, vector_col), id_col, vector_col, scale)
-    cells = written(rows.mapInArrow(_cells(pivots_of(rows)), "id long, v array<long>, dim int, cell int"))
+    pivots = pivots_of(rows)
+    cells = written(rows.mapInArrow(_cells(pivots), "id long, v array<long>, dim int, cell int").withColumn("row", F.monotonically_increasing_id()))
     data = written(blocks(cells, DATA_ROWS))
     queries = written(blocks(cells.withColumnRenamed("id", id_col).where(is_query).withColumnRenamed(id_col, "id"), QUERY_ROWS))
-    # block descriptions only; the stated query set meets all data, block by block
+    # descriptions only; the stated query set meets all data, block by block
     described = data.select("dim", F.col("cell").alias("d_cell"), F.col("salt").alias("d_salt"), F.col("centre").alias("d_centre"), F.col("radius").alias("d_radius"))
     wanted = queries.select("dim", "cell", "salt", F.col("centre").alias("q_centre"), F.col("radius").alias("q_radius"))
-    pairs = wanted.join(described, "dim")
-    home = F.col("cell") == F.col("d_cell")
-    own = written(searched(pairs.where(home).select("dim", "cell", "salt", "d_cell", "d_salt", F.lit(None).cast("double").alias("worst")), queries, data, k))
-    kth = own.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") == k)
+    home = wanted.join(described, (wanted["dim"] == described["dim"]) & (F.col("cell") == F.col("d_cell"))).select(wanted["dim"], "cell", "salt", "d_cell", "d_salt", F.lit(None).cast("double").alias("worst"))
+    own = written(searched(home, queries, data, k))
+    kth = own.withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") == k)
     have = kth.groupBy("dim", "cell", "salt").agg(F.min("score").cast("double").alias("worst"), F.count("*").alias("have"))
     # a block's bound holds only if all its queries have k rows
     have = queries.select("dim", "cell", "salt", "n").join(have, ["dim", "cell", "salt"]).where("have = n").select("dim", "cell", "salt", "worst")
-    others = pairs.where(~home).join(have, ["dim", "cell", "salt"], "left").mapInArrow(_bounded, "dim int, cell int, salt long, d_cell int, d_salt long, worst double")
+    open_ = wanted.join(have, ["dim", "cell", "salt"], "left")
+    # at most PIVOTS cells for each dimension
+    cell_pairs = open_.join(F.broadcast(cells_of(data, pivots)), "dim").where(F.col("cell") != F.col("d_cell"))
+    cell_pairs = written(bounded(cell_pairs, ["dim", "cell", "salt", "q_centre", "q_radius", "worst", "d_cell"]))
+    others = bounded(cell_pairs.join(described, ["dim", "d_cell"]), ["dim", "cell", "salt", "d_cell", "d_salt", "worst"])
     rest = searched(written(others), queries, data, k)
-    ranked = own.unionByName(rest).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")))
+    ranked = own.unionByName(rest).withColumn("rank", F.row_number().over(Window.partitionBy("query_row").orderBy(F.desc("score"), "vec_id")))
     return ranked.where(F.col("rank") <= k).select("query_id", "rank", F.col("vec_id").alias(id_col), "score")
