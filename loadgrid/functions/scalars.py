@@ -24,6 +24,12 @@ def from_unix(seconds: Column) -> Column:
     return F.timestamp_seconds(seconds)
 
 
+def uniform(seed: int, *keys) -> Column:
+    """A number from [0, 1) that depends on seed and keys alone: the first 48 bits of an MD5 sum."""
+    text = F.concat_ws(":", F.lit(str(seed)), *(F.coalesce((F.col(k) if isinstance(k, str) else k).cast("string"), F.lit("null")) for k in keys))
+    return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
+
+
 def location_id(name: Column) -> Column:
     """The first four bytes of the name's SHA-256, little-endian, without the sign bit. Null stays null."""
     h = F.sha2(name, 256)

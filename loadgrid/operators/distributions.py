@@ -11,11 +11,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+#: What is added to weights, means and deviations; the values of a grid between the bounds.
 EPS = 1e-6
 GRID = 1000
+#: How many deviations a grid reaches beyond a mean, and by what share of its range it is padded.
+SCALE, PAD = 4.0, 0.2
 
 
-def bounds(mixtures: DataFrame, group: list[str], components: str = "components", scale: float = 4.0, pad: float = 0.2) -> DataFrame:
+def bounds(mixtures: DataFrame, group: list[str], components: str = "components", scale: float = SCALE, pad: float = PAD) -> DataFrame:
     """(group, low, high): the range that all mixtures of a group reach, padded on both sides."""
     reach = lambda s: F.transform(components, lambda c: c["mu"] + s * scale * c["sigma"])
     ends = mixtures.groupBy(*group).agg(F.min(F.array_min(reach(-1))).alias("a"), F.max(F.array_max(reach(1))).alias("b"))
@@ -96,9 +99,37 @@ def quantiles(mixtures: DataFrame, keys: list[str], group: list[str], levels: li
 
 
 def chosen(forecast: DataFrame, levels: list[float], quantile: str = "quantile") -> DataFrame:
-    """Rows of the wanted levels; a level that the forecast lacks raises an error."""
-    have = {round(r[0], 6) for r in forecast.select(quantile).distinct().collect()}
-    missing = [q for q in levels if round(q, 6) not in have]
-    if missing:
-        raise ValueError(f"forecast lacks quantiles {missing}")
-    return forecast.where(F.round(quantile, 6).isin([round(q, 6) for q in levels]))
+    """Rows of the wanted levels; reading it raises an error if the forecast lacks a level."""
+    level = F.round(quantile, 6)
+    wanted = [round(q, 6) for q in levels]
+    have = forecast.select(level.alias("q")).where(F.col("q").isin(wanted)).agg(F.sort_array(F.collect_set("q")).alias("have"))
+    missing = F.array_except(F.array(*map(F.lit, wanted)), "have")
+    # one row, at most one entry for each wanted level
+    checked = have.select(F.when(F.size(missing) > 0, F.raise_error(F.concat(F.lit("forecast lacks quantiles "), missing.cast("string"))).cast("boolean")).otherwise(F.lit(True)).alias("__ok"))
+    return forecast.where(level.isin(wanted)).join(F.broadcast(checked), F.col("__ok"), "inner").drop("__ok") if wanted else forecast.where("false")
+
+
+def distributions(mixtures: DataFrame, keys: list[str], group: list[str], n: int = 50, components: str = "components") -> DataFrame:
+    """(keys, pos, x, reached): the distribution of each mixture on n values between its group's bounds."""
+    joined = mixtures.join(bounds(mixtures, group, components), group).select(*keys, components, "low", "high")
+    k = len(keys)
+
+    def run(batches):
+        for b in batches:
+            for at in range(0, b.num_rows, 1000):
+                part = b.slice(at, 1000)
+                rows = part.column(k).to_pylist()
+                low, high = (part.column(k + j).to_numpy(zero_copy_only=False) for j in (1, 2))
+                x = low[:, None] + (high - low)[:, None] * np.arange(n) / max(n - 1, 1)
+                out = np.full(x.shape, np.nan)
+                for size in {len(c or []) for c in rows} - {0}:
+                    own = [i for i, c in enumerate(rows) if len(c or []) == size]
+                    get = lambda f, own=own, rows=rows: np.array([[np.nan if c[f] is None else c[f] for c in rows[i]] for i in own], float)
+                    out[own] = cdf(np.exp(get("logpi")), get("sigma"), get("mu"), x[own])
+                rep = pa.array(np.repeat(np.arange(len(rows)), n))
+                yield pa.RecordBatch.from_arrays(
+                    [*(part.column(j).take(rep) for j in range(k)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(rows))), pa.array(x.ravel()), pa.array(out.ravel(), from_pandas=True)], names=[*keys, "pos", "x", "reached"]
+                )
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:k])
+    return joined.mapInArrow(run, f"{fields}, pos int, x double, reached double")

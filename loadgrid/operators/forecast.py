@@ -59,6 +59,12 @@ def predicted(windows: DataFrame, predictor: Callable, keys: list[str], x: str =
     return rows.mapInArrow(run, f"{fields}, pos long, values array<double>")
 
 
+def mixtures(forecast: DataFrame, values: str = "values") -> DataFrame:
+    """forecast with components, a mixture of normals, in place of values: (logpi, sigma, mu) of each in turn."""
+    each = F.transform(F.sequence(F.lit(0), F.floor(F.size(values) / 3).cast("int") - 1), lambda i: F.struct(*(F.get(F.col(values), i * 3 + k).alias(n) for k, n in enumerate(("logpi", "sigma", "mu")))))
+    return forecast.withColumn("components", each).drop(values)
+
+
 def timed(forecast: DataFrame, keys: list[str], levels: list[float], step: int, first: str = "forecast_start") -> DataFrame:
     """(keys, ts, quantile, value) of (keys, first, pos, values), values being in the order of levels."""
     rows = forecast.select(*keys, (F.col(first) + F.col("pos") * step).alias("ts"), F.posexplode("values").alias("__q", "value"))

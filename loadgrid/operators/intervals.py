@@ -1,54 +1,72 @@
 """Set algebra on half-open intervals [start, stop) per location.
 
-All sets are DataFrames (location_id, start, stop) of longs; times are Unix seconds. Windows are always partitioned by
-location, and events at one time are summed before a window sees them. Results are clean: sorted out, disjoint and not
-adjacent. Rows with a null are no intervals.
+All sets are DataFrames (location_id, start, stop) of longs; times are Unix seconds. Sweeps see starts and stops as events,
+summed where they fall together, in windows over a location's bucket of BUCKET seconds; counts are carried from bucket to
+bucket, so that no task gets all of a location. Results are clean: sorted out, disjoint and not adjacent. Rows with a
+null are no intervals.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from collections.abc import Callable
 
-from loadgrid.functions.scalars import location_id
+from pyspark.sql import Column, DataFrame, functions as F
+
+from loadgrid.functions.scalars import location_id, uniform
+from loadgrid.operators.running import bucket_of, running
+from loadgrid.operators.tables import written
 
 LOC, START, STOP = "location_id", "start", "stop"
 FAR = 2**62
+#: Seconds of a location that one task sweeps at a time.
+BUCKET = 86400
+#: Ranges into which the sum of all lengths is cut for draws.
+PARTS = 4096
+
+
+def _events(x: DataFrame, da: int, db: int) -> DataFrame:
+    real = x.where(F.col(STOP) > F.col(START))
+    ends = F.array(*(F.struct(F.col(c).alias("t"), F.lit(s * da).alias("da"), F.lit(s * db).alias("db")) for c, s in ((START, 1), (STOP, -1))))
+    return real.select(LOC, F.inline(ends))
+
+
+def _changes(events: DataFrame, keep: Callable[[Column, Column], Column]) -> DataFrame:
+    """(location_id, t, place): times at which keep of the running sums of da and db begins or ends to hold, numbered from 0.
+
+    keep doesn't hold where both sums are 0, so that even places begin an interval, and odd ones end it.
+    """
+    # dealt out once for the sums and the windows
+    dealt = events.withColumn("__b", bucket_of(F.col("t"), BUCKET)).repartition(LOC, "__b")
+    net = dealt.groupBy(LOC, "__b", "t").agg(F.sum("da").alias("da"), F.sum("db").alias("db")).where("da <> 0 OR db <> 0")
+    a, b = F.col("in_a"), F.col("in_b")
+    turns = running(net, [LOC], "__b", ["t"], sums={"in_a": F.col("da"), "in_b": F.col("db")}).where(keep(a, b) != keep(a - F.col("da"), b - F.col("db")))
+    return running(turns.select(LOC, "__b", "t"), [LOC], "__b", ["t"], sums={"place": F.lit(1).cast("long")}).select(LOC, "t", (F.col("place") - 1).alias("place"))
+
+
+def _between(changes: DataFrame) -> DataFrame:
+    return changes.groupBy(LOC, F.floor(F.col("place") / 2).alias("__n")).agg(F.min("t").alias(START), F.max("t").alias(STOP)).drop("__n")
 
 
 def clean(a: DataFrame) -> DataFrame:
     """Drops empty and reversed intervals and merges those that overlap or touch."""
-    w = Window.partitionBy(LOC).orderBy(START, STOP)
-    reach = F.max(STOP).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    rows = a.select(LOC, START, STOP).where(F.col(STOP) > F.col(START)).withColumn("__new", F.when(F.col(START) <= reach, 0).otherwise(1))
-    rows = rows.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return rows.groupBy(LOC, "__island").agg(F.min(START).alias(START), F.max(STOP).alias(STOP)).drop("__island")
+    return _between(_changes(_events(a, 1, 0), lambda x, y: x > 0))
 
 
 def union(a: DataFrame, b: DataFrame) -> DataFrame:
     return clean(a.select(LOC, START, STOP).unionByName(b.select(LOC, START, STOP)))
 
 
-def _sweep(a: DataFrame, b: DataFrame, keep: Column) -> DataFrame:
-    """Where keep holds, an expression on in_a and in_b, the numbers of open intervals of either set."""
-
-    def events(x: DataFrame, da: int, db: int) -> DataFrame:
-        real = x.where(F.col(STOP) > F.col(START))
-        ends = F.array(*(F.struct(F.col(c).alias("t"), F.lit(s * da).alias("da"), F.lit(s * db).alias("db")) for c, s in ((START, 1), (STOP, -1))))
-        return real.select(LOC, F.inline(ends))
-
-    w = Window.partitionBy(LOC).orderBy("t")
-    upto = w.rowsBetween(Window.unboundedPreceding, 0)
-    net = events(a, 1, 0).unionByName(events(b, 0, 1)).groupBy(LOC, "t").agg(F.sum("da").alias("da"), F.sum("db").alias("db"))
-    parts = net.select(LOC, F.col("t").alias(START), F.lead("t").over(w).alias(STOP), F.sum("da").over(upto).alias("in_a"), F.sum("db").over(upto).alias("in_b"))
-    return clean(parts.where(keep))
+def _sweep(a: DataFrame, b: DataFrame, keep: Callable[[Column, Column], Column]) -> DataFrame:
+    """Where keep holds of the numbers of open intervals of either set."""
+    return _between(_changes(_events(a, 1, 0).unionByName(_events(b, 0, 1)), keep))
 
 
 def subtract(a: DataFrame, b: DataFrame) -> DataFrame:
-    return _sweep(a, b, (F.col("in_a") > 0) & (F.col("in_b") == 0))
+    return _sweep(a, b, lambda x, y: (x > 0) & (y == 0))
 
 
 def intersect(a: DataFrame, b: DataFrame) -> DataFrame:
-    return _sweep(a, b, (F.col("in_a") > 0) & (F.col("in_b") > 0))
+    return _sweep(a, b, lambda x, y: (x > 0) & (y > 0))
 
 
 def clip(a: DataFrame, low: int | Column, high: int | Column) -> DataFrame:
@@ -59,13 +77,11 @@ def clip(a: DataFrame, low: int | Column, high: int | Column) -> DataFrame:
 
 def invert(a: DataFrame) -> DataFrame:
     """The gaps of each location, with open ends at plus and minus 2**62."""
-    c = clean(a)
-    w = Window.partitionBy(LOC).orderBy(START)
-    before = F.coalesce(F.lag(STOP).over(w), F.lit(-FAR))
-    last = F.lead(START).over(w).isNull()
-    c = c.select(LOC, START, STOP, before.alias("__before"), last.alias("__last"))
-    gaps = F.array(F.struct(F.col("__before").alias(START), F.col(START).alias(STOP)), F.when(F.col("__last"), F.struct(F.col(STOP).alias(START), F.lit(FAR).alias(STOP))))
-    return c.select(LOC, F.explode(F.array_compact(gaps)).alias("g")).select(LOC, f"g.{START}", f"g.{STOP}")
+    changes = _changes(_events(a, 1, 0), lambda x, y: x > 0)
+    # each gap lies between the stop and the start of one pair, moved on by one
+    begin, end = (F.max(F.when(F.col("place") % 2 == k, F.col("t"))) for k in (1, 0))
+    gaps = changes.groupBy(LOC, F.floor((F.col("place") + 1) / 2).alias("__n")).agg(F.coalesce(begin, F.lit(-FAR)).alias(START), F.coalesce(end, F.lit(FAR)).alias(STOP))
+    return gaps.drop("__n")
 
 
 def add_duration(a: DataFrame, seconds: int | Column) -> DataFrame:
@@ -104,19 +120,20 @@ def of_spans(spans: DataFrame, start: str = "start_time", count: str = "num_valu
     return spans.select(LOC, F.col(start).alias(START), (F.col(start) + F.col(count).cast("long") * F.col(step)).alias(STOP))
 
 
-def locate(points: DataFrame, a: DataFrame, t: str = "t", carry: list[str] | None = None) -> DataFrame:
+def locate(points: DataFrame, a: DataFrame, t: str = "t", carry: list[str] | None = None, bucket: int = BUCKET) -> DataFrame:
     """points with hit_start and hit_stop of the interval of a that holds them, null if none does.
 
     carry names further columns of a to bring along. a must be disjoint within a location. An as-of join: points and
-    starts are sorted together once per location, and the last start before a point is its candidate.
+    starts are sorted together within buckets of so much time, and the last start before a point, in its bucket or one
+    before, is its candidate.
     """
     carry = carry or []
     payload = F.struct(F.col(START).alias("hit_start"), F.col(STOP).alias("hit_stop"), *carry)
     left = points.select(F.col(LOC).alias("__loc"), F.col(t).alias("__t"), F.lit(1).alias("__kind"), F.struct(*points.columns).alias("__row"))
     starts = a.where(F.col(STOP) > F.col(START)).select(F.col(LOC).alias("__loc"), F.col(START).alias("__t"), F.lit(0).alias("__kind"), payload.alias("__iv"))
     both = left.unionByName(starts, allowMissingColumns=True)
-    w = Window.partitionBy("__loc").orderBy("__t", "__kind").rowsBetween(Window.unboundedPreceding, 0)
-    found = both.withColumn("__iv", F.last("__iv", ignorenulls=True).over(w)).where("__kind = 1")
+    both = both.withColumn("__b", bucket_of(F.col("__t"), bucket))
+    found = running(both, ["__loc"], "__b", ["__t", "__kind"], lasts={"__iv": F.col("__iv")}).where("__kind = 1")
     hit = F.when(F.col("__t") < F.col("__iv.hit_stop"), F.col("__iv"))
     return found.select("__row.*", *(hit[c].alias(c) for c in ("hit_start", "hit_stop", *carry)))
 
@@ -146,10 +163,13 @@ def with_coverage(a: DataFrame, length: int, least: int, resolution: int) -> Dat
     """Points x with at least `least` of [x, x + length) in a, to within resolution."""
     shifts = F.sequence(F.lit(0), F.lit((round(length / resolution) - 1) * resolution), F.lit(resolution))
     ends = F.array(F.struct(F.col(START).alias("t"), F.lit(1).alias("d")), F.struct(F.col(STOP).alias("t"), F.lit(-1).alias("d")))
-    events = a.select(LOC, F.inline(ends)).withColumn("s", F.explode(shifts)).groupBy(LOC, (F.col("t") - F.col("s")).alias("t")).agg(F.sum("d").alias("d"))
-    w = Window.partitionBy(LOC).orderBy("t")
-    rows = events.select(LOC, F.col("t").alias(START), (F.lead("t").over(w) + resolution + 1).alias(STOP), F.sum("d").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("n"))
-    return union(add_duration(a, -least), rows.where((F.col("n") >= round(least / resolution)) & F.col(STOP).isNotNull()))
+    events = a.select(LOC, F.inline(ends)).withColumn("s", F.explode(shifts)).select(LOC, (F.col("t") - F.col("s")).alias("t"), F.col("d").alias("da"), F.lit(0).alias("db"))
+    wanted = round(least / resolution)
+    if wanted > 0:
+        rows = _between(_changes(events, lambda x, y: x >= wanted))
+    else:  # from the first event to the last
+        rows = events.groupBy(LOC).agg(F.min("t").alias(START), F.max("t").alias(STOP))
+    return union(add_duration(a, -least), rows.withColumn(STOP, F.col(STOP) + resolution + 1))
 
 
 def fill_gaps(a: DataFrame, gap_hours: int, context_days: int, valid_ratio: float) -> DataFrame:
@@ -178,26 +198,24 @@ def count_starts(a: DataFrame, step: int, phase: int = 0) -> DataFrame:
 def sample_points(a: DataFrame, n: int, step: int, seed: int) -> DataFrame:
     """(draw, location_id, t): n draws with replacement, intervals by length, points on multiples of step.
 
-    Lengths are summed per location first, so that the running sum over all is taken over one row per location; draws
-    find their location, then their interval, by as-of joins on running sums. Depends on seed alone, not on partitions.
+    Lengths are summed per location, then over locations; draws find their location, then their interval, by as-of joins
+    on these running sums, in ranges of equal width. A draw's numbers are MD5 sums of seed and draw alone.
     """
-    spark = a.sparkSession
     c = clean(a).withColumn("size", F.col(STOP) - F.col(START))
-    by_loc = c.groupBy(LOC).agg(F.sum("size").alias("size"))
-    # one row per location
-    running = by_loc.withColumn("upto", F.sum("size").over(Window.orderBy(LOC).rowsBetween(Window.unboundedPreceding, 0))).withColumn("total", F.sum("size").over(Window.partitionBy()))
-    uniform = lambda *salt: F.pmod(F.xxhash64(F.lit(seed), "draw", *map(F.lit, salt)), F.lit(2**53)).cast("double") / 2.0**53
-    total = running.agg(F.max("total")).first()[0] or 0
-    draws = spark.range(n if total else 0).select(F.col("id").alias("draw")).withColumn("u", F.floor(uniform("interval") * total).cast("long"))
-    whole = running.select(F.lit(0).cast("long").alias(LOC), (F.col("upto") - F.col("size")).alias(START), F.col("upto").alias(STOP), F.col(LOC).alias("own"))
-    at_loc = locate(draws.withColumn(LOC, F.lit(0).cast("long")), whole, "u", ["own"])
+    sized = written(c)
+    by_loc = sized.groupBy(LOC).agg(F.sum("size").alias("size")).select(F.lit(0).cast("long").alias("__all"), LOC, "size", F.shiftright(LOC, 16).alias("__b"))
+    upto = written(running(by_loc, ["__all"], "__b", [LOC], sums={"upto": F.col("size")}))
+    total = upto.agg(F.max("upto")).first()[0] or 0
+    draws = a.sparkSession.range(n if total else 0).select(F.col("id").alias("draw")).withColumn("u", F.floor(uniform(seed, F.lit("interval"), F.col("draw")) * total).cast("long"))
+    whole = upto.select(F.col("__all").alias(LOC), (F.col("upto") - F.col("size")).alias(START), F.col("upto").alias(STOP), F.col(LOC).alias("own"))
+    width = max(1, total // PARTS)
+    at_loc = locate(draws.withColumn(LOC, F.lit(0).cast("long")), whole, "u", ["own"], width)
     inside = at_loc.select("draw", F.col("own").alias(LOC), (F.col("u") - F.col("hit_start")).alias("u"))
-    w = Window.partitionBy(LOC).orderBy(START).rowsBetween(Window.unboundedPreceding, 0)
-    parts = c.withColumn("upto", F.sum("size").over(w)).select(LOC, (F.col("upto") - F.col("size")).alias("low"), F.col("upto").alias("high"), F.col(START).alias("iv_start"), F.col(STOP).alias("iv_stop"))
-    parts = parts.select(LOC, F.col("low").alias(START), F.col("high").alias(STOP), "iv_start", "iv_stop")
-    drawn = locate(inside, parts, "u", ["iv_start", "iv_stop"])
+    ordered = running(sized.withColumn("__b", bucket_of(F.col(START), BUCKET)), [LOC], "__b", [START], sums={"upto": F.col("size")})
+    parts = ordered.select(LOC, F.col(START).alias("iv_start"), F.col(STOP).alias("iv_stop"), (F.col("upto") - F.col("size")).alias(START), F.col("upto").alias(STOP))
+    drawn = locate(inside, parts, "u", ["iv_start", "iv_stop"], width)
     first, last = ceil_to(F.col("iv_start"), step), floor_to(F.col("iv_stop"), step)
-    t = first + (F.floor(uniform("point") * F.greatest(last - first, F.lit(0)) / step) * step).cast("long")
+    t = first + (F.floor(uniform(seed, F.lit("point"), F.col("draw")) * F.greatest(last - first, F.lit(0)) / step) * step).cast("long")
     return drawn.select("draw", LOC, t.alias("t"))
 
 
@@ -226,15 +244,20 @@ def overlapping(spans: DataFrame, low: int, high: int, start: str = START, stop:
 
 def overlaps(a: DataFrame) -> DataFrame:
     """(location_id, start, previous_stop) of intervals that begin before an earlier one of their location stops."""
-    w = Window.partitionBy(LOC).orderBy(START, STOP).rowsBetween(Window.unboundedPreceding, -1)
-    return a.withColumn("previous_stop", F.max(STOP).over(w)).where(F.col(START) < F.col("previous_stop")).select(LOC, START, "previous_stop")
+    return _previous(a).where(F.col(START) < F.col("previous_stop")).select(LOC, START, "previous_stop")
+
+
+def _previous(a: DataFrame) -> DataFrame:
+    """a with previous_stop, the greatest stop of those before it by start, then stop; null for the first one."""
+    rows = a.withColumn("__b", bucket_of(F.col(START), BUCKET))
+    return running(rows, [LOC], "__b", [START, STOP], maxes={"previous_stop": F.col(STOP)}, own=False).drop("__b")
 
 
 def checked_disjoint(a: DataFrame) -> DataFrame:
     """a; reading it raises an error that names a location with overlapping intervals."""
-    w = Window.partitionBy(LOC).orderBy(START, STOP).rowsBetween(Window.unboundedPreceding, -1)
-    bad = F.col(START) < F.max(STOP).over(w)
-    return a.withColumn(START, F.when(bad, F.raise_error(F.concat(F.lit("overlapping spans of location "), F.col(LOC).cast("string")))).otherwise(F.col(START)).cast("long"))
+    bad = F.col(START) < F.col("previous_stop")
+    checked = F.when(bad, F.raise_error(F.concat(F.lit("overlapping spans of location "), F.col(LOC).cast("string")))).otherwise(F.col(START)).cast("long")
+    return _previous(a).withColumn(START, checked).drop("previous_stop")
 
 
 def common(groups: list[list[DataFrame]]) -> DataFrame:

@@ -8,8 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from loadgrid.operators.running import bucket_of, running
+
 #: Values of a span at most: longer runs are cut, so that no row grows with a series.
 MOST_VALUES = 105_408
+#: Seconds of a series that one task looks at when it is cut into runs.
+BUCKET = 7 * 86400
 
 
 def bare(x: Column) -> Column:
@@ -23,11 +27,12 @@ def to_spans(samples: DataFrame, step: int, keys: list[str], ts: str = "ts", val
     A run ends where the next sample isn't one step later, and after most values. Of several samples at one time the
     smallest counts.
     """
-    one = samples.groupBy(*keys, ts).agg(F.min(value).alias(value))
-    w = Window.partitionBy(*keys).orderBy(ts)
-    runs = one.withColumn("__new", F.when(F.col(ts) - F.lag(ts).over(w) == step, 0).otherwise(1)).withColumn("__run", F.sum("__new").over(w))
-    first = F.min(ts).over(Window.partitionBy(*keys, "__run"))
-    part = F.floor((F.col(ts) - first) / (step * most))
+    one = samples.groupBy(*keys, ts).agg(F.min(value).alias(value)).withColumn("__b", bucket_of(F.col(ts), BUCKET))
+    t = F.col(ts)
+    last = running(one, keys, "__b", [ts], maxes={"__before": t}, own=False)
+    begins = F.when(t - F.col("__before") == step, None).otherwise(t)
+    runs = running(last.withColumn("__begins", begins), keys, "__b", [ts], maxes={"__run": F.col("__begins")})
+    part = F.floor((t - F.col("__run")) / (step * most))
     rows = runs.withColumn("__part", part).groupBy(*keys, "__run", "__part").agg(F.array_sort(F.collect_list(F.struct(ts, value))).alias("rows"))
     return rows.select(
         *keys, F.col("rows")[0][ts].alias("start_time"), F.lit(step).alias("sample_interval_s"), F.size("rows").cast("long").alias("num_values"), F.transform("rows", lambda r: r[value]).alias("values")

@@ -133,6 +133,12 @@ def with_limits(rows: DataFrame, limits: DataFrame, key: str = "location") -> Da
     return rows.join(limits.dropDuplicates([key]), key, "left")
 
 
+def for_sign(scores: DataFrame, limits: DataFrame, low: bool, key: str = "location") -> DataFrame:
+    """Scores of those locations whose sign asks for them: troughs (low) where it is ODN or BOTH, peaks where LDN or BOTH."""
+    wanted = limits.where(F.col("sign").isin("BOTH", "ODN" if low else "LDN")).select(key).distinct()
+    return scores.join(wanted, key, "left_semi")
+
+
 def to_wide(report: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     """(keys, metric, quantile, value) as one column for each of names, metric_quantile or metric."""
     name = F.when(F.col("quantile").isNull(), F.col("metric")).otherwise(F.concat_ws("_", "metric", F.col("quantile").cast("string")))

@@ -7,12 +7,14 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
+from loadgrid.functions.scalars import uniform
 from loadgrid.operators import intervals as iv
 from loadgrid.operators.ranks import with_rank
 from loadgrid.operators.resample import bare
+from loadgrid.operators.tables import written
 
 DAY = 86400
-#: For an interval in minutes, the least and most days of context.
+#: For an interval in minutes, the least and most days of context; the days and intervals that are tried.
 CONTEXT_LIMITS = {5: (7, 10), 10: (7, 14), 15: (11, 32), 30: (16, 64), 60: (16, 64), 1440: (32, 364), 10080: (64, 364)}
 CONTEXT_DAYS, INTERVALS = (7, 10, 14, 16, 32, 64, 364), (5, 10, 15, 30, 60, 1440, 10080)
 
@@ -47,21 +49,16 @@ def training_starts(a: DataFrame, context_days: int, gap_percent: float, valid_r
     return iv.add_duration(filled, -context_days * DAY) if shorten else filled
 
 
-def _draw(seed: int, *keys) -> Column:
-    """A number from [0, 1) that depends on seed and keys alone."""
-    return F.pmod(F.xxhash64(F.lit(seed), *keys), F.lit(2**53)).cast("double") / 2.0**53
-
-
 def random_split(a: DataFrame, percent: float, seed: int) -> tuple[DataFrame, DataFrame]:
     """int(percent of the intervals), drawn without replacement, and the others."""
-    ranked = with_rank(a, [_draw(seed, "location_id", "start", "stop"), F.col("location_id"), F.col("start")], "__rank")
+    ranked = with_rank(a, [uniform(seed, "location_id", "start", "stop"), F.col("location_id"), F.col("start")], "__rank")
     n = int(percent / 100 * ranked.count())
     return ranked.where(F.col("__rank") < n).drop("__rank"), ranked.where(F.col("__rank") >= n).drop("__rank")
 
 
 def location_split(a: DataFrame, percent: int, seed: int) -> tuple[DataFrame, DataFrame]:
     """Rows of n * percent // 100 of the n locations, and those of the others."""
-    ids = with_rank(a.select("location_id").distinct(), [_draw(seed, "location_id"), F.col("location_id")], "__rank")
+    ids = with_rank(a.select("location_id").distinct(), [uniform(seed, "location_id"), F.col("location_id")], "__rank")
     return iv.split_locations(a, ids.where(F.col("__rank") < ids.count() * percent // 100))
 
 
@@ -120,7 +117,7 @@ def prediction_masks(values: Column, predict: Column | int, target: bool = True)
 
 def variable_width(seed: int, size: Column, keys: list, low: float, high: float, per_day: int) -> Column:
     """Width of the predicted part: at least a day, else a share of size drawn per window between low and high."""
-    return F.greatest(F.lit(per_day), F.floor(size * (_draw(seed, *keys) * (high - low) + low)).cast("int"))
+    return F.greatest(F.lit(per_day), F.floor(size * (uniform(seed, *keys) * (high - low) + low)).cast("int"))
 
 
 def patch_masks(values: Column, patch: int, share: float, seed: int, keys: list) -> tuple[Column, Column]:
@@ -128,7 +125,7 @@ def patch_masks(values: Column, patch: int, share: float, seed: int, keys: list)
 
     Null elements are not asked; the input mask is the complement.
     """
-    patches = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.size(values) / patch).cast("int") - 1)), lambda p: _draw(seed, *keys, p))
+    patches = F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), F.floor(F.size(values) / patch).cast("int") - 1)), lambda p: uniform(seed, *keys, p))
     least = F.array_min(patches)
     asked = F.transform(values, lambda v, i: F.when(v.isNull(), 0).when(F.get(patches, F.floor(i / patch).cast("int")) <= F.greatest(F.lit(share), least), 1).otherwise(0))
     return F.transform(asked, lambda m: 1 - m), asked
@@ -164,19 +161,17 @@ def calm(values: Column, predict: int, peak: float = 10.0, offset: float = 0.8,
     return ~(F.coalesce(ratio > peak, F.lit(False)) | F.coalesce(moved > offset, F.lit(False)))
 
 
-def topped_up(windows: DataFrame, valid: Column, seed: int) -> DataFrame:
+def topped_up(windows: DataFrame, valid: Column, seed: int, keys: list[str]) -> DataFrame:
     """As many rows as windows: the valid ones, and in place of each other one a valid one, drawn with replacement.
 
-    slot numbers the rows. Without any valid row the result is empty.
+    slot numbers the rows, the valid ones first, in the order of keys. Without any valid row the result is empty.
     """
-    from loadgrid.operators.tables import written
-
     rows = written(windows.withColumn("__valid", F.coalesce(valid, F.lit(False))))
-    good = written(with_rank(rows.where("__valid").drop("__valid"), [F.xxhash64(*[c for c in windows.columns])], "__rank"))
+    good = written(with_rank(rows.where("__valid").drop("__valid"), [F.col(k) for k in keys], "__rank"))
     n_good, n_all = good.count(), rows.count()
     if not n_good:
         return good.withColumnRenamed("__rank", "slot")
-    more = windows.sparkSession.range(n_good, n_all).select(F.col("id").alias("slot"), F.floor(_draw(seed, "id") * n_good).cast("long").alias("__rank"))
+    more = windows.sparkSession.range(n_good, n_all).select(F.col("id").alias("slot"), F.floor(uniform(seed, "id") * n_good).cast("long").alias("__rank"))
     slots = good.select(F.col("__rank").alias("slot"), "__rank").unionByName(more)
     return slots.join(good, "__rank").drop("__rank")
 
@@ -206,7 +201,7 @@ def batches(rows: DataFrame, keys: list[str], size: int, world: int = 1, seed: i
     A batch has size rows of one rank; drop_last leaves out a rank's last, incomplete one. features: a column that must
     be the same within a batch, else reading raises an error.
     """
-    order = [_draw(seed + epoch * 1_000_003, *keys)] if shuffle else []
+    order = [uniform(seed + epoch * 1_000_003, *keys)] if shuffle else []
     numbered = with_rank(rows, [*order, *map(F.col, keys)], "__n")
     own = F.floor(F.col("__n") / world)
     dealt = numbered.withColumns({"rank": (F.col("__n") % world).cast("int"), "batch": F.floor(own / size).cast("long"), "place": (own % size).cast("int")})
@@ -236,14 +231,51 @@ def variates(windows: DataFrame, keys: list[str], features: dict[str, tuple[str,
     return windows.select(F.xxhash64(*keys).alias("group"), *keys, F.inline(F.array(*each)))
 
 
-def available(versions: DataFrame, horizon: str, keys: list[str], published: str = "available_at", ts: str = "ts") -> DataFrame:
-    """Of each time's versions the latest that was available at the horizon."""
-    known = versions.where(F.col(published) <= F.col(horizon))
-    w = Window.partitionBy(*keys, horizon, ts).orderBy(F.desc(published))
-    return known.withColumn("__n", F.row_number().over(w)).where("__n = 1").drop("__n")
+def fitting_pairs(pairs: DataFrame, places: DataFrame, reach: str = "reach") -> DataFrame:
+    """places (key, reach in seconds) times those pairs of context_pairs() that reach can fill, with the number of whole contexts."""
+    given = pairs.collect()  # a handful of rows
+    each = F.array(*(F.struct(*(F.lit(v).cast("int").alias(n) for n, v in p.asDict().items())) for p in given))
+    rows = places.select("*", F.inline(each)).withColumn("contexts", F.floor(F.col(reach) / (F.col("context_days") * DAY)))
+    return rows.where("contexts > 0").drop(reach)
 
 
 def horizon_windows(horizons: DataFrame, context_days: int, predict_days: int, key: str = "location", horizon: str = "horizon") -> DataFrame:
     """(key, horizon, window_start, predict_start): a context that ends predict_days after the horizon's day begins."""
     day = F.floor(F.col(horizon) / DAY) * DAY
     return horizons.select(key, horizon, (day - (context_days - predict_days) * DAY).alias("window_start"), day.alias("predict_start"))
+
+
+def available(windows: DataFrame, versions: DataFrame, days: int, key: str = "location", horizon: str = "horizon", published: str = "available_at", ts: str = "ts") -> DataFrame:
+    """(key, horizon, *versions): of each time in a window of so many days the latest version that was available at the horizon.
+
+    Windows meet versions by key and day only, so that a version is read for the horizons around it, not for all.
+    """
+    first = F.floor(F.col("window_start") / DAY)
+    spread = windows.select(key, horizon, F.explode(F.sequence(first, first + days - 1)).alias("__day"))
+    known = spread.join(versions.withColumn("__day", F.floor(F.col(ts) / DAY)), [key, "__day"]).where(F.col(published) <= F.col(horizon))
+    rest = [c for c in versions.columns if c not in (key, ts)]
+    return known.groupBy(key, horizon, ts).agg(F.max_by(F.struct(*rest), F.col(published)).alias("__v")).select(key, horizon, ts, "__v.*")
+
+
+def horizon_inputs(load: DataFrame, horizons: DataFrame, context_days: int, predict_days: int, step: int, weather: dict[str, DataFrame] | None = None, key: str = "location", horizon: str = "horizon") -> DataFrame:
+    """(key, horizon, ts, load, load_mask, target_ts), and for each name of weather (versions) its values and mask: what a model gets at each horizon.
+
+    Arrays cover context_days in steps, predict_days of them after the horizon's day begins; there the load is masked.
+    Masked and missing elements are 0. target_ts are the times that are asked for.
+    """
+    windows = written(horizon_windows(horizons, context_days, predict_days, key, horizon))
+    n, ahead = context_days * DAY // step, predict_days * DAY // step
+    rows = windows.join(read_windows(load, windows, context_days * DAY, step, key).withColumnRenamed("values", "load"), [key, "window_start"])
+    names = {"load": True}
+    for name, versions in (weather or {}).items():
+        known = available(windows, versions, context_days, key, horizon).join(windows, [key, horizon])
+        slot = ((F.col("ts") - F.col("window_start")) / step).cast("int")
+        packed = known.where(F.pmod(F.col("ts") - F.col("window_start"), F.lit(step)) == 0).groupBy(key, horizon).agg(F.map_from_entries(F.collect_list(F.struct(slot.alias("slot"), F.col("value")))).alias("m"))
+        values = F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda i: F.try_element_at("m", i))
+        none = F.array_repeat(F.lit(None).cast("double"), n)
+        rows = rows.join(packed.select(key, horizon, values.alias(name)), [key, horizon], "left").withColumn(name, F.coalesce(name, none))
+        names[name] = False
+    rows = rows.withColumns({f"{c}_mask": prediction_masks(F.col(c), ahead, target)[0] for c, target in names.items()})
+    rows = rows.withColumns({c: applied(F.col(c), F.col(f"{c}_mask")) for c in names})
+    ts = F.sequence(F.col("window_start"), F.col("window_start") + (n - 1) * step, F.lit(step).cast("long"))
+    return rows.withColumn("ts", ts).select(key, horizon, "ts", *(x for c in names for x in (c, f"{c}_mask")), F.slice("ts", n - ahead + 1, ahead).alias("target_ts"))

@@ -50,16 +50,21 @@ def sweep(name: str, a: str, keep: str, b: str | None = None) -> str:
 {name} AS (SELECT location_id, t::BIGINT AS start, stop::BIGINT AS stop FROM (SELECT location_id, t, k, lead(t) OVER (PARTITION BY location_id ORDER BY t) AS stop FROM {name}_k WHERE k <> p) WHERE k)"""
 
 
-def samples(spark, d, key: str = "event_type") -> DataFrame:
-    """(location, ts, value) on a 15-minute grid."""
+def samples(spark, d, key: str = "event_type", step: int = STEP) -> DataFrame:
+    """(location, ts, value) on a grid of step seconds."""
     e = events(spark, d)
-    return e.groupBy(F.col(key).alias("location"), (F.col("t") - F.pmod("t", F.lit(STEP))).alias("ts")).agg(F.avg("value").alias("value"))
+    return e.groupBy(F.col(key).alias("location"), (F.col("t") - F.pmod("t", F.lit(step))).alias("ts")).agg(F.avg("value").alias("value"))
 
 
 def samples_sql(key: str = "event_type", name: str = "s") -> str:
     return f"{name} AS (SELECT {key} AS location, t - t % {STEP} AS ts, avg(value) AS value FROM e GROUP BY 1, 2)"
 
 
+def uniform_sql(seed: int, *keys: str) -> str:
+    """SQL of scalars.uniform()."""
+    return f"(('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(keys)})), 1, 12))::BIGINT / 281474976710656.0::DOUBLE)"
+
+
 def place(key: Column, lat_step: int, lon_step: int) -> tuple[Column, Column]:
     return 50 + (key * lat_step % 400) / 100.0, 4 + (key * lon_step % 300) / 100.0
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loadgrid.operators import intervals as iv
-from loadgrid.plans.inputs import SETS, events, set_a, set_b, sweep
+from loadgrid.plans.inputs import SETS, events, set_a, set_b, sweep, uniform_sql
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -87,14 +87,17 @@ query("c16_window_starts", _with(CLEAN, STARTS, sweep("r", "m", "x > 0"), select
 query("c16_count_starts", _with(CLEAN, STARTS, sweep("r", "m", "x > 0"), select="SELECT location_id, sum(len(range(start, stop, 3600)))::BIGINT AS n FROM r GROUP BY 1"))(
     lambda s, d: iv.count_starts(iv.clean(set_a(s, d)), 3600, 900)
 )
-query("c17_sample_points")(lambda s, d: iv.sample_points(set_a(s, d), s.read.parquet(f"{d}/events.parquet").count(), 900, 7))
+DRAWN = f"""{CLEAN}, pt AS (SELECT *, sum(stop - start) OVER (ORDER BY location_id, start) AS upto FROM c), tt AS (SELECT max(upto)::BIGINT AS total FROM pt),
+dw AS (SELECT k AS draw, floor({uniform_sql(7, "'interval'", 'k')} * total)::BIGINT AS u FROM (SELECT unnest(range(0, (SELECT count(*) FROM events))) AS k), tt),
+fd AS (SELECT draw, location_id, (start + 899) // 900 * 900 AS low, stop // 900 * 900 AS high FROM dw ASOF JOIN (SELECT *, (upto - (stop - start))::BIGINT AS base FROM pt) x ON u >= base)"""
+query("c17_sample_points", _with(DRAWN, select=f"SELECT draw, location_id, low + (floor({uniform_sql(7, chr(39) + 'point' + chr(39), 'draw')} * greatest(high - low, 0) / 900) * 900)::BIGINT AS t FROM fd"))(lambda s, d: iv.sample_points(set_a(s, d), s.read.parquet(f"{d}/events.parquet").count(), 900, 7))
 
 
 def points(s, d):
-    return events(s, d).where("event_type = 'purchase'").select(F.col("user_id").alias("location_id"), "t", "event_id")
+    return events(s, d).select(F.col("user_id").alias("location_id"), "t", "event_id")
 
 
-POINTS = "p AS (SELECT user_id AS location_id, t, event_id FROM e WHERE event_type = 'purchase')"
+POINTS = "p AS (SELECT user_id AS location_id, t, event_id FROM e)"
 query("c18_covered", _with(CLEAN, POINTS, select="SELECT p.location_id, p.t, p.event_id, c.start IS NOT NULL AS inside FROM p LEFT JOIN c ON c.location_id = p.location_id AND p.t >= c.start AND p.t < c.stop"))(
     lambda s, d: iv.covered(points(s, d), iv.clean(set_a(s, d)))
 )

@@ -25,7 +25,12 @@ def query(name: str, sql: str | None = None):
 
 
 def r6(c):
-    return F.round(c, 6) + 0.0  # no negative zero
+    """c to six digits. Means of a few decimals often end in a five there, so all are moved off such ties, in SQL too."""
+    return F.round(c + 1.37e-8, 6) + 0.0  # no negative zero
+
+
+def r5(c):
+    return F.round(c + 1.37e-7, 5) + 0.0
 
 
 # scalar functions
@@ -65,11 +70,11 @@ _D, _Y = 86400.0, 365.25 * 86400
 
 
 def _cyc(n, p):
-    return f"round(sin(2 * pi() * (t % {p:.1f}) / {p:.1f}), 6) + 0.0 AS sin_{n}, round(cos(2 * pi() * (t % {p:.1f}) / {p:.1f}), 6) + 0.0 AS cos_{n}"
+    return f"round(sin(2 * pi() * (t % {p:.1f}) / {p:.1f}) + 1.37e-8, 6) + 0.0 AS sin_{n}, round(cos(2 * pi() * (t % {p:.1f}) / {p:.1f}) + 1.37e-8, 6) + 0.0 AS cos_{n}"
 
 
 query("b11_time_features", f"""WITH {EVENTS} SELECT event_id, {_cyc('day', _D)}, {_cyc('weeks', 21 * _D)}, {_cyc('year', _Y)},
-round(tanh(((t - 1325376000.0) / {_Y} - 6.5) / 6.5), 6) + 0.0 AS trend FROM (SELECT event_id, t::DOUBLE AS t FROM e)""")(
+round(tanh(((t - 1325376000.0) / {_Y} - 6.5) / 6.5) + 1.37e-8, 6) + 0.0 AS trend FROM (SELECT event_id, t::DOUBLE AS t FROM e)""")(
     lambda s, d: (lambda f: f.select("event_id", *(r6(F.col(c)).alias(c) for c in f.columns if c != "event_id")))(events(s, d).select("event_id", *fn.time_features(F.col("t"))))
 )
 query("b12_centred", f"WITH {SITES} SELECT location_id, round(lat - 52.15, 6) AS lat, round(lon - 5.25, 6) AS lon FROM si")(

@@ -8,6 +8,8 @@ from loadgrid.functions.scalars import location_id, to_unix
 from loadgrid.operators import intervals as iv
 from loadgrid.operators.resample import bare
 
+#: Records of a flat file that one task matches with spans.
+RECORDS = 65_536
 STEM = r"([^/]+)\.(?:csv|parquet)$"
 
 
@@ -36,13 +38,13 @@ def read_buffer(spark: SparkSession, path: str, spans: DataFrame, locations: Dat
 
     spans are (id, location, datetime_start, num_values, sample_interval_s), id being the offset of the first sample;
     raw locations become the ids of their names, spans of unknown locations go. The file is read in records of one
-    sample each by any number of tasks; records find their span by an as-of join. (No DataFrame source reads such files.)
+    sample each by any number of tasks; records find their span by an as-of join in ranges of RECORDS. (No DataFrame source reads such files.)
     """
     records = spark.sparkContext.binaryRecords(path, 4 * dimension).zipWithIndex().map(lambda r: (bytearray(r[0]), r[1]))
     rows = spark.createDataFrame(records, "data binary, t long").withColumn("location_id", F.lit(0).cast("long"))
     named = locations.select(F.col("location_id").alias("location"), location_id(F.col("name")).alias("hashed"))
     known = spans.join(named, "location").select(F.lit(0).cast("long").alias("location_id"), F.col("id").alias("start"), (F.col("id") + F.col("num_values")).alias("stop"), "hashed", "datetime_start", "sample_interval_s")
-    found = iv.locate(rows, known, "t", ["hashed", "datetime_start", "sample_interval_s"]).where("hit_start IS NOT NULL")
+    found = iv.locate(rows, known, "t", ["hashed", "datetime_start", "sample_interval_s"], RECORDS).where("hit_start IS NOT NULL")
     columns = [f for f in features if wanted is None or f in wanted]
 
     def unpack(batches):

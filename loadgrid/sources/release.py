@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from loadgrid.functions.scalars import UNITS
-from loadgrid.operators.resample import bare
+from loadgrid.operators.resample import BUCKET, bare
+from loadgrid.operators.running import bucket_of, running
 
 META = ["location_id", "location_name", "lat", "lon", "sensor_unit", "measurement_type", "weather_location_id"]
 
@@ -97,10 +98,10 @@ def checked_cover(measurements: DataFrame, weather: DataFrame) -> DataFrame:
 def content_hash(spans: DataFrame, source: str = "source", keys: tuple = ("location_id", "start_time")) -> DataFrame:
     """(hash): one hash of all sources, whatever their order or partitioning.
 
-    Each span's values are hashed with its keys; a source's spans are hashed in order of their keys in two levels, so
+    Each span's values are hashed with its keys, by the text that stands for one float alone; a source's spans are hashed in order of their keys in two levels, so
     that no task holds more than one location's hashes, nor a list longer than the number of locations.
     """
-    text = F.transform("values", lambda v: F.coalesce(F.format_string("%.6e", v.cast("double")), F.lit("null")))
+    text = F.transform("values", lambda v: F.coalesce(v.cast("string"), F.lit("null")))
     each = spans.select(source, *keys, F.sha2(F.concat_ws("|", *(F.col(k).cast("string") for k in keys), F.concat_ws(",", text)), 256).alias("h"))
     joined = lambda c: F.sha2(F.concat_ws("|", F.transform(F.array_sort(F.collect_list(F.struct(*c, "h"))), lambda s: s["h"])), 256).alias("h")
     places = each.groupBy(source, keys[0]).agg(joined(keys[1:]))
@@ -123,8 +124,10 @@ def record_tables(spans: DataFrame, meta: DataFrame) -> DataFrame:
 
 def prepared(samples_spans: DataFrame, meta: DataFrame) -> DataFrame:
     """Release rows: spans with their location's metadata; overlapping spans raise an error."""
-    w = Window.partitionBy("location_id").orderBy("start_time").rowsBetween(Window.unboundedPreceding, -1)
     stop = F.col("start_time") + F.col("num_values") * F.col("sample_interval_s")
-    bad = F.col("start_time") < F.max(stop).over(w)
-    guarded = samples_spans.withColumn("start_time", F.when(bad, F.raise_error(F.concat(F.lit("overlapping spans of location "), F.col("location_id").cast("string")))).otherwise(F.col("start_time")).cast("long"))
+    rows = samples_spans.withColumns({"__b": bucket_of(F.col("start_time"), BUCKET), "__stop": stop})
+    rows = running(rows, ["location_id"], "__b", ["start_time", "__stop"], maxes={"__before": F.col("__stop")}, own=False)
+    bad = F.col("start_time") < F.col("__before")
+    message = F.concat(F.lit("overlapping spans of location "), F.col("location_id").cast("string"))
+    guarded = rows.withColumn("start_time", F.when(bad, F.raise_error(message)).otherwise(F.col("start_time")).cast("long")).drop("__b", "__stop", "__before")
     return guarded.withColumn("values", F.transform("values", lambda v: bare(v.cast("double")).cast("float"))).join(meta, "location_id")

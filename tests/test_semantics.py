@@ -85,9 +85,9 @@ def test_batches_are_whole_and_disjoint(spark):
 
 def test_topped_up_keeps_the_number(spark):
     df = spark.range(50).withColumn("ok", F.col("id") % 3 == 0)
-    rows = wn.topped_up(df, F.col("ok"), 4).collect()
+    rows = wn.topped_up(df, F.col("ok"), 4, ["id"]).collect()
     assert sorted(r.slot for r in rows) == list(range(50)) and all(r.id % 3 == 0 for r in rows) and {r.id for r in rows} >= {0, 3, 48}
-    assert wn.topped_up(df, F.lit(False), 4).count() == 0
+    assert wn.topped_up(df, F.lit(False), 4, ["id"]).count() == 0
 
 
 def test_quantiles_of_mixtures_match_a_scan_of_the_grid(spark):
