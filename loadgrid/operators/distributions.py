@@ -62,40 +62,65 @@ def cdf(weights: np.ndarray, sigma: np.ndarray, mu: np.ndarray, x: np.ndarray) -
     return (w[:, :, None] * 0.5 * (1 + _ERF(z / math.sqrt(2)))).sum(1)
 
 
-def quantiles(mixtures: DataFrame, keys: list[str], group: list[str], levels: list[float], n: int = GRID, components: str = "components") -> DataFrame:
-    """(keys, quantile, value): the first of n values between the group's bounds at which the distribution reaches the
-    level, the last one if none does. The distribution rises, so each level is found by bisection."""
+def _by_size(lists: pa.Array):
+    """For each number of components: which rows have it, and their weights, deviations and means as (rows, components)."""
+    sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(int)
+    for size in np.unique(sizes[sizes > 0]).tolist():
+        at = np.flatnonzero(sizes == size)
+        flat = lists.take(pa.array(at)).flatten()
+        logpi, sigma, mu = (flat.field(f).to_numpy(zero_copy_only=False).astype(float).reshape(-1, size) for f in ("logpi", "sigma", "mu"))
+        yield at, np.exp(logpi), sigma, mu
+
+
+def _on_bounds(mixtures: DataFrame, keys: list[str], group: list[str], components: str, each, fields: str) -> DataFrame:
+    """(keys, fields): each(lists, low, high) gives the columns of fields, so many rows for each mixture, from its group's bounds."""
     joined = mixtures.join(bounds(mixtures, group, components), group).select(*keys, components, "low", "high")
-    n_keys = len(keys)
+    k = len(keys)
+    names = [*keys, *(f.split()[0] for f in fields.split(", "))]
 
     def run(batches):
         for b in batches:
-            rows = b.column(n_keys).to_pylist()
-            by_size: dict[int, list[int]] = {}
-            for i, c in enumerate(rows):
-                by_size.setdefault(len(c or []), []).append(i)
-            low, high = (b.column(n_keys + j).to_numpy(zero_copy_only=False) for j in (1, 2))
-            out = np.full((len(rows), len(levels)), np.nan)
-            for size, at in by_size.items():
-                if not size:
-                    continue
-                get = lambda f, at=at: np.array([[np.nan if c[f] is None else c[f] for c in rows[i]] for i in at], float)
-                w, sigma, mu = np.exp(get("logpi")), get("sigma"), get("mu")
-                step = (high[at] - low[at]) / (n - 1)
-                for j, q in enumerate(levels):
-                    a, z = np.zeros(len(at), int), np.full(len(at), n - 1)
-                    while (a < z).any():
-                        m = (a + z) // 2
-                        reached = cdf(w, sigma, mu, (low[at] + m * step)[:, None])[:, 0] >= q
-                        z, a = np.where(reached & (a < z), m, z), np.where(~reached & (a < z), m + 1, a)
-                    out[at, j] = low[at] + a * step
-            rep = pa.array(np.repeat(np.arange(len(rows)), len(levels)))
-            yield pa.RecordBatch.from_arrays(
-                [*(b.column(k).take(rep) for k in range(n_keys)), pa.array(np.tile(np.array(levels), len(rows))), pa.array(out.ravel(), from_pandas=True)], names=[*keys, "quantile", "value"]
-            )
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:n_keys])
-    return joined.mapInArrow(run, f"{fields}, quantile double, value double")
+            for at in range(0, b.num_rows, 4096):
+                part = b.slice(at, 4096)
+                columns = each(part.column(k), *(part.column(k + j).to_numpy(zero_copy_only=False) for j in (1, 2)))
+                rep = pa.array(np.repeat(np.arange(part.num_rows), len(columns[0]) // part.num_rows))
+                yield pa.RecordBatch.from_arrays([*(part.column(j).take(rep) for j in range(k)), *columns], names=names)
+
+    own = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:k])
+    return joined.mapInArrow(run, f"{own}, {fields}")
+
+
+def quantiles(mixtures: DataFrame, keys: list[str], group: list[str], levels: list[float], n: int = GRID, components: str = "components") -> DataFrame:
+    """(keys, quantile, value): the first of n values between the group's bounds at which the distribution reaches the
+    level, the last one if none does. The distribution rises, so each level is found by bisection."""
+
+    def each(lists, low, high):
+        out = np.full((len(lists), len(levels)), np.nan)
+        for at, w, sigma, mu in _by_size(lists):
+            step = (high[at] - low[at]) / (n - 1)
+            for j, q in enumerate(levels):
+                a, z = np.zeros(len(at), int), np.full(len(at), n - 1)
+                while (a < z).any():
+                    m = (a + z) // 2
+                    reached = cdf(w, sigma, mu, (low[at] + m * step)[:, None])[:, 0] >= q
+                    z, a = np.where(reached & (a < z), m, z), np.where(~reached & (a < z), m + 1, a)
+                out[at, j] = low[at] + a * step
+        return pa.array(np.tile(np.array(levels, float), len(lists))), pa.array(out.ravel(), from_pandas=True)
+
+    return _on_bounds(mixtures, keys, group, components, each, "quantile double, value double")
+
+
+def distributions(mixtures: DataFrame, keys: list[str], group: list[str], n: int = 50, components: str = "components") -> DataFrame:
+    """(keys, pos, x, reached): the distribution of each mixture on n values between its group's bounds."""
+
+    def each(lists, low, high):
+        x = low[:, None] + (high - low)[:, None] * np.arange(n) / max(n - 1, 1)
+        out = np.full(x.shape, np.nan)
+        for at, w, sigma, mu in _by_size(lists):
+            out[at] = cdf(w, sigma, mu, x[at])
+        return pa.array(np.tile(np.arange(n, dtype=np.int32), len(lists))), pa.array(x.ravel(), from_pandas=True), pa.array(out.ravel(), from_pandas=True)
+
+    return _on_bounds(mixtures, keys, group, components, each, "pos int, x double, reached double")
 
 
 def chosen(forecast: DataFrame, levels: list[float], quantile: str = "quantile") -> DataFrame:
@@ -107,29 +132,3 @@ def chosen(forecast: DataFrame, levels: list[float], quantile: str = "quantile")
     # one row, at most one entry for each wanted level
     checked = have.select(F.when(F.size(missing) > 0, F.raise_error(F.concat(F.lit("forecast lacks quantiles "), missing.cast("string"))).cast("boolean")).otherwise(F.lit(True)).alias("__ok"))
     return forecast.where(level.isin(wanted)).join(F.broadcast(checked), F.col("__ok"), "inner").drop("__ok") if wanted else forecast.where("false")
-
-
-def distributions(mixtures: DataFrame, keys: list[str], group: list[str], n: int = 50, components: str = "components") -> DataFrame:
-    """(keys, pos, x, reached): the distribution of each mixture on n values between its group's bounds."""
-    joined = mixtures.join(bounds(mixtures, group, components), group).select(*keys, components, "low", "high")
-    k = len(keys)
-
-    def run(batches):
-        for b in batches:
-            for at in range(0, b.num_rows, 1000):
-                part = b.slice(at, 1000)
-                rows = part.column(k).to_pylist()
-                low, high = (part.column(k + j).to_numpy(zero_copy_only=False) for j in (1, 2))
-                x = low[:, None] + (high - low)[:, None] * np.arange(n) / max(n - 1, 1)
-                out = np.full(x.shape, np.nan)
-                for size in {len(c or []) for c in rows} - {0}:
-                    own = [i for i, c in enumerate(rows) if len(c or []) == size]
-                    get = lambda f, own=own, rows=rows: np.array([[np.nan if c[f] is None else c[f] for c in rows[i]] for i in own], float)
-                    out[own] = cdf(np.exp(get("logpi")), get("sigma"), get("mu"), x[own])
-                rep = pa.array(np.repeat(np.arange(len(rows)), n))
-                yield pa.RecordBatch.from_arrays(
-                    [*(part.column(j).take(rep) for j in range(k)), pa.array(np.tile(np.arange(n, dtype=np.int32), len(rows))), pa.array(x.ravel()), pa.array(out.ravel(), from_pandas=True)], names=[*keys, "pos", "x", "reached"]
-                )
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in joined.schema.fields[:k])
-    return joined.mapInArrow(run, f"{fields}, pos int, x double, reached double")
