@@ -30,7 +30,7 @@ from loadgrid.llm.common import chunks, components, mixed, written
 
 BANDS, ROWS = 24, 4
 #: A pair at the threshold of 0.8 shares no band with probability (1 - 0.8**4)**24 = 3e-6.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
 #: Members that one task compares with a leader at a time.
 GROUP = 64
 #: Places of candidates' texts are sent to all executors up to this many (24 MB), else joined by a shuffle.

@@ -37,7 +37,8 @@ FEW_SIGNS = 200_000
 RIDGE = 0.3
 BEGINNINGS, WHOLE = (3, 4, 5, 6, 7, 8), 10
 SYMBOLS = 28  # 0: no letter, 1 to 26: a to z, 27: any other letter
-MEMO, MEMO_LETTERS = 200_000, 100
+#: Tokens whose signs a task remembers, and signs that it counts before it hands them on: bounds of its memory.
+MEMO, MEMO_LETTERS, COUNTED = 60_000, 100, 250_000
 MARK = "\0"
 
 _SUSPICIOUS = re.compile(r"[^\W\d_][0-9@$!|+(<€£¥.\-_*~'^,/\\]+[^\W_]|[0-9@$!|+(<€£¥][^\W\d_]|([^\W\d_])\1\1")
@@ -215,7 +216,7 @@ def _count_signs(model: list):
                 n.update(own)
                 if label:
                     t.update(own)
-                if len(n) > 400_000:
+                if len(n) > COUNTED:
                     yield from out(n, t)
                     n, t = Counter(), Counter()
         yield from out(n, t)
