@@ -40,6 +40,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, _URL, 2), F.lit(""))
 
 
+def key_of(host: Column) -> Column:
+    """host itself, or a digest of one that is longer than a name can be, so that no link carries more; # ends a host, so none begins with it."""
+    return F.when(F.length(host) <= 255, host).otherwise(F.concat(F.lit("#"), F.sha2(host, 256)))
+
+
 def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
     """The longest rule that fits, as (verdict, rule), else null. A rule fits its host and all subdomains."""
     found = F.lit(None).cast("struct<verdict:string,rule:string>")
@@ -52,8 +57,8 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
 def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(src, dst, n): links of pages to other hosts, summed before the shuffle. Links without a host stay on their own."""
     links = F.regexp_extract_all(F.col(html_col).cast("string"), F.lit(_LINK), F.lit(1))
-    found = pages.select(host_of(F.col(url_col).cast("string")).alias("src"), F.explode(links).alias("dst"))
-    found = found.withColumn("dst", F.translate("dst", UPPER, LOWER)).where("src <> dst AND src <> '' AND dst <> ''")
+    found = pages.select(key_of(host_of(F.col(url_col).cast("string"))).alias("src"), F.explode(links).alias("dst"))
+    found = found.withColumn("dst", key_of(F.translate("dst", UPPER, LOWER))).where("src <> dst AND src <> '' AND dst <> ''")
     return found.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
 
@@ -101,8 +106,8 @@ def filter_urls(pages: DataFrame, id_col: str = "page_id", url_col: str = "url",
     url = F.col(url_col).cast("string")
     named = pages.select(F.col(id_col).alias("__id"), host_of(url).alias("host"), path_of(url).alias("path"))
     judged = named.withColumn("found", rule_of(F.col("host"), F.col("path"), rules)).select("__id", "host", "path", "found.rule", "found.verdict")
-    hosts = written(spread(host_links(pages, url_col, html_col), rule_seeds(judged)))
-    scored = judged.join(hosts, "host", "left")
+    hosts = written(spread(host_links(pages, url_col, html_col), rule_seeds(judged.select(key_of(F.col("host")).alias("host"), "verdict"))).withColumnRenamed("host", "key"))
+    scored = judged.withColumn("key", key_of(F.col("host"))).join(hosts, "key", "left")
     own = F.when(F.coalesce(F.col("distrust"), F.lit(0.0)) > F.coalesce(F.col("trust"), F.lit(0.0)), "block").otherwise("allow")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
     return scored.select(F.col("__id").alias(id_col), "host", "path", "rule", F.coalesce("verdict", own).alias("verdict"), zero("trust"), zero("distrust"))
