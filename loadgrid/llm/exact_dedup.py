@@ -24,6 +24,7 @@ SLOTS = 4
 #: Entries of one task's index before it passes them on; bounds the memory of a task. In the second step, which passes
 #: nothing on early, a task gets half of it on average.
 MAX_ENTRIES = 400_000
+ROWS = 500
 
 
 class CuckooIndex:
@@ -160,8 +161,15 @@ def _index(most: int | None):
     return run
 
 
-def _digests(batches):
+def _parts(batches):
+    """The batches in slices of ROWS, so that few texts are Python objects at a time."""
     for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
+def _digests(batches):
+    for b in _parts(batches):
         keys = [hashlib.sha256((t or b"").lower()).digest() for t in b.column(1).to_pylist()]  # bytes.lower() is A-Z only
         yield pa.RecordBatch.from_arrays([b.column(0), pa.array(keys, pa.binary())], names=["id", "digest"])
 
@@ -214,7 +222,7 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     at = docs.columns.index(text_col)
 
     def tag(batches):
-        for b in batches:
+        for b in _parts(batches):
             keys = [hashlib.sha256((t or "").encode("utf-8").lower()).digest() for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], names=[*b.schema.names, "__digest"])
 

@@ -10,6 +10,7 @@ a few bins half empty, so sequences exceed the least number by roughly one in pi
 
 from __future__ import annotations
 
+import functools
 import zlib
 
 import numpy as np
@@ -25,7 +26,7 @@ PIECES_PER_SHARD = 8192
 #: The id that ends a document.
 END = 0
 #: Bytes of text that are tokenized at a time.
-CHUNK_BYTES = 4_000_000
+CHUNK_BYTES = 2_000_000
 #: White space next to white space or to an end: there the split at single spaces isn't that of the tokenizer.
 UNEVEN = r"^[\t-\r\x1c-\x1f \x{85}\p{Z}]|[\t-\r\x1c-\x1f \x{85}\p{Z}]$|[\t-\r\x1c-\x1f \x{85}\p{Z}]{2}|\x01"
 
@@ -112,9 +113,15 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+@functools.lru_cache(1)
+def _ids(tokenizer: str) -> Ids:
+    """One for all tasks of a worker."""
+    return Ids(tokenizer, added=True)
+
+
 def _pieces_of(tokenizer: str, capacity: int, end: int):
     def run(batches):
-        encode = Ids(tokenizer, added=True)
+        encode = _ids(tokenizer)
         for b in batches:
             texts = pc.fill_null(b.column(1), "")
             for at, n in chunks(texts, CHUNK_BYTES):

@@ -38,8 +38,10 @@ RIDGE = 0.3
 BEGINNINGS, WHOLE = (3, 4, 5, 6, 7, 8), 10
 SYMBOLS = 28  # 0: no letter, 1 to 26: a to z, 27: any other letter
 #: Tokens whose signs a task remembers, and signs that it counts before it hands them on: bounds of its memory.
-MEMO, MEMO_LETTERS, COUNTED = 60_000, 100, 250_000
+MEMO, MEMO_LETTERS, COUNTED = 100_000, 100, 250_000
 MARK = "\0"
+#: Rows whose texts a task holds as Python objects at a time.
+ROWS = 500
 
 _SUSPICIOUS = re.compile(r"[^\W\d_][0-9@$!|+(<€£¥.\-_*~'^,/\\]+[^\W_]|[0-9@$!|+(<€£¥][^\W\d_]|([^\W\d_])\1\1")
 _LOOKING = re.compile(r"[0-9@$!|+(<€£¥]")
@@ -48,6 +50,13 @@ _REPEATED = re.compile(r"(.)\1{3,}", re.DOTALL)
 _RUN = re.compile(r"[^\W\d_]+")
 
 
+def _parts(batches):
+    """The batches in slices of ROWS."""
+    for b in batches:
+        for at in range(0, b.num_rows, ROWS):
+            yield b.slice(at, ROWS)
+
+
 def _symbol(c: int) -> int:
     if 97 <= c <= 122:
         return c - 96
@@ -65,7 +74,7 @@ def symbols(text: str) -> np.ndarray:
 
 def _count_trigrams(batches):
     total = np.zeros(SYMBOLS**3, np.int64)
-    for b in batches:
+    for b in _parts(batches):
         for text in b.column(0).to_pylist():
             s = np.concatenate([[0, 0], symbols(text or ""), [0]])
             total += np.bincount(s[:-2] * SYMBOLS**2 + s[1:-1] * SYMBOLS + s[2:], minlength=SYMBOLS**3)
@@ -210,7 +219,7 @@ def _count_signs(model: list):
 
     def run(batches):
         signs_, n, t = Signs(model), Counter(), Counter()
-        for b in batches:
+        for b in _parts(batches):
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 own = signs_.of(text or "")
                 n.update(own)
@@ -227,7 +236,7 @@ def _count_signs(model: list):
 def _hits(model: list, vocabulary: dict):
     def run(batches):
         signs_ = Signs(model, vocabulary)
-        for b in batches:
+        for b in _parts(batches):
             rows = [sorted(signs_.of(text or "")) for text in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.int32()))], names=["id", "hits"])
 
@@ -239,11 +248,9 @@ def _listed(model: list):
 
     def run(batches):
         signs_ = Signs(model)
-        for b in batches:
-            for at in range(0, b.num_rows, 500):
-                part = b.slice(at, 500)
-                rows = [sorted(signs_.of(text or "")) for text in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, pa.list_(pa.string()))], names=["row", "signs"])
+        for b in _parts(batches):
+            rows = [sorted(signs_.of(text or "")) for text in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.string()))], names=["row", "signs"])
 
     return run
 
@@ -284,14 +291,12 @@ def _numbered_hits(texts: DataFrame, known: DataFrame, kept: DataFrame, model: l
     return rows.join(lists, "row", "left").select("id", F.coalesce("hits", F.array().cast("array<int>")).alias("hits"), "label"), vocabulary
 
 
-def fit(hits: list[list[int]], labels: list[int], size: int, ridge: float = RIDGE, steps: int = 400) -> tuple[np.ndarray, float]:
-    """Weights and offset of a ridge logistic regression on sets of hits, by accelerated full-batch gradient steps."""
-    y = np.array(labels, np.float64)
+def fit(row: np.ndarray, col: np.ndarray, labels: np.ndarray, size: int, ridge: float = RIDGE, steps: int = 400) -> tuple[np.ndarray, float]:
+    """Weights and offset of a ridge logistic regression on sets of hits (row, col), by accelerated full-batch gradient steps."""
+    y = labels.astype(np.float64)
     w, offset = np.zeros(size), 0.0
     if not len(y):
         return w, offset
-    row = np.repeat(np.arange(len(hits)), [len(h) for h in hits])
-    col = np.array([x for h in hits for x in h], np.int64)
     base = (y.sum() + 0.5) / (len(y) + 1)
     offset = float(np.log(base / (1 - base)))
     most = np.bincount(row, minlength=len(y)).max(initial=0) + 1
@@ -314,7 +319,7 @@ def fit(hits: list[list[int]], labels: list[int], size: int, ridge: float = RIDG
 def _scores(model: list, vocabulary: dict, weights: np.ndarray, offset: float):
     def run(batches):
         signs_ = Signs(model, vocabulary)
-        for b in batches:
+        for b in _parts(batches):
             z = np.array([offset + sum(weights[h] for h in signs_.of(text or "")) for text in b.column(1).to_pylist()])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(1 / (1 + np.exp(-np.clip(z, -500, 500))))], names=["id", "score"])
 
@@ -333,9 +338,11 @@ def train(docs: DataFrame, known: DataFrame, text_col: str = "text", id_col: str
     kept = written(evidence(counts, n, toxic))
     few = known if n <= FIT_ROWS else known.where(F.pmod(F.xxhash64("id"), F.lit(1 << 20)) < int(FIT_ROWS / n * (1 << 20)))
     fitted, vocabulary = _numbered_hits(texts, few, kept, model)
-    rows = fitted.select("id", "hits", "label").collect()  # about FIT_ROWS
-    rows.sort(key=lambda r: (r["id"], r["label"], r["hits"]))
-    weights, offset = fit([r["hits"] for r in rows], [r["label"] for r in rows], len(vocabulary))
+    rows = fitted.select("id", "hits", "label").toArrow().sort_by([("id", "ascending"), ("label", "ascending")]).combine_chunks()  # about FIT_ROWS
+    hits = rows["hits"].combine_chunks()
+    sizes = hits.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
+    col = hits.flatten().to_numpy(zero_copy_only=False)
+    weights, offset = fit(np.repeat(np.arange(len(sizes), dtype=np.int32), sizes), col, rows["label"].to_numpy(), len(vocabulary))
     return model, vocabulary, weights, offset
 
 
@@ -365,7 +372,7 @@ def without_toxic(docs: DataFrame, labels: DataFrame, label_col: str = "toxic",
     def keep(batches):
         signs_ = Signs(model, vocabulary)
         least = np.log(most / (1 - most))
-        for b in batches:
+        for b in _parts(batches):
             clean = [offset + sum(weights[h] for h in signs_.of(text or "")) < least for text in b.column(at).to_pylist()]
             yield b.filter(pa.array(clean, pa.bool_()))
 
