@@ -364,7 +364,11 @@ def classify(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_co
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", folds: int = 5, held: int = 0, most: float = 0.5) -> DataFrame:
-    """docs without the rows whose score is most or more; columns and other rows stay as they are."""
+    """docs without the rows whose score is most or more; columns and other rows stay as they are.
+
+    Null texts, ids and labels, repeated rows and empty tables are taken as in classify(). Without any label all scores
+    are 0.5.
+    """
     known = labels.where(F.col(label_col).isin(0, 1) & F.col(id_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("id")).agg(F.max(label_col).alias("label"))
     model, vocabulary, weights, offset = train(docs, known.where(fold(F.col("id"), folds) != held), text_col, id_col)
     at = docs.columns.index(text_col)
