@@ -57,7 +57,8 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
 def host_links(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(src, dst, n): links of pages to other hosts, summed before the shuffle. Links without a host stay on their own."""
     links = F.regexp_extract_all(F.col(html_col).cast("string"), F.lit(_LINK), F.lit(1))
-    found = pages.select(key_of(host_of(F.col(url_col).cast("string"))).alias("src"), F.explode(links).alias("dst"))
+    # hosts are found once for a page, not for each of its links
+    found = pages.select(key_of(host_of(F.col(url_col).cast("string"))).alias("src"), links.alias("links")).select("src", F.explode("links").alias("dst"))
     found = found.withColumn("dst", key_of(F.translate("dst", UPPER, LOWER))).where("src <> dst AND src <> '' AND dst <> ''")
     return found.groupBy("src", "dst").agg(F.count("*").alias("n"))
 
