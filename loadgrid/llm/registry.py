@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loadgrid.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, quality, secrets, topk, toxicity, url_filter
+from loadgrid.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, quality, secrets, topk, toxicity, url_filter, whitening
 from loadgrid.llm.common import table
 
 
@@ -58,7 +58,11 @@ def op9_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_secret_scan, op4_source_mix, op5_toxicity, op6_line_dedup, op7_exact_top_k, op8_quality, op10_url_filter, op9_exact_dedup)}
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_secret_scan, op4_source_mix, op5_toxicity, op6_line_dedup, op7_exact_top_k, op8_quality, op10_url_filter, op9_exact_dedup, op11_embedding_whitening)}
 
 ORACLE: dict = {}
 
