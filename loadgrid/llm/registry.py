@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loadgrid.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, quality, secrets, topk, toxicity, url_filter, whitening
+from loadgrid.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, quality, secrets, substring_dedup, topk, toxicity, url_filter, whitening
 from loadgrid.llm.common import table
 
 
@@ -62,7 +62,12 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_secret_scan, op4_source_mix, op5_toxicity, op6_line_dedup, op7_exact_top_k, op8_quality, op10_url_filter, op9_exact_dedup, op11_embedding_whitening)}
+def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = substring_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_secret_scan, op4_source_mix, op5_toxicity, op6_line_dedup, op7_exact_top_k, op8_quality, op10_url_filter, op9_exact_dedup, op11_embedding_whitening, op13_substring_dedup)}
 
 ORACLE: dict = {}
 
@@ -132,3 +137,14 @@ WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOU
 s AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.v, c.v)::BIGINT AS score FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id AND len(q.v) = len(c.v)),
 r AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 5"""
+
+ORACLE["op13_substring_dedup"] = f"""
+WITH w AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORD}) AS w FROM documents),
+k AS (SELECT doc_id, w, unnest(range(1, len(w) - 48)) AS i FROM w),
+s AS (SELECT doc_id, i, md5(array_to_string(w[i : i + 49], ' ')) AS h FROM k),
+f AS (SELECT h, min(doc_id) AS m FROM s GROUP BY h),
+g AS (SELECT DISTINCT s.doc_id, unnest(range(s.i, s.i + 50)) AS i FROM s JOIN f ON s.h = f.h WHERE f.m < s.doc_id),
+p AS (SELECT doc_id, unnest(w) AS x, generate_subscripts(w, 1) AS i FROM w),
+r AS (SELECT p.doc_id, count(*) AS kept, string_agg(p.x, ' ' ORDER BY p.i) AS t FROM p LEFT JOIN g ON g.doc_id = p.doc_id AND g.i = p.i WHERE g.i IS NULL GROUP BY p.doc_id)
+SELECT w.doc_id, len(w.w)::BIGINT AS n_words, (len(w.w) - coalesce(r.kept, 0))::BIGINT AS n_removed, sha256(coalesce(r.t, '')) AS kept_sha256
+FROM w LEFT JOIN r ON r.doc_id = w.doc_id"""
