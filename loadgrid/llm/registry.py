@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from loadgrid.llm import exact_dedup, line_dedup, mixing, near_dedup, packing, quality, secrets, substring_dedup, topk, toxicity, url_filter, whitening
+from loadgrid.llm import conversations, exact_dedup, line_dedup, mixing, near_dedup, packing, quality, secrets, substring_dedup, topk, toxicity, url_filter, whitening
 from loadgrid.llm.common import table
 
 
@@ -62,12 +62,16 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
 
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.repair_damaged(table(spark, sf_dir, "conversations"))
+
+
 def op13_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = substring_dedup.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return kept.select("doc_id", "n_words", "n_removed", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
 
 
-QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_secret_scan, op4_source_mix, op5_toxicity, op6_line_dedup, op7_exact_top_k, op8_quality, op10_url_filter, op9_exact_dedup, op11_embedding_whitening, op13_substring_dedup)}
+QUERIES = {f.__name__: f for f in (op1_minhash_near_dedup, op2_best_fit_packing, op3_secret_scan, op4_source_mix, op5_toxicity, op6_line_dedup, op7_exact_top_k, op8_quality, op10_url_filter, op9_exact_dedup, op11_embedding_whitening, op12_conversation_repair, op13_substring_dedup)}
 
 ORACLE: dict = {}
 
