@@ -448,6 +448,40 @@ def edit(a, b):
     return row[-1]
 
 
+def all_links(lines):
+    return {(i, j) for j in range(len(lines)) for i in range(j) if abs(len(lines[i]) - len(lines[j])) <= 2 and edit(lines[i], lines[j]) <= min(2, max(len(lines[i]), len(lines[j])) // 8)}
+
+
+def check_lines(spark, lines):
+    """Found links are links and connect what all pairs connect; kept lines and their links are those of all pairs."""
+    table = spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string")
+    of = line_dedup.lines_of(table)
+    distinct = line_dedup.distinct_lines(of)
+    number = {r.node: r.first.id for r in distinct.collect()}
+    got = {tuple(sorted((number[r.a], number[r.b]))) for r in line_dedup.links(distinct, of)[0].collect()}
+    want = all_links(lines)
+    assert want and got <= want
+    root = list(range(len(lines)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    def classes(pairs):
+        root[:] = range(len(lines))
+        for a, b in pairs:
+            a, b = find(a), find(b)
+            root[max(a, b)] = min(a, b)
+        return [find(k) for k in range(len(lines))]
+
+    whole = classes(want)
+    assert classes(got) == whole
+    kept = {r.doc_id: r for r in line_dedup.kept_lines(table).collect()}
+    degree = Counter(k for pair in want for k in pair)
+    assert all((r.n_kept, r.n_links) == ((1, degree[i]) if whole[i] == i else (0, 0)) for i, r in kept.items())
+
+
 def test_line_links_match_all_pairs(spark):
     rng = random.Random(10)
     base = ["".join(rng.choice("abc d\u00e9") for _ in range(rng.randrange(5, 40))) for _ in range(25)]
@@ -463,13 +497,7 @@ def test_line_links_match_all_pairs(spark):
             elif len(w) > 1:
                 del w[at]
         lines.add("".join(w))
-    lines = sorted(lines)
-    of = line_dedup.lines_of(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string"))
-    distinct = line_dedup.distinct_lines(of)
-    number = {r.node: r.first.id for r in distinct.collect()}
-    got = [frozenset((number[r.a], number[r.b])) for r in line_dedup.links(distinct, of).collect()]
-    want = {frozenset((i, j)) for i in range(len(lines)) for j in range(i) if edit(lines[i], lines[j]) <= min(2, max(len(lines[i]), len(lines[j])) // 8)}
-    assert want and set(got) == want and len(got) == len(want)
+    check_lines(spark, sorted(lines, key=lambda x: (x[::-1], x)))
 
 
 def test_links_within_a_hot_line(spark):
@@ -486,13 +514,29 @@ def test_links_within_a_hot_line(spark):
             at = rng.randrange(len(x))
             x[at : at + rng.randrange(2)] = rng.choice(["", "z", "q"])
         lines.add("".join(x))
-    lines = sorted(lines)
-    of = line_dedup.lines_of(spark.createDataFrame([(i, x) for i, x in enumerate(lines)], "doc_id long, text string"))
-    distinct = line_dedup.distinct_lines(of)
-    number = {r.node: r.first.id for r in distinct.collect()}
-    got = {frozenset((number[r.a], number[r.b])) for r in line_dedup.links(distinct, of).collect()}
-    want = {frozenset((i, j)) for i in range(len(lines)) for j in range(i) if abs(len(lines[i]) - len(lines[j])) <= 2 and edit(lines[i], lines[j]) <= 2}
-    assert want and got == want
+    check_lines(spark, sorted(lines))
+
+
+def test_variants_of_one_line_are_not_paired(spark, monkeypatch):
+    """Candidates grow as the number of one-edit variants, not as its square."""
+    rng = random.Random(14)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(80))
+    made = []
+    real = line_dedup.candidates
+
+    def counted(stars, max_edits):
+        found = real(stars, max_edits)
+        made.append(found.count())
+        return found
+
+    monkeypatch.setattr(line_dedup, "candidates", counted)
+    for n in (100, 1000):
+        lines = {line[:k] + c + line[k + w :] for k in range(80) for c in "0123456789ABCDEF" for w in (0, 1)}
+        lines = [line, *rng.sample(sorted(lines), n)]
+        table = spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string")
+        kept = {r.doc_id: r for r in line_dedup.kept_lines(table).collect()}
+        assert sum(r.n_kept for r in kept.values()) == 1 and kept[0].n_links == n
+    assert made[0] <= 2 * 100 and made[1] <= 2 * 1000
 
 
 @pytest.mark.parametrize("most", [1, 2, 3])
