@@ -34,8 +34,8 @@ CHUNK_BYTES = 2_000_000
 #: Distinct strings of a bucket that are sorted together; a bucket of more is counted by digests of windows.
 HOT = 2048
 #: Distinct strings that meet in one task at about this number.
-DEALT = 16_384
-DEALT_BYTES = 8_000_000
+DEALT = 4096
+DEALT_BYTES = 2_000_000
 
 
 def _batches(batch: pa.RecordBatch, column: int):
@@ -123,17 +123,17 @@ def _packed(batches):
 
 
 def _digests(batches):
-    """A row for each window of packed strings: (bucket, string, offset, window), a window being named by 128 bits."""
+    """A row for each window of packed strings: (string, at, least, window), a window being named by 128 bits."""
     for b in batches:
         owner, offsets, digests = [], [], []
-        for k, packed in enumerate(b.column(2)):
+        for k, packed in enumerate(b.column(1)):
             words = packed.as_py().split(b" ")
             for s in range(len(words) - WINDOW + 1):
                 owner.append(k)
                 offsets.append(s)
                 digests.append(hashlib.blake2b(b" ".join(words[s : s + WINDOW]), digest_size=16).digest())
         owner = pa.array(owner, pa.int64())
-        yield pa.RecordBatch.from_arrays([b.column(0).take(owner), b.column(1).take(owner), pa.array(offsets, pa.int32()), b.column(3).take(owner), pa.array(digests, pa.binary())], ["bucket", "string", "at", "least", "window"])
+        yield pa.RecordBatch.from_arrays([b.column(0).take(owner), pa.array(offsets, pa.int32()), b.column(2).take(owner), pa.array(digests, pa.binary())], ["string", "at", "least", "window"])
 
 
 def window_ranks(words: np.ndarray) -> np.ndarray:
@@ -148,7 +148,7 @@ def window_ranks(words: np.ndarray) -> np.ndarray:
 
 
 def _sorted(table: pa.Table) -> pa.Table:
-    """Windows of whole buckets that start in a document before their string's: rows (bucket, string, at, windows, first) for runs of windows with one first document."""
+    """Windows of whole buckets that start in a document before their string's: rows (string, at, windows, first) for runs of windows with one first document."""
     strings = [s.as_py().split(b" ") for s in table.column("packed")]
     codes = pa.array([w for s in strings for w in s], pa.binary()).dictionary_encode().indices.to_numpy()
     sizes = np.array([len(s) for s in strings])
@@ -167,7 +167,7 @@ def _sorted(table: pa.Table) -> pa.Table:
     lengths = np.diff(np.append(change, len(first)))
     earlier = first[change] < least[owner[change]]
     change, lengths = change[earlier], lengths[earlier]
-    rows = table.select(["bucket", "string"]).take(pa.array(owner[change]))
+    rows = table.select(["string"]).take(pa.array(owner[change]))
     return rows.append_column("at", pa.array(place[change].astype(np.int32))).append_column("windows", pa.array(lengths.astype(np.int32))).append_column("first", pa.array(first[change]))
 
 
@@ -198,8 +198,8 @@ def removed_spans(docs: DataFrame, text: str = "text", id_: str = "doc_id") -> D
     rows = rows.where(F.length("text") >= 2 * WINDOW - 1)
     described = written(rows.mapInArrow(_described, "doc long, text_hash long, bucket long, string binary, start int, windows int"))
     # the least document of each string, and where it stands there
-    strings = described.groupBy("bucket", "string").agg(F.min(F.struct("doc", "text_hash", "start", "windows")).alias("place"), F.max("doc").alias("last"))
-    strings = written(strings.select("bucket", "string", "place.*", "last"))
+    strings = described.groupBy("string").agg(F.min(F.struct("doc", "text_hash", "start", "windows", "bucket")).alias("place"), F.max("doc").alias("last"))
+    strings = written(strings.select("string", "place.*", "last"))
     buckets = written(strings.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
     places = strings.join(buckets, "bucket", "left_semi").select("doc", "text_hash", F.struct("bucket", "string", F.col("doc").alias("least"), "start", "windows").alias("place"))
     places = places.groupBy("doc", "text_hash").agg(F.collect_list("place").alias("places"))
@@ -209,17 +209,17 @@ def removed_spans(docs: DataFrame, text: str = "text", id_: str = "doc_id") -> D
     usual = packed.join(hot, "bucket", "left_anti")
     n, size = usual.agg(F.count("*"), F.coalesce(F.sum(F.length("packed")), F.lit(0))).first()
     parts = max(1, -(-n // DEALT), -(-size // DEALT_BYTES))
-    result = "bucket long, string binary, at int, windows int, first long"
+    result = "string binary, at int, windows int, first long"
     found = usual.groupBy(F.pmod("bucket", F.lit(parts)).alias("deal")).applyInArrow(_sorted, result)
-    windows = written(packed.join(hot, "bucket", "left_semi").select("bucket", "string", "packed", "least").mapInArrow(_digests, "bucket long, string binary, at int, least long, window binary"))
+    windows = written(packed.join(hot, "bucket", "left_semi").select("string", "packed", "least").mapInArrow(_digests, "string binary, at int, least long, window binary"))
     firsts = windows.groupBy("window").agg(F.min("least").alias("first"), F.max("least").alias("final")).where("first < final").drop("final")
-    by_window = windows.join(firsts, "window").where("first < least").select("bucket", "string", "at", F.lit(1).alias("windows"), "first")
+    by_window = windows.join(firsts, "window").where("first < least").select("string", "at", F.lit(1).alias("windows"), "first")
     # all windows of a string start in its least document
-    own = strings.where("doc < last").select("bucket", "string", F.lit(0).alias("at"), "windows", F.col("doc").alias("first"))
+    own = strings.where("doc < last").select("string", F.lit(0).alias("at"), "windows", F.col("doc").alias("first"))
     firsts = found.unionByName(by_window).unionByName(own)
-    firsts = written(firsts.groupBy("bucket", "string").agg(F.collect_list(F.struct("at", F.col("windows").alias("n"), "first")).alias("firsts")))
+    firsts = written(firsts.groupBy("string").agg(F.collect_list(F.struct("at", F.col("windows").alias("n"), "first")).alias("firsts")))
     earlier = F.filter("firsts", lambda f: f["first"] < F.col("doc"))
-    hits = described.join(firsts, ["bucket", "string"]).select("doc", "text_hash", "start", earlier.alias("firsts")).where(F.size("firsts") > 0)
+    hits = described.drop("bucket").join(firsts.hint("merge"), "string").select("doc", "text_hash", "start", earlier.alias("firsts")).where(F.size("firsts") > 0)
     spans = F.transform("firsts", lambda f: F.struct((F.col("start") + f["at"]).alias("lo"), (F.col("start") + f["at"] + f["n"] + (WINDOW - 1)).alias("hi")))
     return hits.select("doc", "text_hash", spans.alias("spans")).groupBy("doc", "text_hash").agg(F.flatten(F.collect_list("spans")).alias("spans"))
 
@@ -235,4 +235,5 @@ def without_repeats(docs: DataFrame, text: str = "text", id_: str = "doc_id") ->
     spans = written(removed_spans(docs, text, id_))
     rows = docs.select(F.col(id_).alias("doc"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     kind = dict(docs.dtypes)[id_]
-    return rows.join(spans, ["doc", "text_hash"], "left").select("doc", "text", "spans").mapInArrow(_kept, f"id {kind}, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_)
+    # texts are shuffled whatever the size of the spans, which grow with the input
+    return rows.join(spans.hint("merge"), ["doc", "text_hash"], "left").select("doc", "text", "spans").mapInArrow(_kept, f"id {kind}, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_)
