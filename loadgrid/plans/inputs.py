@@ -65,6 +65,28 @@ def uniform_sql(seed: int, *keys: str) -> str:
     return f"(('0x' || substr(md5(concat_ws(':', '{seed}', {', '.join(keys)})), 1, 12))::BIGINT / 281474976710656.0::DOUBLE)"
 
 
+def erf_sql(z: str) -> str:
+    """SQL of the error function of a column, by a series of positive terms; beyond 6 it is 1 to double precision."""
+    term = f"exp((2 * n + 1) * ln(abs({z})) - {z} * {z} + 2 * n * ln(2) + lgamma(n + 1) - lgamma(2 * n + 2))"
+    return f"CASE WHEN {z} = 0 THEN 0.0 WHEN abs({z}) > 6 THEN sign({z}) ELSE sign({z}) * 2 / sqrt(pi()) * list_sum(list_transform(range(0, 120), lambda n: {term})) END"
+
+
+def reached_sql(x: str, rows: str) -> str:
+    """SQL that adds reached, the distribution of mixtures (w1, s1, m1, w2, s2, m2) at x, to the rows of a table."""
+    z = ", ".join(f"({x} - m{i} - 1e-6) / ((s{i} + 1e-6) * sqrt(2)) AS z{i}" for i in (1, 2))
+    parts = " + ".join(f"(w{i} + 1e-6) / (w1 + w2 + 2e-6) * 0.5 * (1 + {erf_sql(f'z{i}')})" for i in (1, 2))
+    return f"SELECT *, {parts} AS reached FROM (SELECT *, {z} FROM {rows})"
+
+
+def quantiles_sql(name: str, rows: str, keys: str, levels: list[float], n: int = 1000) -> str:
+    """SQL, to follow WITH RECURSIVE, of the first of n values between low and high at which mixtures reach each level, by bisection."""
+    fixed = f"{keys}, quantile, low, high, w1, s1, m1, w2, s2, m2"
+    return f"""{name}_b AS (SELECT {fixed}, 0 AS a, {n - 1} AS z, 0 AS k FROM {rows}, (SELECT unnest({levels}::DOUBLE[]) AS quantile)
+UNION ALL SELECT {fixed}, CASE WHEN a < z AND reached < quantile THEN m + 1 ELSE a END, CASE WHEN a < z AND reached >= quantile THEN m ELSE z END, k + 1
+FROM ({reached_sql('x0', f"(SELECT *, (a + z) // 2 AS m, low + (a + z) // 2 * ((high - low) / {n - 1}) AS x0 FROM {name}_b WHERE k < {(n - 1).bit_length()})")})),
+{name} AS (SELECT {keys}, quantile, low + a * ((high - low) / {n - 1}) AS value FROM {name}_b WHERE k = {(n - 1).bit_length()})"""
+
+
 def place(key: Column, lat_step: int, lon_step: int) -> tuple[Column, Column]:
     return 50 + (key * lat_step % 400) / 100.0, 4 + (key * lon_step % 300) / 100.0
 

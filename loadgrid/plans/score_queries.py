@@ -8,7 +8,7 @@ from pyspark.sql import Window, functions as F
 from loadgrid.functions import scalars as fn
 from loadgrid.operators import distributions as ds, forecast as fc, intervals as iv, places, resample as rs, scores as sc, windows as wn
 from loadgrid.plans import series_queries as sq
-from loadgrid.plans.inputs import EVENTS, SITES, STATIONS, samples_sql, samples, sites, stations, events
+from loadgrid.plans.inputs import EVENTS, SITES, STATIONS, quantiles_sql, samples_sql, samples, sites, stations, events
 from loadgrid.plans.series_queries import r5, r6
 from loadgrid.plans.window_queries import KEYS, MIX, WIN, long, masked, mixtures, read
 
@@ -137,7 +137,8 @@ query("e8_summary", f"""WITH {REPORT} SELECT 'all' AS "group", quantile, metric,
     lambda s, d: sc.summary(report(s, d).withColumn("group", F.lit("all")).withColumn("availability", F.lit("D-1")), ["mae", "recall"], "D-1").withColumn("value", r6(F.col("value")))
 )
 query("e9_mean_absolute", f"WITH {REPORT} SELECT round(avg(abs(value)) + 1.37e-8, 6) + 0.0 AS value FROM re WHERE metric = 'crps'")(lambda s, d: sc.mean_absolute(report(s, d), "crps").withColumn("value", r6(F.col("value"))))
-query("b18_symmetric_bands", f"WITH {P} SELECT a.location, a.ts, a.quantile AS low, b.quantile AS high, round(a.value + 1.37e-8, 6) + 0.0 AS lower, round(b.value + 1.37e-8, 6) + 0.0 AS upper FROM p a JOIN p b ON a.location = b.location AND a.ts = b.ts AND round(1 - a.quantile, 6) = b.quantile AND a.quantile < 0.5")(
+query("b18_symmetric_bands", f"""WITH {P}, lo AS (SELECT location, ts, quantile AS low, round(1 - quantile, 6) AS high, value AS lower FROM p WHERE quantile < 0.5), hi AS (SELECT location, ts, round(quantile, 6) AS high, value AS upper FROM p WHERE quantile > 0.5)
+SELECT location, ts, low, high, round(lower + 1.37e-8, 6) + 0.0 AS lower, round(upper + 1.37e-8, 6) + 0.0 AS upper FROM lo JOIN hi USING (location, ts, high)""")(
     lambda s, d: fn.symmetric_bands(pairs(s, d), ["location", "ts"]).withColumns({"lower": r6(F.col("lower")), "upper": r6(F.col("upper"))})
 )
 
@@ -194,10 +195,16 @@ def backtest_mixtures(s, d):
     given = fc.mixtures(fc.predicted(masked(s, d), around, KEYS, "values", "xm", 6))
     levels = ds.quantiles(given.withColumn("ts", F.col("window_start") + 129600 + F.col("pos") * 900), [*KEYS, "ts"], KEYS, [0.1, 0.5, 0.9])
     p = sc.paired(levels, samples(s, d), ["location"]).withColumn("run", F.col("window_start"))
-    return sc.crps(p, ["location"]).join(sc.mae(p, ["location"]).where("quantile = 0.5").select("location", "mae"), "location")
+    return sc.crps(p, ["location"]).join(sc.mae(p, ["location"]).where("quantile = 0.5").select("location", "mae"), "location").withColumns({"crps": r6(F.col("crps")), "mae": r6(F.col("mae"))})
 
 
-query("k5_backtest_mixtures")(backtest_mixtures)
+query("k5_backtest_mixtures", f"""WITH RECURSIVE {WIN}, {K3}, c AS (SELECT *, 0.7 AS w1, 5.0 AS s1, value AS m1, 0.3 AS w2, 20.0 AS s2, value + 10 AS m2 FROM k),
+bo AS (SELECT location, window_start, min(least(m1 - 20, m2 - 80)) AS a, max(greatest(m1 + 20, m2 + 80)) AS b FROM c GROUP BY 1, 2),
+g AS (SELECT c.location, c.window_start, pos, w1::DOUBLE AS w1, s1::DOUBLE AS s1, m1, w2::DOUBLE AS w2, s2::DOUBLE AS s2, m2, a - (b - a) * 0.2 AS low, b + (b - a) * 0.2 AS high FROM c JOIN bo ON bo.location = c.location AND bo.window_start = c.window_start),
+{quantiles_sql('qu', 'g', 'location, window_start, pos', [0.1, 0.5, 0.9])},
+p AS (SELECT f.location, f.window_start, f.quantile, f.value, s.value AS truth FROM qu f JOIN s ON s.location = f.location AND s.ts = f.window_start + 129600 + f.pos * 900),
+m AS (SELECT location, window_start, avg(abs(truth - value)) AS e, abs(quantile_cont(truth, 0.99) - quantile_cont(truth, 0.01)) AS w FROM p WHERE quantile = 0.5 GROUP BY 1, 2)
+SELECT c.location, c.crps, n.mae FROM (SELECT location, round(2 * avg({PIN}) + 1.37e-8, 6) + 0.0 AS crps FROM p GROUP BY 1) c JOIN (SELECT location, round(coalesce(avg(CASE WHEN w <> 0 THEN e / w END), 0) + 1.37e-8, 6) + 0.0 AS mae FROM m GROUP BY 1) n USING (location)""")(backtest_mixtures)
 
 
 def explored(s, d):

@@ -77,7 +77,7 @@ query("b11_time_features", f"""WITH {EVENTS} SELECT event_id, {_cyc('day', _D)},
 round(tanh(((t - 1325376000.0) / {_Y} - 6.5) / 6.5) + 1.37e-8, 6) + 0.0 AS trend FROM (SELECT event_id, t::DOUBLE AS t FROM e)""")(
     lambda s, d: (lambda f: f.select("event_id", *(r6(F.col(c)).alias(c) for c in f.columns if c != "event_id")))(events(s, d).select("event_id", *fn.time_features(F.col("t"))))
 )
-query("b12_centred", f"WITH {SITES} SELECT location_id, round(lat - 52.15, 6) AS lat, round(lon - 5.25, 6) AS lon FROM si")(
+query("b12_centred", f"WITH {SITES} SELECT location_id, round(lat - 52.15 + 1.37e-8, 6) + 0.0 AS lat, round(lon - 5.25 + 1.37e-8, 6) + 0.0 AS lon FROM si")(
     lambda s, d: sites(s, d).select("location_id", *(r6(c).alias(n) for c, n in zip(fn.centred(F.col("lat"), F.col("lon")), ("lat", "lon"), strict=True)))
 )
 
@@ -96,10 +96,10 @@ query("b14_coordinate_key", f"WITH {SITES} SELECT lat, lon, count(*) AS n FROM (
 )
 _GC = "2 * 6371.0088 * asin(least(1.0, sqrt(power(sin((radians(w_lat) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(w_lat)) * power(sin((radians(w_lon) - radians(lon)) / 2), 2))))"
 _PL = "sqrt((lat - w_lat) * (lat - w_lat) + (lon - w_lon) * (lon - w_lon)) * 111.0"
-query("b15_great_circle", f"WITH {SITES}, {STATIONS} SELECT location_id, weather_id, round({_GC}, 6) AS km FROM si JOIN st ON s_nationkey = weather_id")(
+query("b15_great_circle", f"WITH {SITES}, {STATIONS} SELECT location_id, weather_id, round({_GC} + 1.37e-8, 6) + 0.0 AS km FROM si JOIN st ON s_nationkey = weather_id")(
     lambda s, d: sites(s, d).join(stations(s, d), F.col("s_nationkey") == F.col("weather_id")).select("location_id", "weather_id", r6(fn.great_circle_km(*map(F.col, ("lat", "lon", "w_lat", "w_lon")))).alias("km"))
 )
-query("b16_planar", f"WITH {SITES}, {STATIONS} SELECT location_id, weather_id, round({_PL}, 6) AS km FROM si JOIN st ON s_nationkey = weather_id")(
+query("b16_planar", f"WITH {SITES}, {STATIONS} SELECT location_id, weather_id, round({_PL} + 1.37e-8, 6) + 0.0 AS km FROM si JOIN st ON s_nationkey = weather_id")(
     lambda s, d: sites(s, d).join(stations(s, d), F.col("s_nationkey") == F.col("weather_id")).select("location_id", "weather_id", r6(fn.planar_km(*map(F.col, ("lat", "lon", "w_lat", "w_lon")))).alias("km"))
 )
 _LINE_FEATURES = ["l_quantity", "l_extendedprice", "l_discount", "l_tax"]
@@ -108,7 +108,7 @@ query("b17_feature_names", "SELECT l_orderkey, l_linenumber, l_extendedprice, l_
 )
 
 # nearest points and links
-_NEAR = f"SELECT location_id, (arg_min(weather_id, (round({_PL}, 9), weather_id)))::BIGINT AS weather_id, round(min({_PL}), 6) AS km FROM si CROSS JOIN st GROUP BY 1"
+_NEAR = f"SELECT location_id, (arg_min(weather_id, (round({_PL}, 9), weather_id)))::BIGINT AS weather_id, round(min({_PL}) + 1.37e-8, 6) + 0.0 AS km FROM si CROSS JOIN st GROUP BY 1"
 query("d5_nearest", f"WITH {SITES}, {STATIONS} {_NEAR}")(lambda s, d: places.nearest(sites(s, d), stations(s, d)).withColumn("km", r6(F.col("km"))))
 query("d5_nearest_or_first", f"WITH {SITES}, {STATIONS}, n AS ({_NEAR}) SELECT c_custkey AS location_id, coalesce(n.weather_id, (SELECT weather_id FROM n ORDER BY location_id LIMIT 1)) AS weather_id FROM customer LEFT JOIN n ON n.location_id = c_custkey")(
     lambda s, d: places.nearest_or_first(sites(s, d), stations(s, d), table(s, d, "customer").select(F.col("c_custkey").alias("location_id")))
@@ -139,8 +139,8 @@ query("d2_with_weather", f"""WITH {SITES}, {STATIONS} SELECT s_nationkey::BIGINT
 query("e4_first_seen_ids", f"""WITH {SITES} SELECT lat, lon, 999999 + row_number() OVER (ORDER BY m, lat, lon) AS weather_id FROM (SELECT lat, lon, min(location_id) AS m FROM si GROUP BY 1, 2)""")(
     lambda s, d: places.first_seen_ids(sites(s, d), "location_id")
 )
-query("e5_grid_cells", f"""WITH {SITES} SELECT round(c1 * 0.25, 6) AS cell_lat, round(c2 * 0.25, 6) AS cell_lon, list_aggregate(list_sort(list(location_id)), 'string_agg', ',') AS ids,
-list_aggregate(list_sort(list_distinct(list(name))), 'string_agg', ',') AS names, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon, count(*) AS n FROM (SELECT *, round_even(lat / 0.25, 0) AS c1, round_even(lon / 0.25, 0) AS c2 FROM si) GROUP BY c1, c2""")(
+query("e5_grid_cells", f"""WITH {SITES} SELECT round(c1 * 0.25 + 1.37e-8, 6) + 0.0 AS cell_lat, round(c2 * 0.25 + 1.37e-8, 6) + 0.0 AS cell_lon, list_aggregate(list_sort(list(location_id)), 'string_agg', ',') AS ids,
+list_aggregate(list_sort(list_distinct(list(name))), 'string_agg', ',') AS names, round(avg(lat) + 1.37e-8, 6) + 0.0 AS lat, round(avg(lon) + 1.37e-8, 6) + 0.0 AS lon, count(*) AS n FROM (SELECT *, round_even(lat / 0.25, 0) AS c1, round_even(lon / 0.25, 0) AS c2 FROM si) GROUP BY c1, c2""")(
     lambda s, d: places.grid_cells(sites(s, d)).select(r6(F.col("cell_lat")).alias("cell_lat"), r6(F.col("cell_lon")).alias("cell_lon"), F.concat_ws(",", F.transform("ids", lambda x: x.cast("string"))).alias("ids"), F.concat_ws(",", "names").alias("names"), r6(F.col("lat")).alias("lat"), r6(F.col("lon")).alias("lon"), "n")
 )
 
@@ -155,19 +155,19 @@ def spans(s, d, key="event_type"):
     return rs.to_spans(samples(s, d, key), STEP, ["location"])
 
 
-query("a3_to_spans", f"WITH {SPANS} SELECT location, start_time, {STEP} AS sample_interval_s, num_values, round(list_sum(v), 4) AS total, round(v[1], 6) AS first_value FROM sp")(
+query("a3_to_spans", f"WITH {SPANS} SELECT location, start_time, {STEP} AS sample_interval_s, num_values, round(list_sum(v), 4) AS total, round(v[1] + 1.37e-8, 6) + 0.0 AS first_value FROM sp")(
     lambda s, d: spans(s, d).select("location", "start_time", "sample_interval_s", "num_values", F.round(F.aggregate("values", F.lit(0.0), lambda a, x: a + x), 4).alias("total"), r6(F.col("values")[0]).alias("first_value"))
 )
-query("f1_to_samples", f"WITH {SPANS} SELECT location, ts, round(value, 6) AS value FROM q")(lambda s, d: rs.to_samples(spans(s, d), ["location"]).withColumn("value", r6(F.col("value"))))
+query("f1_to_samples", f"WITH {SPANS} SELECT location, ts, round(value + 1.37e-8, 6) + 0.0 AS value FROM q")(lambda s, d: rs.to_samples(spans(s, d), ["location"]).withColumn("value", r6(F.col("value"))))
 LOW, HIGH = 1704500000, 1705500000
 query("f2_downsample", f"""WITH {SPANS}, k AS (SELECT location, span, ts - ts % 3600 AS ts, avg(value) AS value FROM q WHERE ts >= {LOW} AND ts < {HIGH} GROUP BY 1, 2, 3),
 g AS (SELECT location, span, unnest(range(a, b + 1, 3600)) AS ts FROM (SELECT location, span, min(ts) AS a, max(ts) + 3600 AS b FROM k GROUP BY 1, 2))
-SELECT g.location, g.span, g.ts, round(k.value, 6) AS value FROM g LEFT JOIN k ON k.location = g.location AND k.span = g.span AND k.ts = g.ts""")(
+SELECT g.location, g.span, g.ts, round(k.value + 1.37e-8, 6) + 0.0 AS value FROM g LEFT JOIN k ON k.location = g.location AND k.span = g.span AND k.ts = g.ts""")(
     lambda s, d: rs.downsample(spans(s, d), 3600, ["location"], LOW, HIGH, separators=True).withColumn("value", r6(F.col("value")))
 )
 query("f3_upsample", f"""WITH {SPANS}, h AS (SELECT location, span, unnest(range(min(ts), max(ts) + 1, 300)) AS ts FROM q GROUP BY location, span),
 n AS (SELECT h.location, h.span, h.ts, h.ts - (h.ts - h.span) % {STEP} AS a FROM h)
-SELECT n.location, n.span, n.ts, round(x.value + CASE WHEN y.value IS NULL THEN 0 ELSE (y.value - x.value) * (n.ts - n.a) / {STEP}.0 END, 6) AS value
+SELECT n.location, n.span, n.ts, round(x.value + CASE WHEN y.value IS NULL THEN 0 ELSE (y.value - x.value) * (n.ts - n.a) / {STEP}.0 END + 1.37e-8, 6) + 0.0 AS value
 FROM n JOIN q x ON x.location = n.location AND x.ts = n.a LEFT JOIN q y ON y.location = n.location AND y.span = n.span AND y.ts = n.a + {STEP}""")(
     lambda s, d: rs.upsample(spans(s, d), 300, ["location"]).withColumn("value", r6(F.col("value")))
 )
@@ -185,27 +185,27 @@ def numbered(s, d):
 U = f"{EVENTS}, {samples_sql('user_id')}, u AS (SELECT *, row_number() OVER (PARTITION BY location ORDER BY ts) - 1 AS pos FROM s)"
 query("f5_pool_quantile", f"""WITH {U}, z AS (SELECT location, pos, value FROM u UNION ALL SELECT location, p, 0.0 FROM (SELECT location, unnest([-2, -1, max(pos) + 1, max(pos) + 2]) AS p FROM u GROUP BY location)),
 k AS (SELECT z.location, (z.pos + 2 - i * 2) // 3 AS win, value FROM z, (SELECT unnest(range(0, 5)) AS i) WHERE z.pos + 2 - i * 2 >= 0 AND (z.pos + 2 - i * 2) % 3 = 0)
-SELECT location, win::BIGINT AS "window", round(quantile_cont(value, 0.9), 6) AS value FROM k GROUP BY 1, 2 HAVING count(*) = 5""")(
+SELECT location, win::BIGINT AS "window", round(quantile_cont(value, 0.9) + 1.37e-8, 6) + 0.0 AS value FROM k GROUP BY 1, 2 HAVING count(*) = 5""")(
     lambda s, d: rs.pool_quantile(numbered(s, d), ["location"], 5, 3, 0.9, dilation=2, padding=2).withColumn("value", r6(F.col("value")))
 )
-query("f6_pool_extremes", f"""WITH {U} SELECT location, (pos // 8)::BIGINT AS "window", round(min(value), 6) AS low, round(max(value), 6) AS high FROM u GROUP BY 1, 2 HAVING count(*) = 8""")(
+query("f6_pool_extremes", f"""WITH {U} SELECT location, (pos // 8)::BIGINT AS "window", round(min(value) + 1.37e-8, 6) + 0.0 AS low, round(max(value) + 1.37e-8, 6) + 0.0 AS high FROM u GROUP BY 1, 2 HAVING count(*) = 8""")(
     lambda s, d: rs.pool_extremes(numbered(s, d), ["location"], 8).select("location", "window", r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"))
 )
-query("f7_extremes", f"""WITH {U} SELECT location, coalesce(min(value) FILTER (location % 10 <> 0), 1e308) AS low, coalesce(max(value) FILTER (location % 10 <> 0), -1e308) AS high FROM (SELECT location, round(value, 6) AS value FROM u) GROUP BY 1""")(
+query("f7_extremes", f"""WITH {U} SELECT location, coalesce(min(value) FILTER (location % 10 <> 0), 1e308) AS low, coalesce(max(value) FILTER (location % 10 <> 0), -1e308) AS high FROM (SELECT location, round(value + 1.37e-8, 6) + 0.0 AS value FROM u) GROUP BY 1""")(
     lambda s, d: rs.extremes(numbered(s, d).withColumn("value", F.when(F.col("location") % 10 == 0, F.lit(float("nan"))).otherwise(r6(F.col("value")))), ["location"]).select(
         "location", F.greatest(F.lit(-1e308), F.least(F.lit(1e308), F.col("low"))).alias("low"), F.greatest(F.lit(-1e308), F.least(F.lit(1e308), F.col("high"))).alias("high")
     )
 )
-query("f8_unit_scale", f"""WITH {U} SELECT location, ts, round(CASE WHEN h > l THEN (value - l) / (h - l) ELSE value END, 6) AS value FROM (SELECT *, min(value) OVER (PARTITION BY location) AS l, max(value) OVER (PARTITION BY location) AS h FROM u)""")(
+query("f8_unit_scale", f"""WITH {U} SELECT location, ts, round(CASE WHEN h > l THEN (value - l) / (h - l) ELSE value END + 1.37e-8, 6) + 0.0 AS value FROM (SELECT *, min(value) OVER (PARTITION BY location) AS l, max(value) OVER (PARTITION BY location) AS h FROM u)""")(
     lambda s, d: rs.unit_scale(samples(s, d, "user_id"), ["location"]).withColumn("value", r6(F.col("value")))
 )
-query("f9_every", f"WITH {U} SELECT location, ts, round(value, 6) AS value FROM u WHERE pos % 7 = 0")(lambda s, d: rs.every(samples(s, d, "user_id"), ["location"], 7).withColumn("value", r6(F.col("value"))))
-query("f10_envelope", f"""WITH {U} SELECT location, (pos // 6)::BIGINT AS "window", round(min(value), 6) AS low, round(max(value), 6) AS high, (pos // 6 * 6 + 3)::BIGINT AS centre FROM u GROUP BY 1, 2, 5 HAVING count(*) = 6""")(
+query("f9_every", f"WITH {U} SELECT location, ts, round(value + 1.37e-8, 6) + 0.0 AS value FROM u WHERE pos % 7 = 0")(lambda s, d: rs.every(samples(s, d, "user_id"), ["location"], 7).withColumn("value", r6(F.col("value"))))
+query("f10_envelope", f"""WITH {U} SELECT location, (pos // 6)::BIGINT AS "window", round(min(value) + 1.37e-8, 6) + 0.0 AS low, round(max(value) + 1.37e-8, 6) + 0.0 AS high, (pos // 6 * 6 + 3)::BIGINT AS centre FROM u GROUP BY 1, 2, 5 HAVING count(*) = 6""")(
     lambda s, d: rs.envelope(numbered(s, d), ["location"], 6).select("location", "window", r6(F.col("low")).alias("low"), r6(F.col("high")).alias("high"), "centre")
 )
 query("m1_most_samples", f"WITH {SPANS} SELECT location, sum(num_values)::BIGINT AS num_values FROM sp GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 1")(lambda s, d: rs.most_samples(spans(s, d), "location"))
 query("m2_in_order", f"WITH {SPANS} SELECT location, start_time, num_values FROM sp ORDER BY 1, 2")(lambda s, d: rs.in_order(spans(s, d).select("location", "start_time", "num_values"), ["location", "start_time"]))
-query("m3_tail", f"WITH {U} SELECT location, ts, round(value, 6) AS value FROM (SELECT *, row_number() OVER (PARTITION BY location ORDER BY ts DESC) AS n FROM s) WHERE n <= 5")(
+query("m3_tail", f"WITH {U} SELECT location, ts, round(value + 1.37e-8, 6) + 0.0 AS value FROM (SELECT *, row_number() OVER (PARTITION BY location ORDER BY ts DESC) AS n FROM s) WHERE n <= 5")(
     lambda s, d: rs.tail(samples(s, d, "user_id"), ["location"], 5).withColumn("value", r6(F.col("value")))
 )
 
@@ -252,4 +252,4 @@ def coverage(s, d):
 
 query("e7_coverage_summary", f"""WITH {SPANS}, sb AS (SELECT location AS location_id, start_time AS start, start_time + num_values * {STEP} + {BRIDGE} AS stop FROM sp), {sweep('br', 'sb', 'x > 0')},
 i AS (SELECT location_id AS location, start AS a, stop - {BRIDGE} - 86400 AS b FROM br), n AS (SELECT location, sum(len(range((a + 21599) // 21600 * 21600, b, 21600)))::BIGINT AS n FROM i WHERE b > a GROUP BY 1)
-SELECT location, n AS windows, n * 1440 AS minutes, round(n * 1440 / 1440.0, 6) AS days, round(n * 1440 / 525960.0, 6) AS years FROM n WHERE n > 0""")(coverage)
+SELECT location, n AS windows, n * 1440 AS minutes, round(n * 1440 / 1440.0 + 1.37e-8, 6) + 0.0 AS days, round(n * 1440 / 525960.0 + 1.37e-8, 6) + 0.0 AS years FROM n WHERE n > 0""")(coverage)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loadgrid.operators import distributions as ds, intervals as iv, normalise as nm, places, resample as rs, windows as wn
-from loadgrid.plans.inputs import EVENTS, SETS, SITES, STATIONS, STEP, events, samples, samples_sql, set_a, set_b, sites, stations, sweep, table, uniform_sql
+from loadgrid.plans.inputs import EVENTS, SETS, SITES, STATIONS, STEP, events, quantiles_sql, reached_sql, samples, samples_sql, set_a, set_b, sites, stations, sweep, table, uniform_sql
 from loadgrid.plans.interval_queries import CLEAN, GAPS, coverage_sql
 from loadgrid.plans.series_queries import r5, r6
 
@@ -270,7 +270,19 @@ query("i3_densities", f"""WITH {MIX}, g AS (SELECT co.*, pos, (a - (b - a) * 0.2
 SELECT l_orderkey, l_linenumber, pos::INTEGER AS pos, round(x0 + 1.37e-8, 6) + 0.0 AS x, round({_PDF} + 1.37e-8, 6) + 0.0 AS density FROM g""")(
     lambda s, d: ds.densities(mixtures(s, d), ["l_orderkey", "l_linenumber"], ["l_suppkey"], 10).select("l_orderkey", "l_linenumber", "pos", r6(F.col("x")).alias("x"), r6(F.col("density")).alias("density"))
 )
-LEVELS = [0.05, 0.5, 0.95]
-query("i4_quantiles")(lambda s, d: ds.quantiles(mixtures(s, d), ["l_orderkey", "l_linenumber"], ["l_suppkey"], LEVELS))
-query("i2_distributions")(lambda s, d: ds.distributions(mixtures(s, d), ["l_orderkey", "l_linenumber"], ["l_suppkey"], 10))
-query("i5_chosen")(lambda s, d: ds.chosen(ds.quantiles(mixtures(s, d), ["l_orderkey", "l_linenumber"], ["l_suppkey"], LEVELS), [0.5]))
+#: Weights are multiples of 0.05: at such a level between components the last bit of a sum would decide.
+LEVELS = [0.05, 0.49, 0.95]
+_GRID = f"""g AS (SELECT co.*, a - (b - a) * 0.2 AS low, b + (b - a) * 0.2 AS high FROM co JOIN bo USING (l_suppkey))"""
+_LEVEL = f"WITH RECURSIVE {MIX}, {_GRID}, {quantiles_sql('qu', 'g', 'l_orderkey, l_linenumber', LEVELS)} SELECT l_orderkey, l_linenumber, quantile, round(value + 1.37e-8, 6) + 0.0 AS value FROM qu"
+
+
+def levels(s, d):
+    return ds.quantiles(mixtures(s, d), ["l_orderkey", "l_linenumber"], ["l_suppkey"], LEVELS).withColumn("value", r6(F.col("value")))
+
+
+query("i4_quantiles", _LEVEL)(levels)
+query("i2_distributions", f"""WITH {MIX}, {_GRID}, x AS (SELECT *, low + (high - low) * pos / 9 AS x0 FROM g, (SELECT unnest(range(0, 10)) AS pos)), r AS ({reached_sql('x0', 'x')})
+SELECT l_orderkey, l_linenumber, pos::INTEGER AS pos, round(x0 + 1.37e-8, 6) + 0.0 AS x, round(reached + 1.37e-8, 6) + 0.0 AS reached FROM r""")(
+    lambda s, d: ds.distributions(mixtures(s, d), ["l_orderkey", "l_linenumber"], ["l_suppkey"], 10).withColumns({c: r6(F.col(c)) for c in ("x", "reached")})
+)
+query("i5_chosen", f"{_LEVEL} WHERE quantile = 0.49")(lambda s, d: ds.chosen(levels(s, d), [0.49]))
