@@ -201,7 +201,7 @@ def removed_spans(docs: DataFrame, text: str = "text", id_: str = "doc_id") -> D
     strings = described.groupBy("string").agg(F.min(F.struct("doc", "text_hash", "start", "windows", "bucket")).alias("place"), F.max("doc").alias("last"))
     strings = written(strings.select("string", "place.*", "last"))
     buckets = written(strings.groupBy("bucket").agg(F.count("*").alias("size")).where("size > 1"))
-    places = strings.join(buckets, "bucket", "left_semi").select("doc", "text_hash", F.struct("bucket", "string", F.col("doc").alias("least"), "start", "windows").alias("place"))
+    places = strings.join(buckets.hint("merge"), "bucket", "left_semi").select("doc", "text_hash", F.struct("bucket", "string", F.col("doc").alias("least"), "start", "windows").alias("place"))
     places = places.groupBy("doc", "text_hash").agg(F.collect_list("place").alias("places"))
     # repeated rows pack the same strings again, which changes nothing
     packed = written(rows.join(places, ["doc", "text_hash"]).select("text", "places").mapInArrow(_packed, "bucket long, string binary, least long, packed binary"))
@@ -235,5 +235,5 @@ def without_repeats(docs: DataFrame, text: str = "text", id_: str = "doc_id") ->
     spans = written(removed_spans(docs, text, id_))
     rows = docs.select(F.col(id_).alias("doc"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     kind = dict(docs.dtypes)[id_]
-    # texts are shuffled whatever the size of the spans, which grow with the input
+    # spans grow with the input, as do shared buckets and repeated strings: no size of them is sent to all executors
     return rows.join(spans.hint("merge"), ["doc", "text_hash"], "left").select("doc", "text", "spans").mapInArrow(_kept, f"id {kind}, n_words long, n_removed long, kept_text string").withColumnRenamed("id", id_)
