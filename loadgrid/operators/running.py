@@ -4,6 +4,21 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+#: Bytes, by Spark's estimate before anything runs, up to which a whole table may be one task's series.
+ONE_TASK = 64_000_000
+
+
+def in_one_task(*tables: DataFrame) -> bool:
+    """Whether tables are so small, all together, that no series in them needs to be split: no job runs to find out.
+
+    The estimate comes from the sizes of files, and joins multiply it, so that it errs towards splitting; where a
+    session has none, series are split.
+    """
+    try:
+        return sum(int(str(t._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for t in tables) <= ONE_TASK
+    except (AttributeError, TypeError):
+        return False
+
 
 def running(rows: DataFrame, keys: list[str], bucket: str, order: list[str], sums: dict | None = None, maxes: dict | None = None, lasts: dict | None = None, own: bool = True) -> DataFrame:
     """rows with a column for each entry of sums, maxes and lasts (name: column): the sum, the greatest and the last
@@ -12,8 +27,14 @@ def running(rows: DataFrame, keys: list[str], bucket: str, order: list[str], sum
     order sorts the rows of a key; bucket is a column that rises with it, and no more rows than one bucket has meet in
     a task. A row's result is that of its bucket up to it, and that of all buckets before. These come from one row for
     each bucket: the first one, which alone stands in the key's window over buckets. So rows are shuffled, but the
-    plan has one branch only, and a key with a third of all rows is spread like any other.
+    plan has one branch only, and a key with a third of all rows is spread like any other. A small table (ONE_TASK) goes
+    by its keys alone, which gives the same.
     """
+    if in_one_task(rows):
+        upto = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if own else -1)
+        each = {n: F.coalesce(F.sum(c).over(upto), F.lit(0)) for n, c in (sums or {}).items()}
+        each |= {n: F.max(c).over(upto) for n, c in (maxes or {}).items()} | {n: F.last(c, True).over(upto) for n, c in (lasts or {}).items()}
+        return rows.withColumns(each)
     named = [(n, F.sum, c) for n, c in (sums or {}).items()] + [(n, F.max, c) for n, c in (maxes or {}).items()] + [(n, lambda x: F.last(x, True), c) for n, c in (lasts or {}).items()]
     sorted_ = Window.partitionBy(*keys, bucket).orderBy(*order)
     upto = sorted_.rowsBetween(Window.unboundedPreceding, 0 if own else -1)

@@ -37,16 +37,24 @@ def context_pairs(spark: SparkSession, days=CONTEXT_DAYS, intervals=INTERVALS, m
     return valid.withColumn("padded_length", longest).withColumn("pad_left", F.col("padded_length") - F.col("points"))
 
 
+def benchmark_parts(a: DataFrame, locations: DataFrame, since: int, context: int) -> DataFrame:
+    """(part, location_id, start, stop): intervals of the named locations from a time on, shortened by the context
+    ("benchmark"), and all the rest of a ("rest"), by one sweep. Both are clean."""
+    held = iv.clip(a.join(locations.select("location_id").distinct(), "location_id", "left_semi"), since, iv.FAR)
+    parts = iv.sweep_parts([a, held], {"benchmark": lambda x, h: h > 0, "rest": lambda x, h: (x > 0) & (h == 0)})
+    return parts.withColumn("stop", F.when(F.col("part") == "benchmark", F.col("stop") - context).otherwise(F.col("stop"))).where("stop > start")
+
+
 def benchmark_split(a: DataFrame, locations: DataFrame, since: int, context: int) -> tuple[DataFrame, DataFrame]:
-    """Intervals of the named locations from a time on, shortened by the context, and all the rest of a."""
-    held = iv.from_date(iv.split_locations(a, locations)[0], since)
-    return iv.add_duration(held, -context), iv.subtract(a, held)
+    """The two parts of benchmark_parts() by themselves."""
+    parts = benchmark_parts(a, locations, since, context)
+    return tuple(parts.where(F.col("part") == p).drop("part") for p in ("benchmark", "rest"))
 
 
-def training_starts(a: DataFrame, context_days: int, gap_percent: float, valid_ratio: float, shorten: bool = True) -> DataFrame:
+def training_starts(a: DataFrame, context_days: int, gap_percent: float, valid_ratio: float, shorten: bool = True, exact: bool = False) -> DataFrame:
     """Starts of contexts of so many days, gaps up to gap_percent of the context bridged; shortened once more by default."""
-    filled = iv.fill_gaps(a, int(24 * context_days * gap_percent / 100), context_days, valid_ratio)
-    return iv.add_duration(filled, -context_days * DAY) if shorten else filled
+    filled = iv.fill_gaps(a, int(24 * context_days * gap_percent / 100), context_days, valid_ratio, exact)
+    return iv.add_duration(filled, -context_days * DAY, tidy=True) if shorten else filled
 
 
 def random_split(a: DataFrame, percent: float, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -63,12 +71,26 @@ def location_split(a: DataFrame, percent: int, seed: int) -> tuple[DataFrame, Da
 
 
 def split_windows(rest: DataFrame, validation: DataFrame, benchmark: DataFrame, step: int) -> DataFrame:
-    """(part, location_id, t): window starts of train (rest without validation), validation and benchmark."""
-    parts = {"train": iv.subtract(rest, validation), "validation": validation, "benchmark": benchmark}
-    named = [iv.window_starts(x, step).withColumn("part", F.lit(name)) for name, x in parts.items()]
+    """(part, location_id, t): window starts of train (rest without validation), validation and benchmark, for any validation set."""
+    parts = {"train": iv.subtract(rest, validation), "validation": iv.clean(validation), "benchmark": iv.clean(benchmark)}
+    named = [iv.window_starts(x, step, tidy=True).withColumn("part", F.lit(name)) for name, x in parts.items()]
     return named[0].unionByName(named[1]).unionByName(named[2]).select("part", "location_id", "t")
 
 
+def dated_split_windows(a: DataFrame, locations: DataFrame, since: int, context: int, low: int, high: int, step: int) -> DataFrame:
+    """split_windows() of benchmark_parts(), validation being the rest within [low, high): the whole split from one sweep.
+
+    A clean set that is cut at two times stays clean, so that train and validation need no sweep of their own.
+    """
+    parts = benchmark_parts(a, locations, since, context)
+    piece = lambda name, begin, end: F.struct(F.lit(name).alias("part"), F.greatest(F.col("start"), F.lit(begin)).alias("start"), F.least(F.col("stop"), F.lit(end)).alias("stop"))
+    cut = F.array(piece("train", -iv.FAR, low), piece("validation", low, high), piece("train", high, iv.FAR))
+    pieces = F.when(F.col("part") == "rest", cut).otherwise(F.array(piece("benchmark", -iv.FAR, iv.FAR)))
+    cut = parts.select("location_id", F.inline(pieces)).where("stop > start")
+    aligned = cut.withColumn("start", iv.ceil_to(F.col("start"), step)).where("stop > start")
+    return aligned.select("part", "location_id", F.explode(F.sequence(F.col("start"), F.col("stop") - 1, F.lit(step).cast("long"))).alias("t"))
+
+
 def day_blocks(samples: DataFrame, step: int, key: str = "location", block: int = DAY) -> DataFrame:
     """(key, day, values): samples on a grid of step seconds, one array per block, null where there is none.
 

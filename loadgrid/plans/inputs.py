@@ -24,6 +24,11 @@ def events(spark, d) -> DataFrame:
 EVENTS = "e AS (SELECT *, epoch_us(ts) // 1000000 AS t FROM events)"
 
 
+def set_all(spark, d) -> DataFrame:
+    """Six hours from each event."""
+    return events(spark, d).select(F.col("user_id").alias("location_id"), F.col("t").alias("start"), (F.col("t") + 21600).alias("stop"))
+
+
 def set_a(spark, d) -> DataFrame:
     """Six hours from each event but every third."""
     return events(spark, d).where("event_id % 3 <> 0").select(F.col("user_id").alias("location_id"), F.col("t").alias("start"), (F.col("t") + 21600).alias("stop"))
@@ -35,6 +40,7 @@ def set_b(spark, d) -> DataFrame:
 
 
 SETS = f"""{EVENTS},
+w AS (SELECT user_id AS location_id, t AS start, t + 21600 AS stop FROM e),
 a AS (SELECT user_id AS location_id, t AS start, t + 21600 AS stop FROM e WHERE event_id % 3 <> 0),
 b AS (SELECT user_id AS location_id, t AS start, t + 7200 AS stop FROM e WHERE event_id % 3 = 0)"""
 

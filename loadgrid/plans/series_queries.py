@@ -244,8 +244,8 @@ BRIDGE = 43200
 def coverage(s, d):
     """Samples to spans to intervals to window starts: gaps of up to half a day bridged, how much data windows of a day, every six hours, cover."""
     data = iv.of_spans(spans(s, d).withColumn("location_id", F.col("location")))
-    bridged = iv.add_duration(iv.add_duration(data, BRIDGE), -BRIDGE)
-    found = iv.count_starts(iv.add_duration(bridged, -86400), 21600)
+    bridged = iv.bridged(data, BRIDGE)
+    found = iv.count_starts(iv.add_duration(bridged, -86400, tidy=True), 21600, tidy=True)
     minutes = F.col("n") * 96 * (STEP // 60)
     return found.select(F.col("location_id").alias("location"), F.col("n").alias("windows"), minutes.alias("minutes"), r6(minutes / 1440).alias("days"), r6(minutes / 525960).alias("years"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loadgrid.operators import distributions as ds, intervals as iv, normalise as nm, places, resample as rs, windows as wn
-from loadgrid.plans.inputs import EVENTS, SETS, SITES, STATIONS, STEP, events, quantiles_sql, reached_sql, samples, samples_sql, set_a, set_b, sites, stations, sweep, table, uniform_sql
+from loadgrid.plans.inputs import EVENTS, SETS, SITES, STATIONS, STEP, events, quantiles_sql, reached_sql, samples, samples_sql, set_all, sites, stations, sweep, table, uniform_sql
 from loadgrid.plans.interval_queries import CLEAN, GAPS, coverage_sql
 from loadgrid.plans.series_queries import r5, r6
 
@@ -81,16 +81,16 @@ SINCE = 1705000000
 
 
 def held(s, d):
-    return set_a(s, d).where("location_id % 7 = 0").select("location_id")
+    return set_all(s, d).where("location_id % 7 = 0").select("location_id")
 
 
-BENCH = f"""h0 AS (SELECT location_id, greatest(start, {SINCE}) AS start, stop FROM a WHERE location_id % 7 = 0), {sweep('h1', 'h0', 'x > 0')},
-h2 AS (SELECT location_id, start, stop - 7200 AS stop FROM h1 WHERE stop - 7200 > start), {sweep('rest', 'a', 'x > 0 AND y = 0', 'h1')}"""
+BENCH = f"""h0 AS (SELECT location_id, greatest(start, {SINCE}) AS start, stop FROM w WHERE location_id % 7 = 0), {sweep('h1', 'h0', 'x > 0')},
+h2 AS (SELECT location_id, start, stop - 7200 AS stop FROM h1 WHERE stop - 7200 > start), {sweep('rest', 'w', 'x > 0 AND y = 0', 'h1')}"""
 query("g2_benchmark_split", f"WITH {SETS}, {BENCH} SELECT 'benchmark' AS part, location_id, start, stop FROM h2 UNION ALL SELECT 'rest', location_id, start, stop FROM rest")(
-    lambda s, d: (lambda b: b[0].withColumn("part", F.lit("benchmark")).unionByName(b[1].withColumn("part", F.lit("rest"))))(wn.benchmark_split(set_a(s, d), held(s, d), SINCE, 7200))
+    lambda s, d: wn.benchmark_parts(set_all(s, d), held(s, d), SINCE, 7200)
 )
 query("g3_training_starts", f"""WITH {SETS}, {CLEAN}, {GAPS}, {sweep('f', 'gu', 'x > 0')}, {coverage_sql('f', 86400, 51840, 4320, 'cv')}
-SELECT location_id, start, stop - 86400 AS stop FROM cv WHERE stop - 86400 > start""")(lambda s, d: wn.training_starts(set_a(s, d), 1, 25, 0.6))
+SELECT location_id, start, stop - 86400 AS stop FROM cv WHERE stop - 86400 > start""")(lambda s, d: wn.training_starts(set_all(s, d), 1, 25, 0.6))
 
 
 def both(pair):
@@ -98,13 +98,13 @@ def both(pair):
 
 
 query("g4_random_split", f"""WITH {SETS}, {CLEAN}, n AS (SELECT *, row_number() OVER (ORDER BY {uniform_sql(3, 'location_id', 'start', 'stop')}, location_id, start) - 1 AS k, floor(0.2::DOUBLE * count(*) OVER ()) AS most FROM c)
-SELECT location_id, start, stop, CASE WHEN k < most THEN 'first' ELSE 'second' END AS part FROM n""")(lambda s, d: both(wn.random_split(iv.clean(set_a(s, d)), 20, 3)))
-query("g5_location_split", f"""WITH {SETS}, i AS (SELECT *, row_number() OVER (ORDER BY {uniform_sql(3, 'location_id')}, location_id) - 1 AS k, count(*) OVER () * 30 // 100 AS most FROM (SELECT DISTINCT location_id FROM a))
-SELECT a.location_id, start, stop, CASE WHEN k < most THEN 'first' ELSE 'second' END AS part FROM a JOIN i USING (location_id)""")(lambda s, d: both(wn.location_split(set_a(s, d), 30, 3)))
+SELECT location_id, start, stop, CASE WHEN k < most THEN 'first' ELSE 'second' END AS part FROM n""")(lambda s, d: both(wn.random_split(iv.clean(set_all(s, d)), 20, 3)))
+query("g5_location_split", f"""WITH {SETS}, i AS (SELECT *, row_number() OVER (ORDER BY {uniform_sql(3, 'location_id')}, location_id) - 1 AS k, count(*) OVER () * 30 // 100 AS most FROM (SELECT DISTINCT location_id FROM w))
+SELECT w.location_id, start, stop, CASE WHEN k < most THEN 'first' ELSE 'second' END AS part FROM w JOIN i USING (location_id)""")(lambda s, d: both(wn.location_split(set_all(s, d), 30, 3)))
 query("g6_split_windows", f"""WITH {SETS}, {BENCH}, v0 AS (SELECT location_id, greatest(start, 1705500000) AS start, stop FROM rest), {sweep('va', 'v0', 'x > 0')}, {sweep('tr', 'rest', 'x > 0 AND y = 0', 'va')},
 al AS (SELECT 'train' AS part, * FROM tr UNION ALL SELECT 'validation', * FROM va UNION ALL SELECT 'benchmark', * FROM h2)
 SELECT part, location_id, unnest(range((start + 3599) // 3600 * 3600, stop, 3600)) AS t FROM al""")(
-    lambda s, d: (lambda b, r: wn.split_windows(r, iv.from_date(r, 1705500000), b, 3600))(*wn.benchmark_split(set_a(s, d), held(s, d), SINCE, 7200))
+    lambda s, d: wn.dated_split_windows(set_all(s, d), held(s, d), SINCE, 7200, 1705500000, iv.FAR, 3600)
 )
 SMALL = 48
 query("g7_window_sample", f"""WITH {WIN}, h AS (SELECT j, (j * {N - 1} / {SMALL - 1}.0)::DOUBLE AS p FROM (SELECT unnest(range(0, {SMALL})) AS j)), g AS (SELECT j, floor(p)::BIGINT AS low, p - floor(p) AS share FROM h),
@@ -171,8 +171,8 @@ query("g15_left_padded", f"WITH {WIN} SELECT location, window_start, pos + 8 AS
 query("g16_applied", f"WITH {WIN}, {MASK} SELECT location, window_start, pos, round(coalesce(value, 0) * xm + 1.37e-8, 6) + 0.0 AS x, round(coalesce(value, 0) * ym + 1.37e-8, 6) + 0.0 AS y FROM m")(
     lambda s, d: long(masked(s, d).withColumn("x", wn.applied(F.col("values"), F.col("xm"))).withColumn("y", wn.applied(F.col("values"), F.col("ym"))), KEYS, x="x", y="y").withColumns({c: r6(F.col(c)) for c in "xy"})
 )
-query("g17_target_times", f"WITH {SETS} SELECT DISTINCT unnest(range(t0, t0 + 2 * 86400, 21600)) AS ts FROM (SELECT start - start % 86400 + 4 * 86400 AS t0 FROM a) ORDER BY 1")(
-    lambda s, d: wn.target_times(set_a(s, d).select((F.col("start") - F.col("start") % 86400).alias("t")), 3, 2, 2, 21600)
+query("g17_target_times", f"WITH {SETS} SELECT DISTINCT unnest(range(t0, t0 + 2 * 86400, 21600)) AS ts FROM (SELECT start - start % 86400 + 4 * 86400 AS t0 FROM w) ORDER BY 1")(
+    lambda s, d: wn.target_times(set_all(s, d).select((F.col("start") - F.col("start") % 86400).alias("t")), 3, 2, 2, 21600)
 )
 query("g18_batches", f"""WITH n AS (SELECT event_id, 3::BIGINT AS n_features, row_number() OVER (ORDER BY {uniform_sql(1 + 2 * 1_000_003, 'event_id')}, event_id) - 1 AS k, count(*) OVER () AS whole FROM events)
 SELECT event_id, n_features, (k % 4)::INTEGER AS rank, k // 4 // 32 AS batch, (k // 4 % 32)::INTEGER AS place FROM n WHERE k // 4 // 32 < ((whole - 1 - k % 4) // 4 + 1) // 32""")(lambda s, d: wn.batches(events(s, d).select("event_id", (F.col("user_id") * 0 + 3).alias("n_features")), ["event_id"], 32, 4, 1, 2, drop_last=True, features="n_features"))

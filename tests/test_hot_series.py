@@ -4,14 +4,22 @@ import random
 import re
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from loadgrid.operators import distributions as ds, forecast as fc, intervals as iv, resample as rs, windows as wn
+from loadgrid.operators import running as rn
 from loadgrid.operators.running import running
 
 SETS = "location_id long, start long, stop long"
 
 
+@pytest.fixture(autouse=True)
+def _split_series(monkeypatch):
+    """Tables here are small, but are to be split as large ones are."""
+    monkeypatch.setattr(rn, "ONE_TASK", 0)
+
+
 def minutes(rows):
     """Covered minutes of each location."""
     return {(r[0], m) for r in rows for m in range(r[1], r[2])}
