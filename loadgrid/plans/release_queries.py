@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 
 from loadgrid.functions import scalars as fn
 from loadgrid.operators import resample as rs, scores as sc
-from loadgrid.operators.tables import shared_dir
+from loadgrid.operators.tables import shared_dir, written
 from loadgrid.plans import score_queries as scq, series_queries as sq
 from loadgrid.plans.inputs import EVENTS, SITES, events, samples, samples_sql, sites, table
 from loadgrid.plans.series_queries import r6
-from loadgrid.sources import files, release
+from loadgrid.sources import buffer, files, release
 
 QUERIES: dict = {}
 ORACLE: dict = {}
@@ -46,6 +46,24 @@ query("a1_read_series_csv", _RAW)(lambda s, d: raw_series(s, d, "csv").withColum
 query("a2_with_catalogue", f"WITH {SITES} SELECT c_name AS location, lon, lat FROM customer LEFT JOIN (SELECT replace(name, 'Supplier', 'Customer') AS n, lon, lat FROM si) ON n = c_name")(
     lambda s, d: files.with_catalogue(table(s, d, "customer").select(F.col("c_name").alias("location")), sites(s, d).select(F.replace("name", F.lit("Supplier"), F.lit("Customer")).alias("name"), "lon", "lat"))
 )
+
+
+def flat_buffer(s, d):
+    """Means and numbers of events in 15 minutes as a flat file of two features, read again for all types but sign-ups."""
+    e = events(s, d)
+    rows = e.groupBy(F.col("event_type").alias("location"), (F.col("t") - F.pmod("t", F.lit(900))).alias("ts")).agg(F.struct(F.avg("value").alias("mean"), F.count("*").cast("double").alias("n")).alias("value"))
+    spans = buffer.placed(rs.to_spans(rows, 900, ["location"]), ["location", "start_time"])
+    path = folder(s, "values") + ".np"
+    stored = written(spans.select("id", "location", F.col("start_time").alias("datetime_start"), "num_values", "sample_interval_s", F.col("values")["mean"].alias("mean"), F.col("values")["n"].alias("n")))
+    buffer.write_buffer(stored.select("id", "mean", "n"), path, ["mean", "n"])
+    raw = F.ascii("location")
+    known = e.where("event_type <> 'signup'").groupBy(F.col("event_type").alias("location")).agg(F.count("*"))
+    table = stored.select("id", raw.alias("location"), "datetime_start", "num_values", "sample_interval_s")
+    return buffer.read_buffer(s, path, table, known.select(raw.alias("location_id"), F.col("location").alias("name")), ["mean", "n"])
+
+
+query("a4_read_buffer", f"""WITH {EVENTS} SELECT {sq._ID.replace(sq.HEX, 'sha256(event_type)')} AS location_id, t - t % 900 AS ts, round(avg(value)::FLOAT::DOUBLE + 1.37e-5, 3) + 0.0 AS mean, count(*)::DOUBLE AS n
+FROM e WHERE event_type <> 'signup' GROUP BY event_type, 2""")(lambda s, d: flat_buffer(s, d).withColumn("mean", F.round(F.col("mean") + 1.37e-5, 3) + 0.0))
 FEATURES = ["l_quantity", "l_extendedprice", "l_discount"]
 
 

@@ -1,15 +1,12 @@
-"""Raw series, legacy buffers, descriptors, sideloaded series, predictions and metric logs."""
+"""Raw series, descriptors, sideloaded series, predictions and metric logs."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
-from loadgrid.functions.scalars import location_id, to_unix
-from loadgrid.operators import intervals as iv
+from loadgrid.functions.scalars import to_unix
 from loadgrid.operators.resample import bare
 
-#: Records of a flat file that one task matches with spans.
-RECORDS = 65_536
 STEM = r"([^/]+)\.(?:csv|parquet)$"
 
 
@@ -33,33 +30,6 @@ def read_descriptor(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(F.col("id").cast("long").alias("location_id"), F.coalesce("p.name", "id").alias("name"), "p.lat", "p.lon", "p.sign")
 
 
-def read_buffer(spark: SparkSession, path: str, spans: DataFrame, locations: DataFrame, dimension: int, features: list[str], wanted: list[str] | None = None) -> DataFrame:
-    """Samples (location_id, ts, features) of a flat float32 file.
-
-    spans are (id, location, datetime_start, num_values, sample_interval_s), id being the offset of the first sample;
-    raw locations become the ids of their names, spans of unknown locations go. The file is read in records of one
-    sample each by any number of tasks; records find their span by an as-of join in ranges of RECORDS. (No DataFrame source reads such files.)
-    """
-    records = spark.sparkContext.binaryRecords(path, 4 * dimension).zipWithIndex().map(lambda r: (bytearray(r[0]), r[1]))
-    rows = spark.createDataFrame(records, "data binary, t long").withColumn("location_id", F.lit(0).cast("long"))
-    named = locations.select(F.col("location_id").alias("location"), location_id(F.col("name")).alias("hashed"))
-    known = spans.join(named, "location").select(F.lit(0).cast("long").alias("location_id"), F.col("id").alias("start"), (F.col("id") + F.col("num_values")).alias("stop"), "hashed", "datetime_start", "sample_interval_s")
-    found = iv.locate(rows, known, "t", ["hashed", "datetime_start", "sample_interval_s"], RECORDS).where("hit_start IS NOT NULL")
-    columns = [f for f in features if wanted is None or f in wanted]
-
-    def unpack(batches):
-        import numpy as np
-        import pyarrow as pa
-
-        for b in batches:
-            x = np.frombuffer(b"".join(b.column(2).to_pylist()), "<f4").reshape(-1, dimension).astype(float)
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(x[:, features.index(c)], from_pandas=True) for c in columns)], names=["location_id", "ts", *columns])
-
-    ts = F.col("datetime_start") + (F.col("t") - F.col("hit_start")) * F.col("sample_interval_s")
-    fields = ", ".join(f"`{c}` double" for c in columns)
-    return found.select(F.col("hashed").alias("location_id"), ts.alias("ts"), "data").mapInArrow(unpack, f"location_id long, ts long, {fields}")
-
-
 def sideload(rows: DataFrame, step: int, keys: list[str], order: str, ts: str = "time", value: str = "value") -> DataFrame:
     """(keys, ts, value): watts as megawatts on a full grid from the first to the last time, missing values 0.
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from loadgrid.functions import scalars as fn
 from loadgrid.operators import distributions as ds, forecast as fc, places, resample as rs, scores as sc, windows as wn
 from loadgrid.operators.ranks import with_rank
-from loadgrid.sources import files, release
+from loadgrid.sources import buffer, files, release
 
 
 def one(spark, expr, **columns):
@@ -150,7 +150,7 @@ def test_flat_buffer(spark, tmp_path):
     data.tofile(tmp_path / "values.np")
     spans = spark.createDataFrame([(0, 5, 1000, 4, 60), (4, 6, 2000, 5, 60), (9, 99, 0, 3, 60)], "id long, location long, datetime_start long, num_values long, sample_interval_s long")
     locations = spark.createDataFrame([(5, "x"), (6, "y")], "location_id long, name string")
-    rows = files.read_buffer(spark, str(tmp_path / "values.np"), spans, locations, 2, ["a", "b"], ["b"]).collect()
+    rows = buffer.read_buffer(spark, str(tmp_path / "values.np"), spans, locations, ["a", "b"], ["b"]).collect()
     assert len(rows) == 9
     by = {r.ts: r.b for r in rows}
     assert by[1000] == 1.0 and by[1180] is None and by[2240] == 17.0
