@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loadgrid.functions.scalars import coordinate_key, great_circle_km, planar_km
+from loadgrid.functions.scalars import coordinate_key
+from loadgrid.operators.split_tree import nearest_of_few, nearest_points
 
-#: Points up to which the smaller side of a nearest match is sent to all executors.
+#: Points up to which the right side of a nearest match goes to all tasks (240 kB).
 FEW_POINTS = 10_000
 
 
@@ -19,47 +20,21 @@ def with_weather(measurements: DataFrame, weather: DataFrame, key: str = "weathe
     return measurements.join(weather, key)
 
 
-def nearest(left: DataFrame, right: DataFrame, left_id: str = "location_id", right_id: str = "weather_id", metric: str = "planar", cell: float = 0.25) -> DataFrame:
+def nearest(left: DataFrame, right: DataFrame, left_id: str = "location_id", right_id: str = "weather_id", metric: str = "planar") -> DataFrame:
     """(left_id, right_id, km): for each left point (lat, lon) the nearest right point (w_lat, w_lon), ties to the smaller id.
 
-    A right side of at most FEW_POINTS distinct points is broadcast. Beyond, both are cut into cells: points look into
-    the cells around their own, ring by ring with larger cells, until a match is closer than any point outside can be; what is left then
-    looks at all points.
+    A right side of at most FEW_POINTS goes to all tasks. Beyond, a tree of splits partitions the points, see
+    split_tree. Points without coordinates have no row.
     """
-    distance = planar_km if metric == "planar" else great_circle_km
-    km = distance(F.col("lat"), F.col("lon"), F.col("w_lat"), F.col("w_lon"))
+    known = lambda a, b: F.col(a).isNotNull() & F.col(b).isNotNull() & ~F.isnan(F.col(a)) & ~F.isnan(F.col(b))
+    as_double = lambda *names: [F.col(c).cast("double").alias(c) for c in names]
+    rows = left.select(left_id, *as_double("lat", "lon")).where(known("lat", "lon"))
     # several locations at one place share the work
-    places = left.select("lat", "lon").where("lat IS NOT NULL AND lon IS NOT NULL").distinct()
-    points = right.select(right_id, "w_lat", "w_lon").where("w_lat IS NOT NULL AND w_lon IS NOT NULL")
-    best = lambda rows: rows.groupBy("lat", "lon").agg(F.min(F.struct(km.alias("km"), F.col(right_id).alias("id"))).alias("best"))
-    if points.limit(FEW_POINTS + 1).count() <= FEW_POINTS:
-        found = best(places.crossJoin(F.broadcast(points)))
-    else:
-        sphere = metric != "planar"
-        turned = lambda c: F.pmod(F.col(c) + 180, F.lit(360.0)) - 180 if sphere else F.col(c)
-        found, open_, size = None, places, cell
-        while size < 90:
-            side = 111.0 * size
-            near = lambda c, s=size: F.explode(F.sequence(F.floor(c / s) - 1, F.floor(c / s) + 1))
-            looked = open_.withColumn("__x", near(F.col("lat"))).withColumn("__y", near(turned("lon")))
-            celled = points.withColumn("__lon", turned("w_lon"))
-            if sphere:  # points near the date line stand on both sides of it
-                celled = celled.withColumn("__lon", F.explode(F.array(*(F.col("__lon") + d for d in (-360, 0, 360))))).where(F.abs("__lon") <= 180 + 2 * size)
-            celled = celled.withColumns({"__x": F.floor(F.col("w_lat") / size), "__y": F.floor(F.col("__lon") / size)})
-            hits = best(looked.join(celled, ["__x", "__y"]))
-            sure = F.col("best.km") <= side
-            if sphere:  # the way to the meridian that bounds the cells, which is shorter towards the poles
-                sure = sure & (F.col("best.km") <= 111.0 * F.degrees(F.asin(F.cos(F.radians("lat")) * F.sin(F.radians(F.lit(size))))))
-            done = hits.where(sure)
-            found = done if found is None else found.unionByName(done)
-            open_ = open_.join(done, ["lat", "lon"], "left_anti")
-            if open_.isEmpty():
-                break
-            size *= 4
-        else:  # what is far from all points, or near a pole, looks at each
-            rest = best(open_.crossJoin(points))
-            found = rest if found is None else found.unionByName(rest)
-    return left.join(found, ["lat", "lon"]).select(left_id, F.col("best.id").alias(right_id), F.col("best.km").alias("km"))
+    places = rows.select("lat", "lon").distinct()
+    points = right.select(F.col(right_id).cast("long").alias("id"), *as_double("w_lat", "w_lon")).where(known("w_lat", "w_lon"))
+    few = points.limit(FEW_POINTS + 1).collect()
+    found = nearest_of_few(places, [tuple(p) for p in few], metric, "bigint") if len(few) <= FEW_POINTS else nearest_points(places, points, metric)
+    return rows.join(found, ["lat", "lon"]).select(left_id, F.col("id").cast(right.schema[right_id].dataType).alias(right_id), "km")
 
 
 def nearest_or_first(left: DataFrame, right: DataFrame, wanted: DataFrame, key: str = "location_id", right_id: str = "weather_id") -> DataFrame:

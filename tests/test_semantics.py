@@ -122,7 +122,7 @@ def test_limits_below_zero_turn_the_comparison(spark):
     assert (r.precision, r.recall, r.fbeta) == (0.0, 0.0, 0.0)
 
 
-def test_nearest_by_cells_equals_nearest_by_broadcast(spark, monkeypatch):
+def test_nearest_by_tree_equals_nearest_of_few(spark, monkeypatch):
     rng = np.random.default_rng(1)
     left = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(0, 4, (60, 2)))], "location_id int, lat double, lon double")
     right = spark.createDataFrame([(i, float(a), float(b)) for i, (a, b) in enumerate(rng.uniform(0, 2, (40, 2)))], "weather_id int, w_lat double, w_lon double")
@@ -133,7 +133,7 @@ def test_nearest_by_cells_equals_nearest_by_broadcast(spark, monkeypatch):
         monkeypatch.undo()
 
 
-def test_nearest_by_cells_finds_far_points_and_those_beyond_the_date_line(spark, monkeypatch):
+def test_nearest_by_tree_finds_far_points_and_those_beyond_the_date_line(spark, monkeypatch):
     left = spark.createDataFrame([(0, 52.0, 5.0), (1, -40.0, 20.0), (2, 10.0, 179.9), (3, 10.0, -179.9), (4, 89.5, 0.0), (5, 10.0, 359.0)], "location_id int, lat double, lon double")
     right = spark.createDataFrame([(0, 35.0, 140.0), (1, 10.0, -179.5), (2, 10.5, 179.2), (3, 89.0, 170.0), (4, -80.0, -100.0), (5, 10.2, -1.5)], "weather_id int, w_lat double, w_lon double")
     for metric in ("planar", "sphere"):
