@@ -6,6 +6,8 @@ null; NaN becomes null on the way in.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from loadgrid.operators.running import bucket_of, running
@@ -14,6 +16,8 @@ from loadgrid.operators.running import bucket_of, running
 MOST_VALUES = 105_408
 #: Seconds of a series that one task looks at when it is cut into runs.
 BUCKET = 7 * 86400
+#: Window starts of a block that one task pools, and values that it sorts at a time.
+POOLED, CELLS = 65_536, 2_000_000
 
 
 def bare(x: Column) -> Column:
@@ -66,23 +70,38 @@ def downsample(spans: DataFrame, step: int, keys: list[str], low: int | None = N
     return grid.join(buckets, [*keys, "__span", "ts"], "left").withColumnRenamed("__span", "span")
 
 
-def upsample(spans: DataFrame, step: int, keys: list[str]) -> DataFrame:
+def upsample(spans: DataFrame, step: int, keys: list[str], low: int | None = None, high: int | None = None) -> DataFrame:
     """(keys, span, ts, value): linear interpolation in time on a grid of step seconds from each span's first bucket.
 
-    Only samples that fall on the grid are anchors. After the last one its value is held.
+    Only samples that fall on the grid, and within [low, high), are anchors; the grid reaches over what is left of the
+    span. After the last anchor its value is held, before the first there is none. A span is a row with all its values,
+    so nothing is shuffled.
     """
-    rows = to_samples(spans.withColumn("__span", F.col("start_time")), [*keys, "__span"])
-    floor = lambda c: F.col(c) - F.pmod(c, F.lit(step))
-    ends = rows.groupBy(*keys, "__span").agg(F.min("ts").alias("__from"), F.max("ts").alias("__to"))
-    grid = ends.select(*keys, "__span", F.explode(F.sequence(floor("__from"), floor("__to"), F.lit(step).cast("long"))).alias("ts"))
-    joined = grid.join(rows, [*keys, "__span", "ts"], "left")
-    anchor = F.when(F.col("value").isNotNull(), F.struct("ts", "value"))
-    w = Window.partitionBy(*keys, "__span").orderBy("ts")
-    before = F.last(anchor, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
-    after = F.first(anchor, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
-    both = joined.withColumns({"__a": before, "__b": after})
-    value = F.when(F.col("value").isNotNull(), F.col("value")).when(F.col("__b").isNull(), F.col("__a.value")).otherwise(F.col("__a.value") + (F.col("__b.value") - F.col("__a.value")) * F.try_divide(F.col("ts") - F.col("__a.ts"), F.col("__b.ts") - F.col("__a.ts")))
-    return both.select(*keys, F.col("__span").alias("span"), "ts", value.alias("value"))
+    kinds = {f.name: f.dataType.simpleString() for f in spans.schema.fields}
+    fields = ", ".join([*(f"`{k}` {kinds[k]}" for k in keys), "span long, ts long, value double"])
+    lows, highs = (-(2**62) if low is None else low), (2**62 if high is None else high)
+
+    def run(batches):
+        for b in batches:
+            for at in range(b.num_rows):
+                start, every = b.column(len(keys))[at].as_py(), b.column(len(keys) + 1)[at].as_py()
+                values = b.column(len(keys) + 2)[at].values
+                ts = start + np.arange(0 if values is None else len(values), dtype=np.int64) * every
+                inside = (ts >= lows) & (ts < highs)
+                if not inside.any():
+                    continue
+                own, x = ts[inside], values.to_numpy(zero_copy_only=False).astype(float)[inside]
+                grid = np.arange(own[0] - own[0] % step, own[-1] - own[-1] % step + 1, step)
+                anchor = (own % step == 0) & ~np.isnan(x)
+                y = np.full(len(grid), np.nan)
+                if anchor.any():
+                    y = np.interp(grid, own[anchor], x[anchor])
+                    y[grid < own[anchor][0]] = np.nan
+                same = pa.array(np.full(len(grid), at))
+                yield pa.RecordBatch.from_arrays([*(b.column(k).take(same) for k in range(len(keys))), pa.array(np.full(len(grid), start)), pa.array(grid), pa.array(y, from_pandas=True)], names=[*keys, "span", "ts", "value"])
+
+    rows = spans.select(*keys, F.col("start_time").cast("long"), F.col("sample_interval_s").cast("long"), F.col("values").cast("array<double>"))
+    return rows.mapInArrow(run, fields)
 
 
 def stretch(values: Column, n: int) -> Column:
@@ -99,22 +118,80 @@ def stretch(values: Column, n: int) -> Column:
     return F.when(size > 0, F.transform(F.sequence(F.lit(0), F.lit(n - 1)), at))
 
 
+def _quantiles(values: np.ndarray, quantile: float) -> np.ndarray:
+    """Linearly interpolated quantile of each row's values that aren't NaN; NaN where there is none."""
+    ordered = np.sort(values, axis=1)  # NaN last
+    n = np.count_nonzero(~np.isnan(ordered), axis=1)
+    at = np.maximum(n - 1, 0) * quantile
+    low, high = np.floor(at).astype(int), np.ceil(at).astype(int)
+    rows = np.arange(len(values))
+    a, b = ordered[rows, low], ordered[rows, high]
+    return np.where(low == high, a, (high - at) * a + (at - low) * b)
+
+
 def pool_quantile(rows: DataFrame, keys: list[str], kernel: int, stride: int, quantile: float, dilation: int = 1, padding: int = 0, pos: str = "pos", value: str = "value") -> DataFrame:
     """(keys, window, value): a linearly interpolated quantile of each full window of kernel positions, dilation apart.
 
     Windows start every stride positions; padding adds that many zeros on both sides; what doesn't fill a window goes.
+    Missing values don't count, a window of none but these is null. Of several values at one position one counts.
+
+    A series is dealt out in blocks of window starts, each with a halo of what its last windows reach over: a row goes to
+    two blocks at most, whatever the kernel, and a long series to many tasks. A task sorts strided views of one block.
     """
     reach = (kernel - 1) * dilation
-    # window k covers stride * k + dilation * i - padding for i < kernel
-    size = rows.groupBy(*keys).agg((F.max(pos) + 1).alias("__n"))
-    body = rows.select(*keys, F.col(pos).cast("long").alias("__pos"), F.col(value).cast("double").alias("__v"))
+    width = max(POOLED, reach + 1, stride)
+    body = rows.select(*keys, F.col(pos).cast("long").alias("__pos"), bare(F.col(value).cast("double")).alias("__v"))
     if padding:
-        pads = size.select(*keys, F.explode(F.concat(F.sequence(F.lit(-padding).cast("long"), F.lit(-1).cast("long")), F.sequence(F.col("__n").cast("long"), F.col("__n").cast("long") + padding - 1))).alias("__pos"), F.lit(0.0).alias("__v"))
+        size = rows.groupBy(*keys).agg((F.max(pos) + 1).cast("long").alias("__n"))
+        pads = size.select(*keys, F.explode(F.concat(F.sequence(F.lit(-padding).cast("long"), F.lit(-1).cast("long")), F.sequence(F.col("__n"), F.col("__n") + padding - 1))).alias("__pos"), F.lit(0.0).alias("__v"))
         body = body.unionByName(pads)
-    steps = F.array(*(F.lit(i * dilation) for i in range(kernel)))
-    start = F.explode(F.filter(F.transform(steps, lambda s: F.col("__pos") + padding - s), lambda p: (p >= 0) & (p % stride == 0)))
-    windows = body.withColumn("__start", start).groupBy(*keys, "__start").agg(F.percentile("__v", F.lit(quantile)).alias("value"), F.count("*").alias("__have"))
-    return windows.where(F.col("__have") == kernel).select(*keys, (F.col("__start") / stride).cast("long").alias("window"), "value")
+    # window k starts at stride * k - padding and belongs to block (stride * k) // width
+    first, last = (F.floor((F.col("__pos") + padding - far) / width) for far in (reach, 0))
+    dealt = body.withColumn("__block", F.explode(F.sequence(F.greatest(first, F.lit(0)), last)))
+    order = [*keys, "__block", "__pos"]
+    dealt = dealt.withColumn("__group", F.xxhash64(*keys, "__block")).repartition(*keys, "__block").sortWithinPartitions(*order)
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    k = len(keys)
+
+    def pooled(t: pa.Table):
+        group, block = t.column("__group").to_numpy(), t.column("__block").to_numpy()
+        at, v = t.column("__pos").to_numpy(), t.column("__v").to_numpy(zero_copy_only=False).astype(float)
+        cuts = [0, *(np.flatnonzero((group[1:] != group[:-1]) | (block[1:] != block[:-1])) + 1).tolist(), len(group)]
+        for a, b in zip(cuts[:-1], cuts[1:], strict=True):
+            begin = -(-int(block[a]) * width // stride)  # the first window of the block
+            end = -(-(int(block[a]) + 1) * width // stride)
+            low = begin * stride - padding
+            span = max(0, (end - 1 - begin) * stride + reach + 1)
+            dense, there = np.full(span, np.nan), np.zeros(span, bool)
+            slot = at[a:b] - low
+            inside = (slot >= 0) & (slot < span)
+            dense[slot[inside]], there[slot[inside]] = v[a:b][inside], True
+            if span <= reach:
+                continue
+            view = lambda x: np.lib.stride_tricks.sliding_window_view(x, reach + 1)[::stride, ::dilation]
+            full = np.flatnonzero(view(there).all(1))
+            windows = view(dense)
+            for c in range(0, len(full), max(1, CELLS // kernel)):
+                own = full[c : c + max(1, CELLS // kernel)]
+                same = pa.array(np.full(len(own), a))
+                yield pa.RecordBatch.from_arrays([*(t.column(i).combine_chunks().take(same) for i in range(k)), pa.array(begin + own), pa.array(_quantiles(windows[own], quantile), from_pandas=True)], names=[*keys, "window", "value"])
+
+    def run(batches):
+        held = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            t = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            group = t.column("__group").to_numpy()
+            cuts = np.flatnonzero(group[1:] != group[:-1]) + 1
+            last = int(cuts[-1]) if len(cuts) else 0
+            if last:
+                yield from pooled(t.slice(0, last))
+            held = t.slice(last)
+        if held is not None:
+            yield from pooled(held)
+
+    return dealt.mapInArrow(run, ", ".join([*(f"`{c}` {kinds[c]}" for c in keys), "window long, value double"]))
 
 
 def pool_extremes(rows: DataFrame, keys: list[str], kernel: int, pos: str = "pos", value: str = "value") -> DataFrame:
@@ -145,9 +222,15 @@ def unit_scale(rows: DataFrame, keys: list[str], value: str = "value") -> DataFr
     return rows.join(ends, keys).withColumn(value, scaled).drop("__low", "__high")
 
 
+def numbered(rows: DataFrame, keys: list[str], order: str = "ts", name: str = "pos", width: int = BUCKET) -> DataFrame:
+    """rows with their position in their series, from 0; a long series is counted in buckets of order, a number, so wide."""
+    counted = running(rows.withColumn("__b", bucket_of(F.col(order), width)), keys, "__b", [order], sums={name: F.lit(1).cast("long")}, own=False)
+    return counted.drop("__b")
+
+
 def every(rows: DataFrame, keys: list[str], k: int, order: str = "ts") -> DataFrame:
     """Each k-th row of a series, from the first."""
-    return rows.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(order)) - 1).where(F.col("__n") % k == 0).drop("__n")
+    return numbered(rows, keys, order, "__n").where(F.col("__n") % k == 0).drop("__n")
 
 
 def tail(rows: DataFrame, keys: list[str], n: int, order: str = "ts") -> DataFrame:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from loadgrid.functions import scalars as fn
 from loadgrid.operators import distributions as ds, forecast as fc, intervals as iv, places, resample as rs, scores as sc, windows as wn
@@ -71,8 +71,7 @@ query("j5_fbeta", f"WITH {P}, {EXC} SELECT location, quantile, round(CASE WHEN p
 
 
 def placed(s, d, level):
-    w = Window.partitionBy("location").orderBy("ts")
-    p = pairs(s, d).where(F.col("quantile") == level).withColumn("pos", (F.row_number().over(w) - 1).cast("long"))
+    p = rs.numbered(pairs(s, d).where(F.col("quantile") == level), ["location"])
     return p.select("location", "pos", "value"), p.select("location", "pos", F.col("truth").alias("value"))
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import Window, functions as F
+from pyspark.sql import functions as F
 
 from loadgrid.functions import scalars as fn
 from loadgrid.operators import intervals as iv, places, resample as rs
@@ -177,9 +177,23 @@ SELECT location, start_time, j::INTEGER AS pos, round(CASE WHEN p = floor(p) THE
 )
 
 
+query("f3_upsample_clipped", f"""WITH {SPANS}, c AS (SELECT * FROM q WHERE ts >= {LOW} AND ts < {HIGH}), h AS (SELECT location, span, unnest(range(min(ts), max(ts) + 1, 300)) AS ts FROM c GROUP BY location, span),
+n AS (SELECT h.location, h.span, h.ts, h.ts - (h.ts - h.span) % {STEP} AS a FROM h)
+SELECT n.location, n.span, n.ts, round(x.value + CASE WHEN y.value IS NULL THEN 0 ELSE (y.value - x.value) * (n.ts - n.a) / {STEP}.0 END + 1.37e-8, 6) + 0.0 AS value
+FROM n JOIN c x ON x.location = n.location AND x.ts = n.a LEFT JOIN c y ON y.location = n.location AND y.span = n.span AND y.ts = n.a + {STEP}""")(
+    lambda s, d: rs.upsample(spans(s, d), 300, ["location"], LOW, HIGH).withColumn("value", r6(F.col("value")))
+)
+# a window of a month of quarter hours over a series of all events, each day
+query("f5_pool_month", f"""WITH {EVENTS}, u AS (SELECT 0::BIGINT AS location, event_id // 3 AS pos, avg(value) AS value FROM e GROUP BY 2), n AS (SELECT max(pos) + 1 AS n FROM u),
+w AS (SELECT unnest(range(0, greatest(0, (n - 2880) // 96 + 1))) AS win FROM n)
+SELECT location, win::BIGINT AS "window", round(quantile_cont(value, 0.99) + 1.37e-8, 6) + 0.0 AS value FROM w JOIN u ON pos >= win * 96 AND pos < win * 96 + 2880 GROUP BY 1, 2 HAVING count(*) = 2880""")(
+    lambda s, d: rs.pool_quantile(events(s, d).groupBy(F.lit(0).cast("long").alias("location"), F.floor(F.col("event_id") / 3).alias("pos")).agg(F.avg("value").alias("value")), ["location"], 2880, 96, 0.99).withColumn("value", r6(F.col("value")))
+)
+
+
 def numbered(s, d):
     """Samples of each user with their position."""
-    return samples(s, d, "user_id").withColumn("pos", (F.row_number().over(Window.partitionBy("location").orderBy("ts")) - 1).cast("long"))
+    return rs.numbered(samples(s, d, "user_id"), ["location"])
 
 
 U = f"{EVENTS}, {samples_sql('user_id')}, u AS (SELECT *, row_number() OVER (PARTITION BY location ORDER BY ts) - 1 AS pos FROM s)"
