@@ -30,6 +30,42 @@ def uniform(seed: int, *keys) -> Column:
     return F.conv(F.substring(F.md5(text), 1, 12), 16, 10).cast("double") / F.lit(float(1 << 48))
 
 
+#: Rounds of a shuffle, and how often a number is moved on at most until it is within bounds.
+ROUNDS, WALKS = 6, 64
+
+
+def _mixed(seed: int, k: Column, x: Column) -> Column:
+    """48 bits of an MD5 sum of seed, round and a number."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), k.cast("string"), x.cast("string"))), 1, 12), 16, 10).cast("long")
+
+
+def shuffled(number: Column, n: int, seed: int, back: bool = False) -> Column:
+    """The place of a number from [0, n) in a shuffle of all of them; with back, the number at a place.
+
+    A Feistel network over pairs (number % a, number // a) of about the root of n each: every round moves one of the two
+    by a hash of the other, which can be undone. Pairs beyond n are sent through it again until they are within, which
+    keeps it one to one. So a row's place takes no sort, and any batch can be read by itself.
+    """
+    a = max(1, math.isqrt(max(n - 1, 0)) + 1)
+    b = max(1, -(-n // a))
+    rounds = F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1)) if back else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
+    sign = -1 if back else 1
+
+    def step(s: Column, k: Column) -> Column:
+        moved = lambda own, other, base: F.pmod(s[own] + sign * F.pmod(_mixed(seed, k, s[other]), F.lit(base)), F.lit(base)).cast("long")
+        even = F.struct(moved("left", "right", a).alias("left"), s["right"].alias("right"))
+        return F.when(k % 2 == 0, even).otherwise(F.struct(s["left"].alias("left"), moved("right", "left", b).alias("right")))
+
+    def once(x: Column) -> Column:
+        return F.aggregate(rounds, F.struct(F.pmod(x, F.lit(a)).cast("long").alias("left"), F.floor(x / a).cast("long").alias("right")), step, lambda s: s["right"] * a + s["left"])
+
+    x = once(number.cast("long"))
+    # fewer than a of a * b numbers are beyond n
+    walks = min(WALKS, a * b - n)
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(walks)), x, lambda s, _: F.when(s < n, s).otherwise(once(s))) if walks > 0 else x
+    return F.when(found < n, found).otherwise(F.raise_error(F.lit("no place found")).cast("long"))
+
+
 def location_id(name: Column) -> Column:
     """The first four bytes of the name's SHA-256, little-endian, without the sign bit. Null stays null."""
     h = F.sha2(name, 256)

@@ -2,18 +2,28 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from loadgrid.functions.scalars import coordinate_key
+from loadgrid.operators.running import bucket_of, running
 from loadgrid.operators.split_tree import nearest_of_few, nearest_points
 
 #: Points up to which the right side of a nearest match goes to all tasks (240 kB).
 FEW_POINTS = 10_000
 
 
-def with_location(spans: DataFrame, locations: DataFrame, key: str = "location_id") -> DataFrame:
-    """Spans with the columns of their location; spans of unknown locations go. The first row of a location wins."""
-    return spans.join(locations.dropDuplicates([key]), key)
+def first_of(rows: DataFrame, keys: list[str], order: list[str], columns: list[str] | None = None) -> DataFrame:
+    """The row of each keys that comes first by the given order, ties to the least values of the other columns."""
+    columns = columns or rows.columns
+    rest = [c for c in columns if c not in keys]
+    first = F.min(F.struct(*(F.col(c).alias(f"__o{k}") for k, c in enumerate(order)), *rest)).alias("__first")
+    return rows.groupBy(*keys).agg(first).select(*(c if c in keys else F.col("__first")[c].alias(c) for c in columns))
+
+
+def with_location(spans: DataFrame, locations: DataFrame, key: str = "location_id", order: list[str] | None = None) -> DataFrame:
+    """Spans with the columns of their location; spans of unknown locations go. Of several rows of a location the first by
+    order counts; without one that with the least values, column by column."""
+    return spans.join(first_of(locations, [key], order or [], [c for c in locations.columns if c not in (order or [])]), key)
 
 
 def with_weather(measurements: DataFrame, weather: DataFrame, key: str = "weather_location_id") -> DataFrame:
@@ -91,10 +101,10 @@ def compare_spans(left: DataFrame, right: DataFrame, atol: float = 1e-5) -> Data
 
     Both sides are spans (lat, lon, start_time, sample_interval_s, num_values, values); spans are matched by rank within their place.
     """
-    w = Window.partitionBy("key").orderBy("start_time", "num_values")
 
     def ranked(x: DataFrame, s: str) -> DataFrame:
-        rows = x.withColumn("key", coordinate_key(F.col("lat"), F.col("lon"))).withColumn("rank", F.row_number().over(w))
+        rows = x.withColumn("key", coordinate_key(F.col("lat"), F.col("lon"))).withColumn("__b", bucket_of(F.col("start_time"), 90 * 86400))
+        rows = running(rows, ["key"], "__b", ["start_time", "num_values"], sums={"rank": F.lit(1).cast("long")})
         return rows.select("key", "rank", *(F.col(c).alias(f"{c}_{s}") for c in ("start_time", "num_values", "sample_interval_s", "values")))
 
     a, b = ranked(left, "a"), ranked(right, "b")

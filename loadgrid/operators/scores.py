@@ -8,6 +8,11 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from loadgrid.operators.places import first_of
+from loadgrid.operators.resample import bare
+from loadgrid.operators.running import in_one_task
+from loadgrid.operators.selection import percentiles
+
 #: Fixed value: the weight of recall in the F score.
 BETA = 10.0
 ALL = ("crps", "mae", "precision", "recall", "fbeta", "ldn_monthly_mape", "odn_monthly_mape", "loss")
@@ -34,11 +39,18 @@ def crps(pairs: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def mae(pairs: DataFrame, keys: list[str], run: str = "run") -> DataFrame:
-    """(keys, quantile, mae): mean error over the range of the truth, per run, averaged over runs; missing values count as 0."""
-    zero = lambda c: F.coalesce(F.when(~F.isnan(c), F.col(c)), F.lit(0.0))
-    each = pairs.groupBy(*keys, run, "quantile").agg(
-        F.avg(F.abs(zero("truth") - zero("value"))).alias("e"), F.abs(F.percentile("truth", F.lit(0.99)) - F.percentile("truth", F.lit(0.01))).alias("range")
-    )
+    """(keys, quantile, mae): mean error over the range of the truth between its 0.01 and 0.99 quantiles, per run, averaged
+    over runs; missing values count as 0 in errors, and not in the range. A run may be of any length, see percentiles()."""
+    zero = lambda c: F.coalesce(bare(F.col(c)), F.lit(0.0))
+    group = [*keys, run, "quantile"]
+    error = F.avg(F.abs(zero("truth") - zero("value"))).alias("e")
+    low, high = 0.01, 0.99
+    if in_one_task(pairs):
+        truth = bare(F.col("truth"))
+        each = pairs.groupBy(*group).agg(error, F.abs(F.percentile(truth, F.lit(high)) - F.percentile(truth, F.lit(low))).alias("range"))
+    else:
+        ends = percentiles(pairs, group, "truth", {"__low": low, "__high": high})
+        each = pairs.groupBy(*group).agg(error).join(ends, group, "left").withColumn("range", F.abs(F.col("__high") - F.col("__low")))
     return each.groupBy(*keys, "quantile").agg(fine(F.avg(F.try_divide("e", "range"))).alias("mae"))
 
 
@@ -128,9 +140,10 @@ def last_days(rows: DataFrame, total: int, keep: int, pos: str = "pos") -> DataF
     return rows.where(F.col(pos) >= total - keep)
 
 
-def with_limits(rows: DataFrame, limits: DataFrame, key: str = "location") -> DataFrame:
-    """rows with limit and sign of their location, the first row of a location counting; null if it has none."""
-    return rows.join(limits.dropDuplicates([key]), key, "left")
+def with_limits(rows: DataFrame, limits: DataFrame, key: str = "location", order: list[str] | None = None) -> DataFrame:
+    """rows with limit and sign of their location, null if it has none. Of several rows of a location the first by order
+    counts; without one that with the least values, column by column."""
+    return rows.join(first_of(limits, [key], order or [], [c for c in limits.columns if c not in (order or [])]), key, "left")
 
 
 def for_sign(scores: DataFrame, limits: DataFrame, low: bool, key: str = "location") -> DataFrame:

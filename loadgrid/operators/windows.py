@@ -7,13 +7,15 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
-from loadgrid.functions.scalars import uniform
+from loadgrid.functions.scalars import shuffled, uniform
 from loadgrid.operators import intervals as iv
 from loadgrid.operators.ranks import with_rank
 from loadgrid.operators.resample import bare
 from loadgrid.operators.tables import written
 
 DAY = 86400
+#: What an epoch adds to a seed.
+EPOCH = 1_000_003
 #: For an interval in minutes, the least and most days of context; the days and intervals that are tried.
 CONTEXT_LIMITS = {5: (7, 10), 10: (7, 14), 15: (11, 32), 30: (16, 64), 60: (16, 64), 1440: (32, 364), 10080: (64, 364)}
 CONTEXT_DAYS, INTERVALS = (7, 10, 14, 16, 32, 64, 364), (5, 10, 15, 30, 60, 1440, 10080)
@@ -217,25 +219,41 @@ def target_times(starts: DataFrame, input_days: int, predict_days: int, days_ahe
     return starts.select(F.explode(F.sequence(first, first + (days_ahead * DAY // step - 1) * step, F.lit(step).cast("long"))).alias("ts")).distinct().orderBy("ts")
 
 
-def batches(rows: DataFrame, keys: list[str], size: int, world: int = 1, seed: int = 0, epoch: int = 0, shuffle: bool = True, drop_last: bool = False, features: str | None = None) -> DataFrame:
-    """rows with rank, batch and place: shuffled by a hash of seed, epoch and keys, dealt to world ranks in turn.
+def numbered_rows(rows: DataFrame, keys: list[str], name: str = "number") -> DataFrame:
+    """rows with a number from 0 in the order of keys, once for all epochs."""
+    return written(with_rank(rows, list(keys), name))
 
-    A batch has size rows of one rank; drop_last leaves out a rank's last, incomplete one. features: a column that must
-    be the same within a batch, else reading raises an error.
+
+def batches(rows: DataFrame, keys: list[str], size: int, world: int = 1, seed: int = 0, epoch: int = 0, shuffle: bool = True, drop_last: bool = False, features: str | None = None, number: str | None = None) -> DataFrame:
+    """rows with rank, batch and place: shuffled by seed and epoch, dealt to world ranks in turn.
+
+    The shuffle permutes row numbers (scalars.shuffled()), so that an epoch takes no sort. number: a column that
+    numbers rows from 0 without gaps, as numbered_rows() does; without one rows are numbered by keys. A batch has size
+    rows of one rank; drop_last leaves out a rank's last, incomplete one. features: a column that must be the same
+    within a batch, else reading raises an error.
     """
-    order = [uniform(seed + epoch * 1_000_003, *keys)] if shuffle else []
-    numbered = with_rank(rows, [*order, *map(F.col, keys)], "__n")
-    own = F.floor(F.col("__n") / world)
-    dealt = numbered.withColumns({"rank": (F.col("__n") % world).cast("int"), "batch": F.floor(own / size).cast("long"), "place": (own % size).cast("int")})
+    named = rows if number else numbered_rows(rows, keys, "__n")
+    n = named.count()
+    at = F.col(number or "__n")
+    dealt = named.withColumn("__at", shuffled(at, n, seed + epoch * EPOCH) if shuffle and n else at)
+    own = F.floor(F.col("__at") / world)
+    dealt = dealt.withColumns({"rank": (F.col("__at") % world).cast("int"), "batch": F.floor(own / size).cast("long"), "place": (own % size).cast("int")})
     if drop_last:
-        n = numbered.count()
         whole = F.floor((F.floor((F.lit(n) - 1 - F.col("rank")) / world) + 1) / size)
         dealt = dealt.where(F.col("batch") < whole)
     if features:
         mixed = dealt.groupBy("rank", "batch").agg((F.min(features) != F.max(features)).alias("__mixed"))
         dealt = dealt.join(mixed, ["rank", "batch"])
         dealt = dealt.withColumn("batch", F.when(F.col("__mixed"), F.raise_error(F.lit("a batch mixes numbers of features"))).otherwise(F.col("batch")).cast("long")).drop("__mixed")
-    return dealt.drop("__n")
+    return dealt.drop("__n", "__at")
+
+
+def one_batch(numbered: DataFrame, n: int, rank: int, batch: int, size: int, world: int = 1, seed: int = 0, epoch: int = 0, number: str = "number") -> DataFrame:
+    """The rows of one batch of batches() with their place, from numbered_rows() of n rows: the shuffle run backwards
+    gives the size numbers that it holds, and rows are looked up by these."""
+    places = numbered.sparkSession.range(size).select(F.col("id").cast("int").alias("place"), ((F.lit(batch) * size + F.col("id")) * world + rank).alias("__at")).where(F.col("__at") < n)
+    wanted = places.select("place", shuffled(F.col("__at"), n, seed + epoch * EPOCH, back=True).alias(number))
+    return numbered.join(F.broadcast(wanted), number)  # size rows
 
 
 def variates(windows: DataFrame, keys: list[str], features: dict[str, tuple[str, str]], target: str, predict: int) -> DataFrame:

@@ -93,6 +93,22 @@ FROM ({reached_sql('x0', f"(SELECT *, (a + z) // 2 AS m, low + (a + z) // 2 * ((
 {name} AS (SELECT {keys}, quantile, low + a * ((high - low) / {n - 1}) AS value FROM {name}_b WHERE k = {(n - 1).bit_length()})"""
 
 
+def shuffled_sql(name: str, rows: str, number: str, n: str, seed: int, rounds: int = 6) -> str:
+    """SQL, to follow WITH RECURSIVE, of scalars.shuffled(): rows (number, spot) with the place of each number among n."""
+
+    def once(src: str) -> str:
+        out = f"SELECT *, spot % a AS l, spot // a AS r FROM {src}"
+        for k in range(rounds):
+            own, other, base = ("l", "r", "a") if k % 2 == 0 else ("r", "l", "b")
+            moved = f"({own} + ('0x' || substr(md5('{seed}:{k}:' || {other}), 1, 12))::BIGINT % {base}) % {base}"
+            out = f"SELECT {number}, a, b, n, {other}, {moved} AS {own} FROM ({out})"
+        return f"SELECT {number}, a, b, n, r * a + l AS spot FROM ({out})"
+
+    return f"""{name}_0 AS (SELECT {number}, a, (n + a - 1) // a AS b, n, {number} AS spot FROM (SELECT {number}, (SELECT {n})::BIGINT AS n, (floor(sqrt((SELECT {n}) - 1)) + 1)::BIGINT AS a FROM {rows})),
+{name}_w AS ({once(f'{name}_0')} UNION ALL {once(f"(SELECT {number}, a, b, n, spot FROM {name}_w WHERE spot >= n)")}),
+{name} AS (SELECT {number}, spot FROM {name}_w WHERE spot < n)"""
+
+
 def place(key: Column, lat_step: int, lon_step: int) -> tuple[Column, Column]:
     return 50 + (key * lat_step % 400) / 100.0, 4 + (key * lon_step % 300) / 100.0
 

@@ -164,7 +164,38 @@ query("e2_type_counts", f"WITH {MEAS} SELECT measurement_type, count(*) AS n FRO
 query("e3_checked_cover", f"""WITH {EVENTS}, {samples_sql('user_id')} SELECT min(ts) AS first, max(ts) + 900 AS last, min(ts) - 86400 AS weather_first, max(ts) + 900 + 86400 AS weather_last FROM s""")(
     lambda s, d: (lambda sp: release.checked_cover(sp, sp.withColumns({"start_time": F.col("start_time") - 86400, "num_values": F.col("num_values") + 192})))(sq.spans(s, d, "user_id"))
 )
-query("e6_content_hash")(lambda s, d: release.content_hash(measurements(s, d).withColumn("source", F.lit("measurements"))))
+
+
+def _sums_sql(digest: str) -> str:
+    """SQL of the sums of a digest's limbs of 32 bits, the lowest first."""
+    return ", ".join(f"sum(('0x' || substr({digest}, {8 * (7 - k) + 1}, 8))::BIGINT)::HUGEINT AS l{k}" for k in range(8))
+
+
+def _wide_sql(rows: str) -> str:
+    """SQL that adds wide, the hexadecimal number of summed limbs modulo 2^256, limb after limb."""
+    out = f"SELECT *, 0::HUGEINT AS c0 FROM {rows}"
+    for k in range(8):
+        out = f"SELECT *, lower(lpad(to_hex(((l{k} + c{k}) % 4294967296)::BIGINT), 8, '0')) AS h{k}, (l{k} + c{k}) // 4294967296 AS c{k + 1} FROM ({out})"
+    return f"SELECT *, {' || '.join(f'h{k}' for k in range(7, -1, -1))} AS wide FROM ({out})"
+
+
+def sources(s, d):
+    """Measurements as two sources: of even and of odd locations."""
+    return measurements(s, d).withColumn("source", F.when(F.col("location_id") % 2 == 0, "even").otherwise("odd"))
+
+
+def added(s, d):
+    """The states of spans of the first days and of those that came later, put together."""
+    rows = sources(s, d)
+    both = release.merged_states(release.content_state(rows.where("start_time < 1705000000")), release.content_state(rows.where("start_time >= 1705000000")))
+    return release.with_wide(both).select("source", "n", "wide")
+
+
+_STATE = f"""{MEAS}, sv AS (SELECT location AS location_id, run, ts, CASE WHEN (ts // 900) % 7 = 0 THEN 'null' ELSE printf('%.9e', value::FLOAT::DOUBLE) END AS x FROM sr WHERE location IN (SELECT location_id FROM si)),
+sd AS (SELECT location_id, sha256(location_id || '|' || min(ts) || '|' || string_agg(x, ',' ORDER BY ts)) AS h FROM sv GROUP BY location_id, run),
+sw AS (SELECT CASE location_id % 2 WHEN 0 THEN 'even' ELSE 'odd' END AS source, count(*) AS n, {_sums_sql('h')} FROM sd GROUP BY 1)"""
+query("e6_content_hash", f"WITH {_STATE}, so AS (SELECT sha256(n || ':' || wide) AS h FROM ({_wide_sql('sw')})), al AS (SELECT {_sums_sql('h')} FROM so) SELECT wide AS hash FROM ({_wide_sql('al')})")(lambda s, d: release.content_hash(sources(s, d)))
+query("e6_added_spans", f"WITH {_STATE} SELECT source, n, wide FROM ({_wide_sql('sw')})")(added)
 query("a14_record_tables", f"""WITH {MEAS}, t AS (SELECT count(*) AS spans, sum(num_values)::BIGINT AS samples, sum(missing)::BIGINT AS missing, (sum(num_values) - sum(missing))::BIGINT AS valid FROM me)
 SELECT 'sensor_unit_counts' AS record, u AS key, (SELECT count(*) FROM ln WHERE sensor_unit = u)::VARCHAR AS value FROM (SELECT unnest(['P', 'I', 'X']) AS u)
 UNION ALL SELECT 'measurement_type_counts', measurement_type, count(*)::VARCHAR FROM ln GROUP BY measurement_type
@@ -185,11 +216,13 @@ query("a12_write_predictions", f"""WITH {EVENTS}, {samples_sql()} SELECT locatio
 
 
 def metric_log(s, d):
-    """Two iterations appended, one read again."""
+    """Two iterations appended, the second one twice, and read again."""
     path, names = folder(s, "metrics"), ["crps", "mae_0.5"]
     wide = sc.to_wide(scq.report(s, d), ["iteration", "location"], names)
     files.append_metrics(wide, path)
-    files.append_metrics(wide.withColumn("iteration", F.lit(2)).withColumn("crps", F.when(F.col("location") == "view", float("inf")).otherwise(F.col("crps"))), path)
+    later = wide.withColumn("iteration", F.lit(2)).withColumn("crps", F.when(F.col("location") == "view", float("inf")).otherwise(F.col("crps")))
+    for _ in range(2):  # as a rerun does
+        files.append_metrics(later, path)
     return files.read_metrics(s, path, 2, names).withColumnRenamed("mae_0.5", "mae")
 
 

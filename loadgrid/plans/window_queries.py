@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from loadgrid.operators import distributions as ds, intervals as iv, normalise as nm, places, resample as rs, windows as wn
-from loadgrid.plans.inputs import EVENTS, SETS, SITES, STATIONS, STEP, events, quantiles_sql, reached_sql, samples, samples_sql, set_all, sites, stations, sweep, table, uniform_sql
+from loadgrid.plans.inputs import EVENTS, SETS, SITES, STATIONS, STEP, events, quantiles_sql, reached_sql, samples, samples_sql, set_all, shuffled_sql, sites, stations, sweep, table, uniform_sql
 from loadgrid.plans.interval_queries import CLEAN, GAPS, coverage_sql
 from loadgrid.plans.series_queries import r5, r6
 
@@ -174,8 +174,12 @@ query("g16_applied", f"WITH {WIN}, {MASK} SELECT location, window_start, pos, ro
 query("g17_target_times", f"WITH {SETS} SELECT DISTINCT unnest(range(t0, t0 + 2 * 86400, 21600)) AS ts FROM (SELECT start - start % 86400 + 4 * 86400 AS t0 FROM w) ORDER BY 1")(
     lambda s, d: wn.target_times(set_all(s, d).select((F.col("start") - F.col("start") % 86400).alias("t")), 3, 2, 2, 21600)
 )
-query("g18_batches", f"""WITH n AS (SELECT event_id, 3::BIGINT AS n_features, row_number() OVER (ORDER BY {uniform_sql(1 + 2 * 1_000_003, 'event_id')}, event_id) - 1 AS k, count(*) OVER () AS whole FROM events)
-SELECT event_id, n_features, (k % 4)::INTEGER AS rank, k // 4 // 32 AS batch, (k // 4 % 32)::INTEGER AS place FROM n WHERE k // 4 // 32 < ((whole - 1 - k % 4) // 4 + 1) // 32""")(lambda s, d: wn.batches(events(s, d).select("event_id", (F.col("user_id") * 0 + 3).alias("n_features")), ["event_id"], 32, 4, 1, 2, drop_last=True, features="n_features"))
+_G18 = f"nu AS (SELECT event_id, row_number() OVER (ORDER BY event_id) - 1 AS number FROM events), {shuffled_sql('sh', 'nu', 'number', 'count(*) FROM events', 1 + 2 * wn.EPOCH)}"
+query("g18_batches", f"""WITH RECURSIVE {_G18}, k AS (SELECT event_id, spot, (SELECT count(*) FROM events) AS whole FROM nu JOIN sh USING (number))
+SELECT event_id, 3::BIGINT AS n_features, (spot % 4)::INTEGER AS rank, spot // 4 // 32 AS batch, (spot // 4 % 32)::INTEGER AS place FROM k WHERE spot // 4 // 32 < ((whole - 1 - spot % 4) // 4 + 1) // 32""")(lambda s, d: wn.batches(events(s, d).select("event_id", (F.col("user_id") * 0 + 3).alias("n_features")), ["event_id"], 32, 4, 1, 2, drop_last=True, features="n_features"))
+query("g18_one_batch", f"""WITH RECURSIVE {_G18} SELECT event_id, (spot // 4 % 32)::INTEGER AS place FROM nu JOIN sh USING (number) WHERE spot % 4 = 3 AND spot // 4 // 32 = 5""")(
+    lambda s, d: (lambda rows: wn.one_batch(rows, rows.count(), 3, 5, 32, 4, 1, 2).select("event_id", "place"))(wn.numbered_rows(events(s, d).select("event_id"), ["event_id"]))
+)
 query("g19_variates", f"""WITH {WIN}, x AS (SELECT t.window_start, l.location, p.pos FROM (SELECT DISTINCT window_start FROM v) t, (SELECT unnest({list(TYPES)}) AS location) l, (SELECT unnest(range(0, {N})) AS pos) p)
 SELECT x.window_start, x.location AS variate, x.pos, CASE WHEN x.location <> 'click' OR x.pos < {N - PREDICT} THEN round(value + 1.37e-8, 6) + 0.0 END AS value FROM x LEFT JOIN v ON v.window_start = x.window_start AND v.location = x.location AND v.pos = x.pos""")(
     lambda s, d: variates(wide(s, d))

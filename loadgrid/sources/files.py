@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from loadgrid.functions.scalars import to_unix
+from loadgrid.operators.places import first_of
 from loadgrid.operators.resample import bare
 
 STEM = r"([^/]+)\.(?:csv|parquet)$"
@@ -17,9 +18,17 @@ def read_series(spark: SparkSession, folder: str, time_col: str, target_col: str
     return rows.select(F.regexp_extract(F.col("_metadata.file_path"), location, 1).alias("location"), to_unix(F.col(time_col)).alias("ts"), bare(F.col(target_col).cast("double")).alias("value"))
 
 
-def with_catalogue(series: DataFrame, locations: DataFrame, name: str = "location") -> DataFrame:
-    """series with lon and lat by name; the first row of a name counts, an unknown name keeps nulls."""
-    return series.join(locations.dropDuplicates(["name"]).withColumnRenamed("name", name), name, "left")
+def read_catalogue(spark: SparkSession, path: str) -> DataFrame:
+    """(name, lon, lat, place) of a catalogue in CSV; place is a line's position: its file, then its offset in it."""
+    rows = spark.read.option("header", "true").schema("name string, lon double, lat double").csv(path)
+    return rows.withColumn("place", F.struct(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")))
+
+
+def with_catalogue(series: DataFrame, locations: DataFrame, name: str = "location", order: list[str] | None = None) -> DataFrame:
+    """series with lon and lat by name; an unknown name keeps nulls. Of several rows of a name the first by order counts,
+    such as place of read_catalogue(); without an order that with the least values."""
+    first = first_of(locations, ["name"], order or [], [c for c in locations.columns if c not in (order or [])])
+    return series.join(first.withColumnRenamed("name", name), name, "left")
 
 
 def read_descriptor(spark: SparkSession, path: str) -> DataFrame:
@@ -47,13 +56,21 @@ def write_predictions(forecast: DataFrame, path: str, levels: list[float], key:
     forecast.groupBy(key, "ts").pivot("quantile", levels).agg(F.first("value")).write.partitionBy(key).mode("overwrite").parquet(path)
 
 
-def append_metrics(wide: DataFrame, path: str) -> None:
-    """Appends wide metric rows, with a header in each file."""
-    wide.write.mode("append").option("header", "true").csv(path)
+def append_metrics(wide: DataFrame, path: str, run: str = "0") -> None:
+    """Adds the wide metric rows of some iterations of a run, with a header in each file.
 
-
-def read_metrics(spark: SparkSession, path: str, iteration: int, names: list[str]) -> DataFrame:
-    """(substation, names) of one iteration; infinite values are missing."""
-    fields = ", ".join(["iteration long", "location string", *(f"`{n}` double" for n in names)])
-    rows = spark.read.option("header", "true").schema(fields).csv(path).where(F.col("iteration") == iteration)
-    return rows.select(F.col("location").alias("substation"), *(F.when(F.abs(F.col(f"`{n}`")) != float("inf"), F.col(f"`{n}`")).alias(n) for n in names))
+    A run's iteration is a partition, and a partition that is written again replaces the old one: neither a rerun nor a
+    retried job doubles rows, and other iterations and runs stay. So all rows of an iteration come in one call.
+    """
+    named = wide.withColumn("run", F.lit(str(run)))
+    named.write.partitionBy("run", "iteration").mode("overwrite").option("partitionOverwriteMode", "dynamic").option("header", "true").csv(path)
+
+
+def read_metrics(spark: SparkSession, path: str, iteration: int, names: list[str], run: str | None = None) -> DataFrame:
+    """(substation, names) of one iteration, of one run if given; infinite values are missing. Only its partition is read."""
+    columns = ["location", *names]
+    rows = spark.read.option("header", "true").csv(path).where(F.col("iteration") == iteration)
+    if run is not None:
+        rows = rows.where(F.col("run") == str(run))
+    typed = rows.select(*(F.col(f"`{c}`").cast("string" if c == "location" else "double").alias(c) for c in columns))
+    return typed.select(F.col("location").alias("substation"), *(F.when(F.abs(F.col(f"`{n}`")) != float("inf"), F.col(f"`{n}`")).alias(n) for n in names))

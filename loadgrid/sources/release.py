@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from loadgrid.functions.scalars import UNITS
 from loadgrid.operators.resample import BUCKET, bare
+from loadgrid.operators.places import first_of
 from loadgrid.operators.running import bucket_of, running
 
+#: Wanted locations up to which each one's range of starts reaches the scan; beyond, one range for all.
+SEPARATE = 100
 META = ["location_id", "location_name", "lat", "lon", "sensor_unit", "measurement_type", "weather_location_id"]
 
 
@@ -26,19 +29,33 @@ def write_measurements(spans: DataFrame, path: str, coordinates: bool = True, fi
 
 
 def read_measurements(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """Spans and location metadata, the first row of a location counting. An empty release is an error."""
+    """Spans and location metadata, that of a location's first span by start counting. An empty release is an error."""
     rows = spark.read.parquet(path)
     if rows.isEmpty():
         raise ValueError("the release has no measurements")
-    meta = rows.select(*[c for c in META if c in rows.columns]).dropDuplicates(["location_id"])
+    meta = first_of(rows, ["location_id"], ["start_time"], [c for c in META if c in rows.columns])
     return rows.select("location_id", "start_time", "sample_interval_s", "num_values", "values"), meta
 
 
 def wanted_values(spark: SparkSession, path: str, locations: list[int], low: int, high: int) -> DataFrame:
-    """Spans of some locations that overlap [low, high): the filters reach the scan, and only their values are read."""
-    rows = spark.read.parquet(path).where(F.col("location_id").isin(locations) & (F.col("start_time") < high))
-    stop = F.col("start_time") + F.col("num_values") * F.col("sample_interval_s")
-    return rows.where(stop > low).select("location_id", "start_time", "sample_interval_s", "num_values", "values")
+    """Spans of some locations that overlap [low, high), in two phases.
+
+    The first reads metadata columns alone, with the filters pushed to the scan, and gives the files that hold wanted
+    spans and the range of their starts. The second reads values from these files only, and there only row groups and
+    pages whose statistics meet the starts of a wanted location: spans that end before low, which no statistic tells,
+    are not decoded for it.
+    """
+    rows = spark.read.parquet(path)
+    columns = ["location_id", "start_time", "sample_interval_s", "num_values", "values"]
+    overlap = F.col("location_id").isin(locations) & (F.col("start_time") < high) & (F.col("start_time") + F.col("num_values") * F.col("sample_interval_s") > low)
+    meta = rows.where(overlap).select("location_id", "start_time", F.col("_metadata.file_path").alias("file"))
+    # a row for each file, and one for each wanted location
+    found = meta.groupBy("location_id").agg(F.min("start_time").alias("a"), F.max("start_time").alias("b"), F.collect_set("file").alias("files")).collect()
+    if not found:
+        return rows.where("false").select(*columns)
+    files = sorted({f for r in found for f in r["files"]})
+    near = reduce(lambda x, y: x | y, [(F.col("location_id") == r["location_id"]) & F.col("start_time").between(r["a"], r["b"]) for r in found]) if len(found) <= SEPARATE else F.col("location_id").isin([r["location_id"] for r in found]) & F.col("start_time").between(min(r["a"] for r in found), max(r["b"] for r in found))
+    return spark.read.schema(rows.schema).parquet(*files).where(near & overlap).select(*columns)
 
 
 def to_weather_rows(wide: DataFrame, features: list[str], units: DataFrame, keys: list[str]) -> DataFrame:
@@ -75,12 +92,12 @@ def unit_counts(meta: DataFrame, spark: SparkSession | None = None) -> DataFrame
     """(sensor_unit, n): locations per unit, all units being listed."""
     spark = spark or meta.sparkSession
     listed = spark.createDataFrame([(u,) for u in UNITS], "sensor_unit string")
-    counts = meta.dropDuplicates(["location_id"]).groupBy("sensor_unit").agg(F.count("*").alias("n"))
+    counts = meta.groupBy("location_id").agg(F.min("sensor_unit").alias("sensor_unit")).groupBy("sensor_unit").agg(F.count("*").alias("n"))
     return listed.join(counts, "sensor_unit", "left").select("sensor_unit", F.coalesce("n", F.lit(0).cast("long")).alias("n"))
 
 
 def type_counts(meta: DataFrame) -> DataFrame:
-    return meta.dropDuplicates(["location_id"]).groupBy("measurement_type").agg(F.count("*").alias("n"))
+    return meta.groupBy("location_id").agg(F.min("measurement_type").alias("measurement_type")).groupBy("measurement_type").agg(F.count("*").alias("n"))
 
 
 def date_range(spans: DataFrame) -> DataFrame:
@@ -95,18 +112,61 @@ def checked_cover(measurements: DataFrame, weather: DataFrame) -> DataFrame:
     return both.withColumn("first", F.when(ok, F.col("first")).otherwise(F.raise_error(F.lit("weather does not cover the measurements"))).cast("long"))
 
 
-def content_hash(spans: DataFrame, source: str = "source", keys: tuple = ("location_id", "start_time")) -> DataFrame:
-    """(hash): one hash of all sources, whatever their order or partitioning.
+#: A digest of 256 bits as so many limbs of 32 bits, the lowest first.
+LIMBS = 8
+
+
+def _limbs(digest: Column) -> list[Column]:
+    return [F.conv(F.substring(digest, 8 * (LIMBS - 1 - k) + 1, 8), 16, 10).cast("decimal(20,0)") for k in range(LIMBS)]
+
+
+def _total(digest: Column) -> list[Column]:
+    return [F.sum(x).cast("decimal(38,0)").alias(f"l{k}") for k, x in enumerate(_limbs(digest))]
+
+
+def _wide(names: list[str]) -> Column:
+    """The hexadecimal number of summed limbs, modulo 2^256."""
+    base, carry, out = F.lit(2**32).cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)"), []
+    for n in names:
+        # what a limb holds beyond 32 bits goes on to the next one
+        t = (F.col(n) + carry).cast("decimal(38,0)")
+        out.append(F.lpad(F.lower(F.hex((t % base).cast("long"))), 8, "0"))
+        carry = F.floor(t / base).cast("decimal(38,0)")
+    return F.concat(*reversed(out))
 
-    Each span's values are hashed with its keys, by the text that stands for one float alone; a source's spans are hashed in order of their keys in two levels, so
-    that no task holds more than one location's hashes, nor a list longer than the number of locations.
+
+def content_state(spans: DataFrame, source: str = "source", keys: tuple = ("location_id", "start_time")) -> DataFrame:
+    """(source, n, l0, ...): number of spans of each source, and the sum of their SHA-256 digests in limbs of 32 bits.
+
+    A digest stands for a span's keys and values, these as float32 in ten digits. Sums don't depend on order, so that a
+    source is a partial aggregation whatever its size, and states of spans that come later are added with merged_states().
     """
-    text = F.transform("values", lambda v: F.coalesce(v.cast("string"), F.lit("null")))
-    each = spans.select(source, *keys, F.sha2(F.concat_ws("|", *(F.col(k).cast("string") for k in keys), F.concat_ws(",", text)), 256).alias("h"))
-    joined = lambda c: F.sha2(F.concat_ws("|", F.transform(F.array_sort(F.collect_list(F.struct(*c, "h"))), lambda s: s["h"])), 256).alias("h")
-    places = each.groupBy(source, keys[0]).agg(joined(keys[1:]))
-    sources = places.groupBy(source).agg(joined(keys[:1]))
-    return sources.agg(F.sha2(F.concat_ws("|", F.array_sort(F.collect_list("h"))), 256).alias("hash"))
+    text = F.transform("values", lambda v: F.when(v.isNull() | F.isnan(v), "null").otherwise(F.format_string("%.9e", v.cast("float").cast("double"))))
+    digest = F.sha2(F.concat_ws("|", *(F.coalesce(F.col(k).cast("string"), F.lit("null")) for k in keys), F.concat_ws(",", text)).cast("binary"), 256)
+    return spans.groupBy(source).agg(F.count("*").alias("n"), *_total(digest))
+
+
+def merged_states(*states: DataFrame, source: str = "source") -> DataFrame:
+    """States of disjoint sets of spans as that of all of them."""
+    whole = reduce(DataFrame.unionByName, states)
+    return whole.groupBy(source).agg(F.sum("n").alias("n"), *(F.sum(f"l{k}").cast("decimal(38,0)").alias(f"l{k}") for k in range(LIMBS)))
+
+
+def with_wide(state: DataFrame) -> DataFrame:
+    """state with wide, its sum as a hexadecimal number."""
+    return state.withColumn("wide", _wide([f"l{k}" for k in range(LIMBS)]))
+
+
+def hash_of_state(state: DataFrame) -> DataFrame:
+    """(hash): one hash of all sources: each source's sum modulo 2^256 and number of spans give a digest, and these are summed alike."""
+    names = [f"l{k}" for k in range(LIMBS)]
+    each = state.select(F.sha2(F.concat_ws(":", F.col("n").cast("string"), _wide(names)).cast("binary"), 256).alias("h"))
+    return each.agg(*_total(F.col("h"))).select(F.coalesce(_wide(names), F.lit("0" * 64)).alias("hash"))
+
+
+def content_hash(spans: DataFrame, source: str = "source", keys: tuple = ("location_id", "start_time")) -> DataFrame:
+    """(hash): one hash of the spans of all sources, whatever their names, order or partitioning: a multiset hash."""
+    return hash_of_state(content_state(spans, source, keys))
 
 
 def record_tables(spans: DataFrame, meta: DataFrame) -> DataFrame:
