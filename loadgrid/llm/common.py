@@ -18,6 +18,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """names, each with as many underscores more as it takes to be no column of df, whatever its case."""
+    have, found = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in have:
+            name += "_"
+        have.add(name.lower())
+        found.append(name)
+    return found
+
+
 def chunks(texts: pa.Array, most: int):
     """Slices of texts of about that many bytes, as (start, length)."""
     sizes = np.cumsum(pc.binary_length(texts).to_numpy(zero_copy_only=False))

@@ -18,7 +18,7 @@ from array import array
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from loadgrid.llm.common import written
+from loadgrid.llm.common import unused, written
 
 SLOTS = 4
 #: Entries of one task's index before it passes them on; bounds the memory of a task. In the second step, which passes
@@ -220,13 +220,14 @@ def without_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     from pyspark.sql import types as T
 
     at = docs.columns.index(text_col)
+    digest, keep, kept_digest = unused(docs, "__digest", "__keep", "__kept")
 
     def tag(batches):
         for b in _parts(batches):
             keys = [hashlib.sha256((t or "").encode("utf-8").lower()).digest() for t in b.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], names=[*b.schema.names, "__digest"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(keys, pa.binary())], names=[*b.schema.names, digest])
 
-    tagged = docs.mapInArrow(tag, T.StructType([*docs.schema.fields, T.StructField("__digest", T.BinaryType())]))
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col(id_col).alias("__keep"), F.unhex("text_sha256").alias("__kept"))
-    same = tagged[id_col].eqNullSafe(F.col("__keep")) & (F.col("__digest") == F.col("__kept"))
-    return tagged.join(kept, same, "left_semi").dropDuplicates([id_col, "__digest"]).drop("__digest")
+    tagged = docs.mapInArrow(tag, T.StructType([*docs.schema.fields, T.StructField(digest, T.BinaryType())]))
+    kept = exact_dedup(docs.select(id_col, text_col), id_col, text_col).where("kept").select(F.col(id_col).alias(keep), F.unhex("text_sha256").alias(kept_digest))
+    same = F.col(id_col).eqNullSafe(F.col(keep)) & (F.col(digest) == F.col(kept_digest))
+    return tagged.join(kept, same, "left_semi").dropDuplicates([id_col, digest]).drop(digest)

@@ -1,15 +1,18 @@
 """Mixing sources to target weights.
 
 Sizes are summed per source, each source gets a target share of all words, and target / size is its repetition rate.
-Every document is taken floor(rate) times, plus one copy drawn by a coin whose probability is the fraction. The coin is
-a hash of a seed and the document's id, so reruns and other partitionings draw alike.
+Every document is taken floor(rate) times, plus one copy with a probability equal to the fraction. The draws of a source
+are hash-seeded and systematic: its documents stand in order of size, and a document gets its copy where the running sum
+of fractions, from an offset that is a hash of seed and source, passes a whole number. So each document's copy is a
+Bernoulli draw of that probability, while the words that a source gives are within one document's size of its target,
+which independent coins miss by the root of the number of documents. Reruns and other partitionings draw alike.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from loadgrid.llm.common import SPACES
+from loadgrid.llm.common import SPACES, unused, written
 from loadgrid.operators.ranks import with_rank
 
 WEIGHTS = (5, 2, 1)
@@ -60,22 +63,41 @@ def source_targets(sizes: DataFrame, weights: tuple = WEIGHTS, max_repeats: int
 
 
 def mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
-    """docs with size, source_size, target and repeats, the number of times that the mix takes the row.
+    """(id_col, source, spot, size, source_size, target, repeats) for each row of docs: how often the mix takes it.
 
     A null text has size 0, a null source is a source of its own that comes last. Rows without a size are taken as often
-    as their source's rate says; in a source without any size, where no rate exists, never. Repeated rows with the same
-    id draw the same coin. Columns of docs that are named like the new ones are replaced. Sizes are summed before the shuffle; the per-source table is joined
-    as Spark chooses by its size.
+    as their source's rate says; in a source without any size, where no rate exists, never. Documents of one size stand
+    in the order of a hash of their ids. Rows that agree in id, source and text may be taken differently often; spot is
+    a hash of these three. Other columns have no effect. Sizes are summed before the shuffle; rows without texts are
+    put in order by ranges, so that a source with a third of all rows is many tasks' work.
     """
-    docs = docs.drop(*(c for c in ("size", "source_size", "target", "repeats") if c not in (id_col, text_col, source_col)))
-    docs = docs.withColumn("size", n_words(F.col(text_col).cast("string")))
-    sizes = docs.groupBy(F.col(source_col).cast("string").alias("source")).agg(F.sum("size").alias("source_size"))
-    targets = source_targets(sizes, weights, max_repeats).withColumnRenamed("source", "__source")
-    mixed = docs.join(targets, docs[source_col].cast("string").eqNullSafe(targets["__source"])).drop("__source")
+    source, text = F.col(source_col).cast("string"), F.col(text_col).cast("string")
+    rows = docs.select(F.col(id_col).alias("id"), source.alias("source"), spot_of(id_col, source_col, text_col).alias("spot"), n_words(text).alias("size"), F.monotonically_increasing_id().alias("row"))
+    targets = source_targets(rows.groupBy("source").agg(F.sum("size").alias("source_size")), weights, max_repeats).withColumnRenamed("source", "__source")
+    # a row's own number only tells rows apart that are alike
+    order = [F.col("source").isNull(), "source", "size", coin(seed, F.col("id")), F.col("id"), "spot", "row"]
+    ranked = with_rank(rows, order, "k")
+    mixed = ranked.join(targets, F.col("source").eqNullSafe(F.col("__source")))
     rate = F.coalesce(F.try_divide(F.col("target"), F.col("source_size")), F.lit(0.0))
-    return mixed.withColumn("repeats", (F.floor(rate) + F.when(coin(seed, F.col(id_col)) < rate - F.floor(rate), 1).otherwise(0)).cast("long"))
+    share = rate - F.floor(rate)
+    upto = lambda k: F.floor(k * share + coin(f"{seed}:source", F.col("source")))
+    repeats = (F.floor(rate) + upto(F.col("k") + 1) - upto(F.col("k"))).cast("long")
+    return mixed.select(F.col("id").alias(id_col), "source", "spot", "size", "source_size", "target", repeats.alias("repeats"))
 
 
-def expand(mixed: DataFrame) -> DataFrame:
-    """Each row of mix()'s result as often as the mix takes it."""
-    return mixed.where("repeats > 0").withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int"))))
+def spot_of(id_col: str, source_col: str, text_col: str) -> Column:
+    return F.xxhash64(F.col(id_col).cast("string"), F.col(source_col).cast("string"), F.col(text_col).cast("string"))
+
+
+def taken(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: tuple = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: str = SEED) -> DataFrame:
+    """Each row of docs as often as mix() takes it; columns, whatever their names, stay as they are.
+
+    Rows that agree in id, source and text are one document that occurs several times: one of them stands for all.
+    """
+    key, copies, rows, each = unused(docs, "__spot", "__copies", "__rows", "__copy")
+    drawn = mix(docs, id_col, text_col, source_col, weights, max_repeats, seed)
+    counts = written(drawn.groupBy(F.col("spot").alias(key)).agg(F.sum("repeats").alias(copies), F.count("*").alias(rows)).where(F.col(copies) > 0))
+    joined = docs.withColumn(key, spot_of(id_col, source_col, text_col)).join(counts, key)
+    if not counts.where(F.col(rows) > 1).isEmpty():
+        joined = joined.where(F.col(rows) == 1).unionByName(joined.where(F.col(rows) > 1).dropDuplicates([key]))
+    return joined.withColumn(each, F.explode(F.sequence(F.lit(1), F.col(copies).cast("int")))).select(*(F.col(f"`{c}`") for c in docs.columns))

@@ -26,7 +26,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F
 
-from loadgrid.llm.common import chunks, components, mixed, written
+from loadgrid.llm.common import chunks, components, mixed, unused, written
 
 BANDS, ROWS = 24, 4
 #: A pair at the threshold of 0.8 shares no band with probability (1 - 0.8**4)**24 = 3e-6.
@@ -270,6 +270,7 @@ def without_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str =
 
     Rows that repeat both id and text stay or go together. An empty table gives an empty result.
     """
-    kept = labelled(docs, id_col, text_col, width, percent).where("kept").select(F.col("id").alias("__keep"), F.col("spot").alias("__spot")).distinct()
-    same = docs[id_col].cast("long").eqNullSafe(F.col("__keep")) & (F.xxhash64(docs[text_col].cast("string")) == F.col("__spot"))
+    keep, spot = unused(docs, "__keep", "__spot")
+    kept = labelled(docs.select(id_col, text_col), id_col, text_col, width, percent).where("kept").select(F.col("id").alias(keep), F.col("spot").alias(spot)).distinct()
+    same = F.col(id_col).cast("long").eqNullSafe(F.col(keep)) & (F.xxhash64(F.col(text_col).cast("string")) == F.col(spot))
     return docs.join(kept, same, "left_semi")

@@ -18,7 +18,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
-from loadgrid.llm.common import chunks
+from loadgrid.llm.common import chunks, written
 
 CAPACITY = 2048
 OPEN_BINS = 4096
@@ -214,6 +214,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text
     are packed like any other, so every row of docs has its pieces. Other columns have no effect. An empty table gives
     an empty result.
     """
-    n_shards = max(1, round(docs.count() / pieces_per_shard))
-    packed = pack(pieces(docs, tokenizer, id_col, text_col, capacity), n_shards, capacity, open_bins)
+    # tokenized once; shards are counted by pieces, of which a long document has many
+    parts = written(pieces(docs, tokenizer, id_col, text_col, capacity))
+    packed = pack(parts, max(1, round(parts.count() / pieces_per_shard)), capacity, open_bins)
     return packed.withColumnRenamed("id", id_col)

@@ -96,9 +96,10 @@ f AS (SELECT arg_min(level, (most::DOUBLE / weight, rank)) AS level FROM l WHERE
 t AS (SELECT w.source, w.source_size, CASE WHEN f.level IS NULL OR w.most <= f.level * w.weight THEN w.most::DOUBLE ELSE f.level * w.weight END AS target
       FROM w CROSS JOIN f),
 x AS (SELECT d.doc_id, d.size, t.source_size, t.target, CASE WHEN t.source_size > 0 THEN t.target / t.source_size ELSE 0 END AS rate,
-             ('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS coin
+             ('0x' || substr(md5('mix:source:' || coalesce(d.source, 'null')), 1, 12))::BIGINT / 281474976710656.0::DOUBLE AS start,
+             row_number() OVER (ORDER BY d.source IS NULL, d.source, d.size, ('0x' || substr(md5('mix:' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 12))::BIGINT, d.doc_id) - 1 AS k
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
-SELECT doc_id, size, source_size, target, size * (floor(rate)::BIGINT + CASE WHEN coin < rate - floor(rate) THEN 1 ELSE 0 END) AS taken FROM x"""
+SELECT doc_id, size, source_size, target, size * (floor(rate) + floor((k + 1) * (rate - floor(rate)) + start) - floor(k * (rate - floor(rate)) + start))::BIGINT AS taken FROM x"""
 
 
 def _spans_sql(kind: str, pattern: str, group: int, least: int) -> str:

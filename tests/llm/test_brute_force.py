@@ -149,10 +149,11 @@ def brute_pipeline(rows, toxic, path):
     target |= {s: level * weight[s] for s in open_}
     t = Tokenizer.from_file(path)
     pieces = Counter()
-    for i, text, s in rows:
+    coin = lambda key: int(hashlib.md5(f"mix:{key}".encode()).hexdigest()[:12], 16) / 2**48
+    for k, (i, text, s) in enumerate(sorted(rows, key=lambda r: (r[2] is None, r[2] or "", n[r[0]], coin(r[0]), r[0]))):
         rate = target[s] / sizes[s] if sizes[s] else 0.0
-        coin = int(hashlib.md5(f"mix:{i}".encode()).hexdigest()[:12], 16) / 2**48
-        times = int(rate) + (coin < rate - int(rate))
+        upto = lambda k: math.floor(k * (rate - math.floor(rate)) + coin(f"source:{s}"))  # noqa: E731, B023
+        times = math.floor(rate) + upto(k + 1) - upto(k)
         ids = [*t.encode(text or "", add_special_tokens=False).ids, 0]
         first = (len(ids) - 1) % 2048 + 1
         cuts = [0, *range(first, len(ids) + 1, 2048)]
