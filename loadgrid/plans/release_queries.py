@@ -32,17 +32,25 @@ def folder(spark, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def raw_series(s, d, kind: str):
+def raw_series(s, d, kind: str, locators=lambda path: path):
     path = folder(s, "series")
     rows = events(s, d).select("event_type", F.col("ts").cast("timestamp").alias("time"), F.col("value").alias("load"))
     out = rows.write.partitionBy("event_type")
     out.parquet(path) if kind == "parquet" else out.option("header", "true").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").csv(path)
-    return files.read_series(s, path, "time", "load", kind, r"/event_type=([^/]+)/")
+    return files.read_series(s, locators(path), "time", "load", kind, r"/event_type=([^/]+)/")
 
 
 _RAW = f"WITH {EVENTS} SELECT event_type AS location, t AS ts, round(value + 1.37e-8, 6) + 0.0 AS value FROM e"
 query("a1_read_series_parquet", _RAW)(lambda s, d: raw_series(s, d, "parquet").withColumn("value", r6(F.col("value"))))
 query("a1_read_series_csv", _RAW)(lambda s, d: raw_series(s, d, "csv").withColumn("value", r6(F.col("value"))))
+
+
+def several_locators(path: str) -> list[str]:
+    """The folders of all event types by a URI where the path is local, by alternatives, and by letters."""
+    return [f"{path if '://' in path or path.startswith('file:') else 'file://' + path}/event_type=click", f"{path}/event_type={{view,error}}", f"{path}/event_type=[ps]*"]
+
+
+query("a15_locators", _RAW)(lambda s, d: raw_series(s, d, "csv", several_locators).withColumn("value", r6(F.col("value"))))
 query("a2_with_catalogue", f"WITH {SITES} SELECT c_name AS location, lon, lat FROM customer LEFT JOIN (SELECT replace(name, 'Supplier', 'Customer') AS n, lon, lat FROM si) ON n = c_name")(
     lambda s, d: files.with_catalogue(table(s, d, "customer").select(F.col("c_name").alias("location")), sites(s, d).select(F.replace("name", F.lit("Supplier"), F.lit("Customer")).alias("name"), "lon", "lat"))
 )

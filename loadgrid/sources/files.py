@@ -11,10 +11,21 @@ from loadgrid.operators.resample import bare
 STEM = r"([^/]+)\.(?:csv|parquet)$"
 
 
-def read_series(spark: SparkSession, folder: str, time_col: str, target_col: str, kind: str = "parquet", location: str = STEM) -> DataFrame:
-    """(location, ts, value) of a folder with one file or folder per location; location: a pattern of the path whose group is its name."""
-    reader = spark.read.option("recursiveFileLookup", "true")
-    rows = reader.parquet(folder) if kind == "parquet" else reader.option("header", "true").schema(f"`{time_col}` timestamp, `{target_col}` double").csv(folder)
+def located(*locators: str) -> list[str]:
+    """Locators as paths that Spark reads: s3: goes by the s3a file system; local paths, file:, globs and other file systems stay.
+
+    A web address raises an error: it can't be listed, nor read in ranges by many tasks.
+    """
+    for x in locators:
+        if x.startswith(("http://", "https://")):
+            raise ValueError(f"not on a file system: {x}")
+    return ["s3a://" + x.removeprefix("s3://") if x.startswith("s3://") else x for x in locators]
+
+
+def read_series(spark: SparkSession, folder: str | list[str], time_col: str, target_col: str, kind: str = "parquet", location: str = STEM) -> DataFrame:
+    """(location, ts, value) of folders, given by locators, with one file or folder per location; location: a pattern of the path whose group is its name."""
+    reader, paths = spark.read.option("recursiveFileLookup", "true"), located(*([folder] if isinstance(folder, str) else folder))
+    rows = reader.parquet(*paths) if kind == "parquet" else reader.option("header", "true").schema(f"`{time_col}` timestamp, `{target_col}` double").csv(paths)
     return rows.select(F.regexp_extract(F.col("_metadata.file_path"), location, 1).alias("location"), to_unix(F.col(time_col)).alias("ts"), bare(F.col(target_col).cast("double")).alias("value"))
 
 
@@ -35,7 +46,7 @@ def read_descriptor(spark: SparkSession, path: str) -> DataFrame:
     """(location_id, name, lat, lon, sign) of a descriptor in JSON; a name that is missing is the id."""
     place = T.StructType([T.StructField("name", T.StringType()), T.StructField("lon", T.DoubleType()), T.StructField("lat", T.DoubleType()), T.StructField("sign", T.StringType())])
     schema = T.StructType([T.StructField("locations", T.MapType(T.StringType(), place))])
-    rows = spark.read.schema(schema).option("multiLine", "true").json(path).select(F.explode("locations").alias("id", "p"))
+    rows = spark.read.schema(schema).option("multiLine", "true").json(located(path)).select(F.explode("locations").alias("id", "p"))
     return rows.select(F.col("id").cast("long").alias("location_id"), F.coalesce("p.name", "id").alias("name"), "p.lat", "p.lon", "p.sign")
 
 

@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from loadgrid.sources import buffer
+from loadgrid.sources import buffer, files
 
 
 def flat(spark, tmp_path, spans, count, width=3):
@@ -60,3 +60,13 @@ def test_flat_records_round_trip(spark, tmp_path):
     assert got[:4].tolist() == [5, 6, 4, 1] and np.isnan(got[4]) and got[5] == 3
     with pytest.raises(ValueError, match="gaps or overlap"):
         buffer.write_buffer(placed.where("start <> 7").select("id", "v"), f"{tmp_path}/gap.np", ["v"])
+
+
+def test_locators(spark, tmp_path):
+    for name in ("a", "b", "c"):
+        (tmp_path / f"{name}.csv").write_text(f"t,v\n2024-01-01 00:00:00,{ord(name)}\n")
+    read = lambda *paths: sorted((r.location, r.value) for r in files.read_series(spark, list(paths), "t", "v", "csv").collect())
+    assert read(f"file://{tmp_path}/a.csv", f"{tmp_path}/[bc].csv") == read(str(tmp_path)) == [("a", 97.0), ("b", 98.0), ("c", 99.0)]
+    assert files.located("s3://bucket/key", "hdfs://x/y") == ["s3a://bucket/key", "hdfs://x/y"]
+    with pytest.raises(ValueError, match="not on a file system"):
+        files.located("https://x/y")
