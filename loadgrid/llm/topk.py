@@ -18,8 +18,10 @@ from loadgrid.operators.tables import written
 
 #: Rows of a block at most, about: a salt splits larger cells.
 DATA_ROWS, QUERY_ROWS = 8192, 1024
-#: Blocks of data that one task searches in turn for a block of queries.
-BLOCKS_PER_TASK = 8
+#: Blocks of data that one task searches in turn for a group of queries.
+BLOCKS_PER_TASK = 2
+#: Blocks of queries that a block of data travels to together.
+QUERY_BLOCKS = 16
 #: Pivots are drawn from at most so many rows; they decide where rows go, not what is found. There is about one for each
 #: ROWS_PER_PIVOT rows, within these bounds.
 PIVOT_SAMPLE, PIVOTS, ROWS_PER_PIVOT = 4096, (16, 512), 4 * DATA_ROWS
@@ -209,40 +211,58 @@ FOUND = "query_row long, query_id long, vec_id long, score long, dim int, cell i
 
 
 def _search(k: int):
-    """One block of queries (side 0) against some of data (side 1); their present worst scores are in worst."""
+    """Some blocks of queries (side 0) against some of data (side 1), each with the queries' blocks that it is for; the
+    queries' present worst scores are in worst. A block's tree is made once."""
 
     def tree(row: dict) -> CoverTree:
         ids = np.frombuffer(row["ids"], np.int64)
         return CoverTree(np.frombuffer(row["data"], row["kind"]).astype(np.int64).reshape(len(ids), -1), ids)
 
     def run(rows: pa.Table) -> pa.Table:
-        rows = rows.sort_by([("side", "ascending"), ("d_cell", "ascending"), ("d_salt", "ascending")]).to_pylist()
-        queries = tree(rows[0])
-        best = Best(len(queries.ids), k)
-        best.worst[:] = -np.inf if rows[0]["worst"] is None else rows[0]["worst"]
-        for row in rows[1:]:
-            search(queries, tree(row), best)
-        n = [len(i) for i in best.ids]
-        places = np.frombuffer(rows[0]["rows"], np.int64)[queries.order]
-        cat = lambda parts, t: pa.array(np.concatenate(parts).astype(np.int64), t)
-        total = sum(n)
-        return pa.table({
-            "query_row": pa.array(np.repeat(places, n), pa.int64()), "query_id": pa.array(np.repeat(queries.ids, n), pa.int64()), "vec_id": cat(best.ids, pa.int64()), "score": cat(best.scores, pa.int64()),
-            "dim": pa.array([rows[0]["dim"]] * total, pa.int32()), "cell": pa.array([rows[0]["cell"]] * total, pa.int32()), "salt": pa.array([rows[0]["salt"]] * total, pa.int64()),
-        })
+        rows = rows.sort_by([("side", "ascending"), ("cell", "ascending"), ("salt", "ascending"), ("d_cell", "ascending"), ("d_salt", "ascending")]).to_pylist()
+        asking = {}
+        for row in rows:
+            if row["side"] == 0:
+                queries = tree(row)
+                best = Best(len(queries.ids), k)
+                best.worst[:] = -np.inf if row["worst"] is None else row["worst"]
+                asking[row["cell"], row["salt"]] = queries, best, row
+        for row in rows[len(asking) :]:
+            data = tree(row)
+            for q in row["wanted"]:
+                queries, best, _ = asking[q["cell"], q["salt"]]
+                search(queries, data, best)
+        parts = []
+        for queries, best, row in asking.values():
+            n = [len(i) for i in best.ids]
+            places = np.frombuffer(row["rows"], np.int64)[queries.order]
+            total = sum(n)
+            cat = lambda x: pa.array(np.concatenate(x).astype(np.int64), pa.int64())
+            parts.append(pa.table({
+                "query_row": pa.array(np.repeat(places, n), pa.int64()), "query_id": pa.array(np.repeat(queries.ids, n), pa.int64()), "vec_id": cat(best.ids), "score": cat(best.scores),
+                "dim": pa.array([row["dim"]] * total, pa.int32()), "cell": pa.array([row["cell"]] * total, pa.int32()), "salt": pa.array([row["salt"]] * total, pa.int64()),
+            }))
+        return pa.concat_tables(parts)
 
     return run
 
 
 def searched(pairs: DataFrame, queries: DataFrame, data: DataFrame, k: int) -> DataFrame:
-    """The k best of each query among the data of its block's pairs (dim, cell, salt, d_cell, d_salt, worst)."""
+    """The k best of each query among the data of its block's pairs (dim, cell, salt, d_cell, d_salt, worst).
+
+    Neighbouring blocks of queries form groups of QUERY_BLOCKS, and a task takes a group and BLOCKS_PER_TASK blocks of
+    data: a data block travels once for each group, whose queries are far smaller than it.
+    """
     payload = ["n", "ids", "rows", "data", "kind"]
-    tasks = pairs.withColumn("task", F.floor((F.row_number().over(Window.partitionBy("dim", "cell", "salt").orderBy("d_cell", "d_salt")) - 1) / BLOCKS_PER_TASK))
-    named = data.select("dim", F.col("cell").alias("d_cell"), F.col("salt").alias("d_salt"), *payload)
-    right = tasks.join(named, ["dim", "d_cell", "d_salt"]).withColumn("side", F.lit(1))
-    left = tasks.groupBy("dim", "cell", "salt", "task").agg(F.max("worst").alias("worst")).join(queries.select("dim", "cell", "salt", *payload), ["dim", "cell", "salt"])
-    left = left.withColumns({"side": F.lit(0), "d_cell": F.lit(-1), "d_salt": F.lit(-1).cast("long")})
-    return right.unionByName(left).groupBy("dim", "cell", "salt", "task").applyInArrow(_search(k), FOUND)
+    # windows over blocks, of which there is one for some thousand rows
+    groups = queries.select("dim", "cell", "salt", F.floor((F.row_number().over(Window.partitionBy("dim").orderBy("cell", "salt")) - 1) / QUERY_BLOCKS).alias("group"))
+    wanted = pairs.join(groups, ["dim", "cell", "salt"]).groupBy("dim", "group", "d_cell", "d_salt").agg(F.collect_list(F.struct("cell", "salt", "worst")).alias("wanted"))
+    tasks = written(wanted.withColumn("task", F.floor((F.row_number().over(Window.partitionBy("dim", "group").orderBy("d_cell", "d_salt")) - 1) / BLOCKS_PER_TASK)))
+    right = tasks.join(data.select("dim", F.col("cell").alias("d_cell"), F.col("salt").alias("d_salt"), *payload), ["dim", "d_cell", "d_salt"])
+    right = right.withColumns({"side": F.lit(1), "cell": F.lit(-1), "salt": F.lit(-1).cast("long"), "worst": F.lit(None).cast("double")})
+    left = tasks.select("dim", "group", "task", F.inline("wanted")).groupBy("dim", "group", "task", "cell", "salt").agg(F.max("worst").alias("worst"))
+    left = left.join(queries.select("dim", "cell", "salt", *payload), ["dim", "cell", "salt"]).withColumns({"side": F.lit(0), "d_cell": F.lit(-1), "d_salt": F.lit(-1).cast("long"), "wanted": F.lit(None).cast(tasks.schema["wanted"].dataType)})
+    return right.unionByName(left).groupBy("dim", "group", "task").applyInArrow(_search(k), FOUND)
 
 
 def bounded(pairs: DataFrame, keep: list[str]) -> DataFrame:
