@@ -191,7 +191,7 @@ def damaged(rows: DataFrame, conv: str = "conv_id", turn: str = "turn", role: st
 def _faults(ranked: DataFrame) -> DataFrame:
     """(rank, piece, conv, turn, initial, kind, fault): rows without their texts, faults found."""
     # role and text by 128 bits; the length keeps them apart
-    name = F.md5(F.concat(F.coalesce(F.col("conv").cast("string"), F.lit("null")), F.lit(":"), F.length("role").cast("string"), F.lit(":"), "role", "text").cast("binary"))
+    name = F.md5(F.concat(F.coalesce(F.concat(F.lit("="), F.col("conv").cast("string")), F.lit("null")), F.lit(":"), F.length("role").cast("string"), F.lit(":"), "role", "text").cast("binary"))
     bare = F.rtrim(F.col("text"), F.lit(" \t\n\x0b\x0c\r"))
     slim = written(ranked.select("rank", "conv", "turn", F.substring("role", 1, 1).alias("initial"), F.substring(bare, -1, 1).alias("end"), name.alias("name")))
     repeated = slim.groupBy("name").agg(F.min("rank").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")

@@ -123,6 +123,12 @@ def test_edges(spark):
     assert far.gaps is None and far.audit == "KK"
 
 
+def test_named_and_missing_conversations_are_apart(spark):
+    rows = spark.createDataFrame([("null", 0, "user", "A."), ("null", 1, "assistant", "B."), (None, 0, "user", "A."), (None, 1, "assistant", "B."), ("=null", 0, "user", "A.")], "conv string, turn long, role string, text string").selectExpr("*", "0 AS copy")
+    got = {r.conv_id: (r.duplicate, r.audit) for r in cv.report(rows, rows.select("conv")).collect()}
+    assert got == {"null": (0, "KK"), None: (0, "KK"), "=null": (0, "D")}
+
+
 def test_checkpointed_walk_is_the_least_of_the_cheapest():
     rng = random.Random(11)
     roles = ["system", "user", "assistant", "x"]
