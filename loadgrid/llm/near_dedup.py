@@ -31,8 +31,8 @@ from loadgrid.llm.common import chunks, components, mixed, unused, written
 BANDS, ROWS = 24, 4
 #: A pair at the threshold of 0.8 shares no band with probability (1 - 0.8**4)**24 = 3e-6.
 CHUNK_BYTES = 2_000_000
-#: Members that one task compares with a leader at a time.
-GROUP = 64
+#: Members that one task compares with a leader at a time, and bytes of their texts and of the leader's beside each.
+GROUP, GROUP_BYTES = 64, 32_000_000
 #: Places of candidates' texts are sent to all executors up to this many (24 MB), else joined by a shuffle.
 FEW_PLACES = 1_000_000
 EMPTY = np.uint64(2**64 - 1)
@@ -162,15 +162,29 @@ def _compare(width: int, apart: bool):
     return run
 
 
+def dealt(pairs: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(leader, member, part) of pairs (a, b), and (leader, parts); sizes are (node, bytes) of texts.
+
+    A part has about GROUP members, fewer of long texts: about GROUP_BYTES of theirs and of their leader's once for
+    each, since a member's difference can be as large as both. So no part grows with the input.
+    """
+    known = pairs.join(sizes, pairs["b"] == sizes["node"]).select("a", "b", "bytes")
+    sums = known.groupBy("a").agg(F.count("*").alias("n"), F.sum("bytes").alias("own"))
+    held = F.col("own") + F.col("n") * F.col("bytes")
+    parts = F.ceil(F.greatest(F.col("n") / GROUP, held / GROUP_BYTES)).alias("parts")
+    counts = sums.join(sizes, sums["a"] == sizes["node"]).select(F.col("a").alias("leader"), parts)
+    members = known.join(counts, F.col("a") == F.col("leader")).select("leader", F.col("b").alias("member"), F.pmod(F.xxhash64("b"), "parts").alias("part"))
+    return members, counts
+
+
 def compared(pairs: DataFrame, texts: DataFrame, width: int, apart: bool = False) -> DataFrame:
     """pairs (a, b) of nodes with n_a, n_b, common: the sizes of their full sets and of the intersection; with apart also the difference.
 
-    The pairs of an a are dealt into groups of about GROUP, each with a's text, so that no group grows with the input.
+    texts are (node, text, bytes). The pairs of an a are dealt into parts of bounded size, each with a's text.
     """
-    counts = pairs.groupBy("a").agg(F.ceil(F.count("*") / GROUP).alias("parts"))
-    dealt = pairs.join(counts, "a").select(F.col("a").alias("leader"), F.col("b").alias("member"), F.pmod(F.xxhash64("b"), "parts").alias("part"))
-    members = dealt.join(texts, dealt["member"] == texts["node"]).select("leader", "part", "member", "text")
-    leaders = counts.select(F.col("a").alias("leader"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    members, counts = dealt(pairs, texts.select("node", "bytes"))
+    members = members.join(texts, members["member"] == texts["node"]).select("leader", "part", "member", "text")
+    leaders = counts.select("leader", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
     leaders = leaders.join(texts, leaders["leader"] == texts["node"]).select("leader", "part", F.lit(None).cast("long").alias("member"), "text")
     return members.unionByName(leaders).groupBy("leader", "part").applyInArrow(_compare(width, apart), _COMPARED)
 
@@ -233,7 +247,7 @@ def labelled(docs: DataFrame, id_col: str, text_col: str, width: int, percent: i
     if wanted.count() <= FEW_PLACES:
         wanted = F.broadcast(wanted)
     texts = base.join(wanted, (F.col("spot") == F.col("at_spot")) & F.col("id").eqNullSafe(F.col("at_id")))
-    texts = written(texts.groupBy("node").agg(F.first("text").alias("text")))
+    texts = written(texts.groupBy("node").agg(F.first("text").alias("text")).withColumn("bytes", F.octet_length("text").cast("long")))
 
     is_link = F.expr(f"100 * common >= {percent} * (n_a + n_b - common)")
     first = written(compared(stars, texts, width, apart=True))

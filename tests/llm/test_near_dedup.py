@@ -26,9 +26,10 @@ def components_of(sets):
     return {k: find(k) for k in keys}
 
 
-@pytest.mark.parametrize("seed,words,edits", [(1, 150, 6), (3, 60, 9)])
-def test_a_hot_group_of_variants_between_links_and_none(spark, monkeypatch, seed, words, edits):
+@pytest.mark.parametrize("seed,words,edits,group_bytes", [(1, 150, 6, 32_000_000), (3, 60, 9, 2000)])
+def test_a_hot_group_of_variants_between_links_and_none(spark, monkeypatch, seed, words, edits, group_bytes):
     monkeypatch.setattr(near_dedup, "GROUP", 16)
+    monkeypatch.setattr(near_dedup, "GROUP_BYTES", group_bytes)
     rng = random.Random(seed)
     base = [f"w{i}" for i in range(words)]
     other = [*base[: words // 2], *(f"v{i}" for i in range(words // 2))]  # a second middle, half of it the first's
@@ -83,3 +84,20 @@ def test_recall_just_above_the_threshold(spark):
             pairs += 1
     got = {r.doc_id: r.component_id for r in near_dedup.near_groups(docs(spark, rows), width=4).collect()}
     assert pairs > 200 and sum(got[i] == i - 1 for i in got if i % 2) == pairs
+
+
+def test_parts_are_bounded_by_rows_and_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "GROUP", 50)
+    monkeypatch.setattr(near_dedup, "GROUP_BYTES", 1_000_000)
+    # leaders: 0 with short members, 10_000 with long ones, 20_000 a long one with short members, 30_000 alone with one of 5 MB
+    sizes = {0: 100, 10_000: 100, 20_000: 100_000, 30_000: 100} | {i: 100 for i in range(1, 1001)} | {10_000 + i: 50_000 for i in range(1, 1001)} | {20_000 + i: 10 for i in range(1, 301)} | {30_001: 5_000_000}
+    pairs = [(i // 10_000 * 10_000, i) for i in sizes if i % 10_000]
+    members, counts = near_dedup.dealt(spark.createDataFrame(pairs, "a long, b long"), spark.createDataFrame(list(sizes.items()), "node long, bytes long"))
+    held, parts = {}, {r.leader: r.parts for r in counts.collect()}
+    rows = members.collect()
+    assert sorted((r.leader, r.member) for r in rows) == sorted(pairs)
+    for r in rows:
+        held.setdefault((r.leader, r.part), []).append(sizes[r.member] + sizes[r.leader])
+    assert parts == {0: 20, 10_000: 51, 20_000: 31, 30_000: 6}
+    # a hash deals them: about even
+    assert all(len(x) < 2 * 50 and (sum(x) < 2.5 * 1_000_000 or len(x) == 1) for x in held.values())
