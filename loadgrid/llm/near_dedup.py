@@ -33,6 +33,8 @@ BANDS, ROWS = 24, 4
 CHUNK_BYTES = 2_000_000
 #: Members that one task compares with a leader at a time, and bytes of their texts and of the leader's beside each.
 GROUP, GROUP_BYTES = 64, 32_000_000
+#: A leader's members meet its number of parts in up to so many tasks.
+SALTS = 256
 #: Places of candidates' texts are sent to all executors up to this many (24 MB), else joined by a shuffle.
 FEW_PLACES = 1_000_000
 EMPTY = np.uint64(2**64 - 1)
@@ -168,12 +170,16 @@ def dealt(pairs: DataFrame, sizes: DataFrame) -> tuple[DataFrame, DataFrame]:
     A part has about GROUP members, fewer of long texts: about GROUP_BYTES of theirs and of their leader's once for
     each, since a member's difference can be as large as both. So no part grows with the input.
     """
-    known = pairs.join(sizes, pairs["b"] == sizes["node"]).select("a", "b", "bytes")
-    sums = known.groupBy("a").agg(F.count("*").alias("n"), F.sum("bytes").alias("own"))
+    salt = F.pmod(F.xxhash64("b", F.lit(0)), F.lit(SALTS)).alias("salt")
+    known = pairs.join(sizes, pairs["b"] == sizes["node"]).select("a", "b", "bytes", salt)
+    salted = known.groupBy("a", "salt").agg(F.count("*").alias("n"), F.sum("bytes").alias("own"))
+    sums = salted.groupBy("a").agg(F.sum("n").alias("n"), F.sum("own").alias("own"))
     held = F.col("own") + F.col("n") * F.col("bytes")
     parts = F.ceil(F.greatest(F.col("n") / GROUP, held / GROUP_BYTES)).alias("parts")
     counts = sums.join(sizes, sums["a"] == sizes["node"]).select(F.col("a").alias("leader"), parts)
-    members = known.join(counts, F.col("a") == F.col("leader")).select("leader", F.col("b").alias("member"), F.pmod(F.xxhash64("b"), "parts").alias("part"))
+    spread = salted.select("a", "salt").join(counts, F.col("a") == F.col("leader")).drop("a")
+    members = known.join(spread, (F.col("a") == F.col("leader")) & (known["salt"] == spread["salt"]))
+    members = members.select("leader", F.col("b").alias("member"), F.pmod(F.xxhash64("b"), "parts").alias("part"))
     return members, counts
 
 
