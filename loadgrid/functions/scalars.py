@@ -73,9 +73,14 @@ def location_id(name: Column) -> Column:
     return F.conv(little, 16, 10).cast("long").bitwiseAND(F.lit(2**31 - 1))
 
 
+def name_ids(names: DataFrame, name_col: str = "name", id_col: str = "location_id") -> DataFrame:
+    """Distinct names with their ids. Ids have 31 bits, so that of some 50,000 names two are likely to share one."""
+    return names.select(name_col).distinct().withColumn(id_col, location_id(F.col(name_col)))
+
+
 def checked_ids(names: DataFrame, name_col: str = "name", id_col: str = "location_id") -> DataFrame:
-    """Distinct names with their ids; raises if two names share an id."""
-    ids = names.select(name_col).distinct().withColumn(id_col, location_id(F.col(name_col)))
+    """name_ids(), raising if two names share an id: for uses that take ids as keys."""
+    ids = name_ids(names, name_col, id_col)
     bad = F.count("*").over(Window.partitionBy(id_col)) > 1
     return ids.withColumn("__bad", bad).select(name_col, F.when(F.col("__bad"), F.raise_error(F.concat(F.lit("two names share id "), F.col(id_col).cast("string")))).otherwise(F.col(id_col)).cast("long").alias(id_col))
 

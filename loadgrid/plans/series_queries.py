@@ -40,7 +40,7 @@ query("b1_unix_time", f"WITH {EVENTS} SELECT event_id, t, t - t % 86400 AS day_s
 HEX = "sha256(n)"
 _ID = f"(('0x' || substr({HEX}, 7, 2) || substr({HEX}, 5, 2) || substr({HEX}, 3, 2) || substr({HEX}, 1, 2))::BIGINT & 2147483647)"
 query("b2_location_id", f"SELECT n AS name, {_ID} AS location_id FROM (SELECT s_name AS n FROM supplier UNION SELECT c_name FROM customer)")(
-    lambda s, d: fn.checked_ids(table(s, d, "supplier").select(F.col("s_name").alias("name")).unionByName(table(s, d, "customer").select(F.col("c_name").alias("name"))))
+    lambda s, d: fn.name_ids(table(s, d, "supplier").select(F.col("s_name").alias("name")).unionByName(table(s, d, "customer").select(F.col("c_name").alias("name"))))
 )
 query("b3_pack", f"WITH {EVENTS} SELECT event_id, user_id * 4294967296 + t AS key, user_id AS location, t FROM e")(
     lambda s, d: events(s, d).select("event_id", fn.pack(F.col("user_id"), F.col("t")).alias("key")).select("event_id", "key", fn.packed_location(F.col("key")).alias("location"), fn.packed_time(F.col("key")).alias("t"))

@@ -25,6 +25,24 @@ def test_location_id_is_little_endian_sha(spark):
         assert one(spark, fn.location_id(F.lit(name))) == want
 
 
+def test_names_that_share_an_id_are_all_listed(spark):
+    import hashlib
+
+    first, pair = {}, None
+    for k in range(400_000):
+        name = f"Customer#{k:09d}"
+        i = int.from_bytes(hashlib.sha256(name.encode()).digest()[:4], "little") & (2**31 - 1)
+        if i in first:
+            pair = {(first[i], i), (name, i)}
+            break
+        first[i] = name
+    names = spark.createDataFrame([(n,) for n, _ in pair] * 2 + [("other",)], "name string")
+    got = {tuple(r) for r in fn.name_ids(names).collect()}
+    assert len(got) == 3 and pair <= got
+    with pytest.raises(Exception, match="share id"):
+        fn.checked_ids(names).collect()
+
+
 def test_stretch_is_aligned_at_the_corners(spark):
     v = [1.0, 3.0, None, 5.0, 9.0]
     assert one(spark, rs.stretch(F.col("v"), 5), v=v) == v
