@@ -43,8 +43,9 @@ def running(rows: DataFrame, keys: list[str], bucket: str, order: list[str], sum
     first = F.col("__place") == 1
     before = Window.partitionBy(*keys, F.when(~first, F.col(bucket)), first).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
     carried = local.withColumns({f"__{k}_before": F.when(first, f(F.col(f"__{k}_all")).over(before)) for k, (_, f, _) in enumerate(named)})
-    # the first row of a bucket hands on what it has got
-    got = [F.first(F.col(f"__{k}_before")).over(whole) for k in range(len(named))]
+    # the first row of a bucket hands on what it has got: the others have null there, and any row that ties with it may
+    # come first now
+    got = [F.first(F.col(f"__{k}_before"), True).over(whole) for k in range(len(named))]
     out = {}
     for k, (name, f, _) in enumerate(named):
         mine = F.col(f"__{k}_upto")

@@ -48,6 +48,18 @@ def test_running_over_buckets(spark):
             assert (r.s, r.m, r.l) == (sum(upto), max(upto, default=None), upto[-1] if upto else None)
 
 
+def test_running_past_buckets_that_begin_with_ties(spark):
+    """Any of the rows that begin a bucket together may come first after a shuffle."""
+    rows = [(k, 0, 5) for k in range(20)] + [(k, t, None) for k in range(20) for t in (100, 200, 300) for _ in range(20)]
+    df = spark.createDataFrame(rows, "k long, t long, v long").withColumn("b", F.floor(F.col("t") / 37)).repartition(4)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = running(df, ["k"], "b", ["t"], {"s": F.col("v")}, {"m": F.col("v")}, {"l": F.col("v")}).collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    assert len(found) == 1220 and all((r.s, r.m, r.l) == (5, 5, 5) for r in found)
+
+
 def test_sweeps_in_narrow_buckets(spark, monkeypatch):
     monkeypatch.setattr(iv, "BUCKET", 7)
     rng = random.Random(2)
