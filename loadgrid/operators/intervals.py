@@ -15,7 +15,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, functions as F
 
 from loadgrid.functions.scalars import location_id, uniform
-from loadgrid.operators.running import bucket_of, in_one_task, running
+from loadgrid.operators.running import bucket_of, in_one_task, running, tasks_of
 from loadgrid.operators.tables import written
 
 LOC, START, STOP = "location_id", "start", "stop"
@@ -33,25 +33,27 @@ def _events(x: DataFrame, **steps: int) -> DataFrame:
     return real.select(LOC, F.inline(ends))
 
 
-def _turns(events: DataFrame, counters: list[str], turn: Callable[[dict, dict, Column], tuple[Column, Column, Column]]) -> DataFrame:
-    """(location_id, t, begins): where a condition on running sums of counters begins or ends to hold.
+def _turns(events: DataFrame, counters: list[str], turn: Callable[[dict, dict, Column], tuple[Column, Column, Column]], times: int = 1) -> tuple[DataFrame, bool]:
+    """(location_id, t, begins): where a condition on running sums of counters begins or ends to hold; and whether they
+    are dealt by bucket too, as running() takes it. times: events of a row that Spark's estimate doesn't count.
 
     turn(before, own, previous) gets the sums before an event, what the event itself adds, and the time of the event
     before it, and gives whether there is a turn, its time, and whether the condition begins to hold.
     """
     dealt = events.withColumn("__b", bucket_of(F.col("t"), BUCKET))
     # dealt out once for the sums and the windows
-    dealt = dealt.repartition(LOC) if in_one_task(events) else dealt.repartition(LOC, "__b")
+    tasks, split = tasks_of(events, times), not in_one_task(events)
+    dealt = dealt.repartition(tasks, LOC, "__b") if split else dealt.repartition(tasks, LOC)
     net = dealt.groupBy(LOC, "__b", "t").agg(*(F.sum(c).alias(c) for c in counters)).where(" OR ".join(f"{c} <> 0" for c in counters))
     sums = {f"__{c}": F.col(c) for c in counters}
-    rows = running(net, [LOC], "__b", ["t"], sums=sums, lasts={"__previous": F.col("t")}, own=False)
+    rows = running(net, [LOC], "__b", ["t"], sums=sums, lasts={"__previous": F.col("t")}, own=False, tasks=tasks, dealt=split)
     there, t, begins = turn({c: F.col(f"__{c}") for c in counters}, {c: F.col(c) for c in counters}, F.col("__previous"))
-    return rows.where(there).select(LOC, "__b", t.cast("long").alias("t"), begins.alias("begins"))
+    return rows.where(there).select(LOC, "__b", t.cast("long").alias("t"), begins.alias("begins")), split
 
 
-def _held(turns: DataFrame) -> DataFrame:
+def _held(turns: DataFrame, split: bool) -> DataFrame:
     """The intervals between turns that begin and those that follow: each end knows the last beginning before it."""
-    found = running(turns, [LOC], "__b", ["t"], lasts={START: F.when(F.col("begins"), F.col("t"))}).where(~F.col("begins"))
+    found = running(turns, [LOC], "__b", ["t"], lasts={START: F.when(F.col("begins"), F.col("t"))}, dealt=split).where(~F.col("begins"))
     return found.select(LOC, START, F.col("t").alias(STOP))
 
 
@@ -70,7 +72,7 @@ def sweep(sets: list[DataFrame], keep: Callable[..., Column]) -> DataFrame:
     whatever the condition and however many sets. Sets need not be clean; keep must not hold where all numbers are 0."""
     names = [f"n{k}" for k in range(len(sets))]
     events = [_events(x, **{n: int(k == j) for j, n in enumerate(names)}) for k, x in enumerate(sets)]
-    return _held(_turns(reduce(DataFrame.unionByName, events), names, _where(keep)))
+    return _held(*_turns(reduce(DataFrame.unionByName, events), names, _where(keep)))
 
 
 def sweep_parts(sets: list[DataFrame], keeps: dict[str, Callable[..., Column]]) -> DataFrame:
@@ -88,8 +90,10 @@ def sweep_parts(sets: list[DataFrame], keeps: dict[str, Callable[..., Column]])
         changed = F.array_compact(F.array(*changes))
         return F.size(changed) > 0, F.col("t"), changed
 
-    turns = _turns(events, names, turn).select(LOC, "__b", "t", F.inline("begins"))
-    found = running(turns, ["part", LOC], "__b", ["t"], lasts={START: F.when(F.col("begins"), F.col("t"))}).where(~F.col("begins"))
+    turns, split = _turns(events, names, turn)
+    turns = turns.select(LOC, "__b", "t", F.inline("begins"))
+    # dealt by location, so by part and location too
+    found = running(turns, ["part", LOC], "__b", ["t"], lasts={START: F.when(F.col("begins"), F.col("t"))}, dealt=split).where(~F.col("begins"))
     return found.select("part", LOC, START, F.col("t").alias(STOP))
 
 
@@ -118,8 +122,8 @@ def clip(a: DataFrame, low: int | Column, high: int | Column) -> DataFrame:
 
 def invert(a: DataFrame) -> DataFrame:
     """The gaps of each location, with open ends at plus and minus 2**62."""
-    turns = _turns(_events(a, n=1), ["n"], _where(lambda x: x > 0))
-    before = running(turns, [LOC], "__b", ["t"], lasts={"ended": F.when(~F.col("begins"), F.col("t"))}).where("begins")
+    turns, split = _turns(_events(a, n=1), ["n"], _where(lambda x: x > 0))
+    before = running(turns, [LOC], "__b", ["t"], lasts={"ended": F.when(~F.col("begins"), F.col("t"))}, dealt=split).where("begins")
     gaps = before.select(LOC, F.coalesce("ended", F.lit(-FAR)).alias(START), F.col("t").alias(STOP))
     last = turns.groupBy(LOC).agg(F.max("t").alias(START)).select(LOC, START, F.lit(FAR).alias(STOP))
     return gaps.unionByName(last)
@@ -235,7 +239,7 @@ def covered_starts(a: DataFrame, length: int, least: int) -> DataFrame:
         crossed = F.when(now >= least, previous + (least - was)).otherwise(previous + (was - least) + 1)
         return (was >= least) != (now >= least), crossed, now >= least
 
-    return _held(_turns(events, ["d", "dt"], turn))
+    return _held(*_turns(events, ["d", "dt"], turn))
 
 
 def with_coverage(a: DataFrame, length: int, least: int, resolution: int) -> DataFrame:
@@ -248,7 +252,7 @@ def with_coverage(a: DataFrame, length: int, least: int, resolution: int) -> Dat
     events = a.select(LOC, F.inline(ends)).withColumn("s", F.explode(shifts)).select(LOC, (F.col("t") - F.col("s")).alias("t"), F.col("d").cast("long").alias("n"))
     wanted = round(least / resolution)
     if wanted > 0:
-        rows = _held(_turns(events, ["n"], _where(lambda n: n >= wanted)))
+        rows = _held(*_turns(events, ["n"], _where(lambda n: n >= wanted), max(1, round(length / resolution))))
     else:  # from the first event to the last
         rows = events.groupBy(LOC).agg(F.min("t").alias(START), F.max("t").alias(STOP))
     return union(a.select(LOC, START, (F.col(STOP) - least).alias(STOP)), rows.withColumn(STOP, F.col(STOP) + resolution + 1))

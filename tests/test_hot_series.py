@@ -99,6 +99,18 @@ def test_no_task_gets_a_whole_location(spark):
     assert windows and all(w.startswith("location_id") and "__b" in w for w in windows)
 
 
+@pytest.mark.parametrize("limit", [0, 2**40])
+def test_shuffles_of_a_series_state_their_partitions(spark, monkeypatch, limit):
+    """Else adaptive execution joins them by compressed size, and one task gets all events."""
+    monkeypatch.setattr(rn, "ONE_TASK", limit)
+    a = spark.range(100).select((F.col("id") % 5).alias("location_id"), (F.col("id") * 3600).alias("start"), (F.col("id") * 3600 + 1800).alias("stop"))
+    for found in (iv.clean(a), iv.invert(a), iv.with_coverage(a, 86400, 43200, 4320), iv.locate(a, a, "start")):
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        kinds = re.findall(r"Exchange hashpartitioning\(.*\), (\w+)", plan)
+        assert kinds and kinds.count("REPARTITION_BY_NUM") >= len(kinds) - ("max" in plan and "ended" in plan)
+    assert rn.tasks_of(a, 10**6) > rn.tasks_of(a)
+
+
 def test_spans_over_buckets(spark, monkeypatch):
     monkeypatch.setattr(rs, "BUCKET", 10)
     rng = random.Random(3)
