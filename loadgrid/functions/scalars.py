@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import hashlib
 import math
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 UNITS = ("P", "I", "X")
@@ -34,36 +37,61 @@ def uniform(seed: int, *keys) -> Column:
 ROUNDS, WALKS = 6, 64
 
 
-def _mixed(seed: int, k: Column, x: Column) -> Column:
-    """48 bits of an MD5 sum of seed, round and a number."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), k.cast("string"), x.cast("string"))), 1, 12), 16, 10).cast("long")
+#: Numbers of a side of the network up to which a task keeps the hashes that it has made (8 MB for each round).
+KEPT = 1 << 20
 
 
 def shuffled(number: Column, n: int, seed: int, back: bool = False) -> Column:
     """The place of a number from [0, n) in a shuffle of all of them; with back, the number at a place.
 
     A Feistel network over pairs (number % a, number // a) of about the root of n each: every round moves one of the two
-    by a hash of the other, which can be undone. Pairs beyond n are sent through it again until they are within, which
-    keeps it one to one. So a row's place takes no sort, and any batch can be read by itself.
+    by a hash of the other (48 bits of an MD5 sum of seed, round and number), which can be undone. Pairs beyond n are sent
+    through it again until they are within, which keeps it one to one. So a row's place takes no sort, and any batch can be
+    read by itself. A round has as many different hashes as the root of n, so they are made once a task.
     """
     a = max(1, math.isqrt(max(n - 1, 0)) + 1)
     b = max(1, -(-n // a))
-    rounds = F.sequence(F.lit(ROUNDS - 1), F.lit(0), F.lit(-1)) if back else F.sequence(F.lit(0), F.lit(ROUNDS - 1))
+    order = range(ROUNDS)[::-1] if back else range(ROUNDS)
     sign = -1 if back else 1
-
-    def step(s: Column, k: Column) -> Column:
-        moved = lambda own, other, base: F.pmod(s[own] + sign * F.pmod(_mixed(seed, k, s[other]), F.lit(base)), F.lit(base)).cast("long")
-        even = F.struct(moved("left", "right", a).alias("left"), s["right"].alias("right"))
-        return F.when(k % 2 == 0, even).otherwise(F.struct(s["left"].alias("left"), moved("right", "left", b).alias("right")))
-
-    def once(x: Column) -> Column:
-        return F.aggregate(rounds, F.struct(F.pmod(x, F.lit(a)).cast("long").alias("left"), F.floor(x / a).cast("long").alias("right")), step, lambda s: s["right"] * a + s["left"])
-
-    x = once(number.cast("long"))
-    # fewer than a of a * b numbers are beyond n
-    walks = min(WALKS, a * b - n)
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(walks)), x, lambda s, _: F.when(s < n, s).otherwise(once(s))) if walks > 0 else x
-    return F.when(found < n, found).otherwise(F.raise_error(F.lit("no place found")).cast("long"))
+    kept: dict[int, np.ndarray] = {}
+
+    def made(k: int, x: np.ndarray) -> np.ndarray:
+        return np.array([int(hashlib.md5(f"{seed}:{k}:{v}".encode()).hexdigest()[:12], 16) for v in x.tolist()], dtype=np.int64)
+
+    def mixed(k: int, x: np.ndarray) -> np.ndarray:
+        if max(a, b) > KEPT:
+            own, inverse = np.unique(x, return_inverse=True)
+            return made(k, own)[inverse]
+        known = kept.setdefault(k, np.full(max(a, b), -1, dtype=np.int64))
+        fresh = np.unique(x[known[x] < 0])
+        known[fresh] = made(k, fresh)
+        return known[x]
+
+    def once(x: np.ndarray) -> np.ndarray:
+        left, right = x % a, x // a
+        for k in order:
+            if k % 2 == 0:
+                left = (left + sign * (mixed(k, right) % a)) % a
+            else:
+                right = (right + sign * (mixed(k, left) % b)) % b
+        return right * a + left
+
+    def places(numbers: pa.Array) -> pa.Array:
+        if numbers.null_count:
+            raise ValueError("no place found")
+        x = once(numbers.to_numpy(zero_copy_only=False))
+        # fewer than a of a * b numbers are beyond n
+        for _ in range(min(WALKS, a * b - n)):
+            beyond = np.flatnonzero(x >= n)
+            if not len(beyond):
+                break
+            x[beyond] = once(x[beyond])
+        if (x >= n).any():
+            raise ValueError("no place found")
+        return pa.array(x)
+
+    # so declared, it is evaluated once, however often its column is used
+    return F.arrow_udf(places, "long").asNondeterministic()(number.cast("long"))
 
 
 def location_id(name: Column) -> Column:

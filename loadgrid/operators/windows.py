@@ -242,8 +242,8 @@ def batches(rows: DataFrame, keys: list[str], size: int, world: int = 1, seed: i
         whole = F.floor((F.floor((F.lit(n) - 1 - F.col("rank")) / world) + 1) / size)
         dealt = dealt.where(F.col("batch") < whole)
     if features:
-        mixed = dealt.groupBy("rank", "batch").agg((F.min(features) != F.max(features)).alias("__mixed"))
-        dealt = dealt.join(mixed, ["rank", "batch"])
+        own = Window.partitionBy("rank", "batch")  # size rows
+        dealt = dealt.withColumn("__mixed", F.min(features).over(own) != F.max(features).over(own))
         dealt = dealt.withColumn("batch", F.when(F.col("__mixed"), F.raise_error(F.lit("a batch mixes numbers of features"))).otherwise(F.col("batch")).cast("long")).drop("__mixed")
     return dealt.drop("__n", "__at")
 

@@ -43,6 +43,38 @@ def test_names_that_share_an_id_are_all_listed(spark):
         fn.checked_ids(names).collect()
 
 
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_densities_are_made_in_batches(spark):
+    rows = [(1, [(0.0, 1.0, 0.0), (0.0, 2.0, 3.0)]), (2, [(0.0, None, 1.0)]), (3, []), (4, None)]
+    df = spark.createDataFrame(rows, "k long, components array<struct<logpi:double,sigma:double,mu:double>>").withColumn("g", F.lit(1))
+    found = ds.densities(df, ["k"], ["g"], 5)
+    assert "MapInArrow" in _plan(found)
+    got = {(r.k, r.pos): (r.x, r.density) for r in found.collect()}
+    assert len(got) == 20
+    x, d = got[1, 2]
+    one_ = lambda m, s: math.exp(-(((x - m - 1e-6) / (s + 1e-6)) ** 2) / 2) / ((s + 1e-6) * math.sqrt(2 * math.pi))
+    assert d == pytest.approx((one_(0, 1) + one_(3, 2)) / 2, rel=1e-9)
+    assert all(got[3, p][1] == 0.0 and got[4, p][1] is None for p in range(5))
+
+
+def test_chosen_makes_the_forecast_once(spark):
+    made = spark.range(3).mapInArrow(lambda batches: batches, "id long").withColumn("quantile", F.explode(F.array(F.lit(0.1), F.lit(0.5))))
+    found = ds.chosen(made, [0.5])
+    assert "MapInArrow" not in _plan(found)
+    assert sorted(r.id for r in found.collect()) == [0, 1, 2]
+
+
+def test_a_batch_place_is_made_once(spark):
+    rows = spark.range(100).withColumn("f", F.lit(1))
+    found = wn.batches(rows, ["id"], 8, 2, 1, 0, drop_last=True, features="f")
+    assert _plan(found).count("ArrowEvalPython") == 1 and found.count() == 96
+    with pytest.raises(Exception, match="mixes"):
+        wn.batches(rows.withColumn("f", F.col("id") % 2), ["id"], 8, 2, 1, 0, features="f").collect()
+
+
 def test_stretch_is_aligned_at_the_corners(spark):
     v = [1.0, 3.0, None, 5.0, 9.0]
     assert one(spark, rs.stretch(F.col("v"), 5), v=v) == v
