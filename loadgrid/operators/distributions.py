@@ -9,7 +9,9 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F
+
+from loadgrid.operators.tables import written
 
 #: What is added to weights, means and deviations; the values of a grid between the bounds.
 EPS = 1e-6
@@ -25,32 +27,6 @@ def bounds(mixtures: DataFrame, group: list[str], components: str = "components"
     return ends.select(*group, (F.col("a") - (F.col("b") - F.col("a")) * pad).alias("low"), (F.col("b") + (F.col("b") - F.col("a")) * pad).alias("high"))
 
 
-def _weights(components: Column) -> tuple[Column, Column]:
-    """exp(logpi) plus eps of each component, and their sum."""
-    w = F.transform(components, lambda c: F.coalesce(F.exp(c["logpi"]), F.lit(0.0)) + EPS)
-    return w, F.aggregate(w, F.lit(0.0), lambda a, x: a + x)
-
-
-def density(components: Column, x: Column) -> Column:
-    """Density of a mixture at x."""
-    w, total = _weights(components)
-
-    def one(c: Column, p: Column) -> Column:
-        sigma = F.coalesce(c["sigma"], F.lit(0.0)) + EPS
-        z = (x - F.coalesce(c["mu"], F.lit(0.0)) - EPS) / sigma
-        return p / total * F.exp(-z * z / 2) / (sigma * math.sqrt(2 * math.pi))
-
-    return F.aggregate(F.zip_with(components, w, one), F.lit(0.0), lambda a, b: a + b)
-
-
-def densities(mixtures: DataFrame, keys: list[str], group: list[str], n: int = 50, components: str = "components") -> DataFrame:
-    """(keys, pos, x, density) on n values between the group's bounds."""
-    joined = mixtures.join(bounds(mixtures, group, components), group)
-    rows = joined.withColumn("pos", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    rows = rows.withColumn("x", F.col("low") + (F.col("high") - F.col("low")) * F.col("pos") / (n - 1))
-    return rows.select(*keys, "pos", "x", density(F.col(components), F.col("x")).alias("density"))
-
-
 _ERF = np.vectorize(math.erf, otypes=[float])
 
 
@@ -62,6 +38,14 @@ def cdf(weights: np.ndarray, sigma: np.ndarray, mu: np.ndarray, x: np.ndarray) -
     return (w[:, :, None] * 0.5 * (1 + _ERF(z / math.sqrt(2)))).sum(1)
 
 
+def density(weights: np.ndarray, sigma: np.ndarray, mu: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Density of mixtures (rows, components) at x (rows, points)."""
+    w = np.nan_to_num(weights) + EPS
+    sigma = np.nan_to_num(sigma)[:, :, None] + EPS
+    z = (x[:, None, :] - np.nan_to_num(mu)[:, :, None] - EPS) / sigma
+    return ((w / w.sum(1, keepdims=True))[:, :, None] * np.exp(-z * z / 2) / (sigma * math.sqrt(2 * math.pi))).sum(1)
+
+
 def _by_size(lists: pa.Array):
     """For each number of components: which rows have it, and their weights, deviations and means as (rows, components)."""
     sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(int)
@@ -123,12 +107,29 @@ def distributions(mixtures: DataFrame, keys: list[str], group: list[str], n: int
     return _on_bounds(mixtures, keys, group, components, each, "pos int, x double, reached double")
 
 
+def densities(mixtures: DataFrame, keys: list[str], group: list[str], n: int = 50, components: str = "components") -> DataFrame:
+    """(keys, pos, x, density) on n values between the group's bounds; a mixture without components has density 0."""
+
+    def each(lists, low, high):
+        x = low[:, None] + (high - low)[:, None] * np.arange(n) / max(n - 1, 1)
+        out = np.where(lists.is_null().to_numpy(zero_copy_only=False)[:, None], np.nan, np.zeros(x.shape))
+        for at, w, sigma, mu in _by_size(lists):
+            out[at] = density(w, sigma, mu, x[at])
+        return pa.array(np.tile(np.arange(n, dtype=np.int32), len(lists))), pa.array(x.ravel(), from_pandas=True), pa.array(out.ravel(), from_pandas=True)
+
+    return _on_bounds(mixtures, keys, group, components, each, "pos int, x double, density double")
+
+
 def chosen(forecast: DataFrame, levels: list[float], quantile: str = "quantile") -> DataFrame:
     """Rows of the wanted levels; reading it raises an error if the forecast lacks a level."""
     level = F.round(quantile, 6)
     wanted = [round(q, 6) for q in levels]
-    have = forecast.select(level.alias("q")).where(F.col("q").isin(wanted)).agg(F.sort_array(F.collect_set("q")).alias("have"))
+    if not wanted:
+        return forecast.where("false")
+    # read for the check and for the rows: a forecast takes long to make
+    rows = written(forecast.where(level.isin(wanted)))
+    have = rows.select(level.alias("q")).agg(F.sort_array(F.collect_set("q")).alias("have"))
     missing = F.array_except(F.array(*map(F.lit, wanted)), "have")
     # one row, at most one entry for each wanted level
     checked = have.select(F.when(F.size(missing) > 0, F.raise_error(F.concat(F.lit("forecast lacks quantiles "), missing.cast("string"))).cast("boolean")).otherwise(F.lit(True)).alias("__ok"))
-    return forecast.where(level.isin(wanted)).join(F.broadcast(checked), F.col("__ok"), "inner").drop("__ok") if wanted else forecast.where("false")
+    return rows.join(F.broadcast(checked), F.col("__ok"), "inner").drop("__ok")
