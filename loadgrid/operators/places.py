@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from loadgrid.functions.scalars import coordinate_key
 from loadgrid.operators.running import bucket_of, running
 from loadgrid.operators.split_tree import nearest_of_few, nearest_points
+from loadgrid.operators.tables import written
 
 #: Points up to which the right side of a nearest match goes to all tasks (240 kB).
 FEW_POINTS = 10_000
@@ -107,7 +108,8 @@ def compare_spans(left: DataFrame, right: DataFrame, atol: float = 1e-5) -> Data
         rows = running(rows, ["key"], "__b", ["start_time", "num_values"], sums={"rank": F.lit(1).cast("long")})
         return rows.select("key", "rank", *(F.col(c).alias(f"{c}_{s}") for c in ("start_time", "num_values", "sample_interval_s", "values")))
 
-    a, b = ranked(left, "a"), ranked(right, "b")
+    # read for places and for spans
+    a, b = written(ranked(left, "a")), written(ranked(right, "b"))
     places = a.select("key").distinct().withColumn("in_a", F.lit(1)).join(b.select("key").distinct().withColumn("in_b", F.lit(1)), "key", "full")
     shared = places.where("in_a = 1 AND in_b = 1").select("key")
     joined = a.join(b, ["key", "rank"], "full").join(shared, "key", "left_semi")

@@ -10,12 +10,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from loadgrid.operators.running import bucket_of, running
+from loadgrid.operators.running import bucket_of, in_one_task, running, tasks_of
+from loadgrid.operators.tables import written
 
 #: Values of a span at most: longer runs are cut, so that no row grows with a series.
 MOST_VALUES = 105_408
 #: Seconds of a series that one task looks at when it is cut into runs.
 BUCKET = 7 * 86400
+#: Steps that a bucket has at least: coarse series get wider ones.
+STEPS = 4096
 #: Window starts of a block that one task pools, and values that it sorts at a time.
 POOLED, CELLS = 65_536, 2_000_000
 
@@ -31,18 +34,57 @@ def to_spans(samples: DataFrame, step: int, keys: list[str], ts: str = "ts", val
     A run ends where the next sample isn't one step later, and after most values. Of several samples at one time the
     smallest counts.
     """
-    one = samples.groupBy(*keys, ts).agg(F.min(value).alias(value)).withColumn("__b", bucket_of(F.col(ts), BUCKET))
-    t = F.col(ts)
-    last = running(one, keys, "__b", [ts], maxes={"__before": t}, own=False)
-    begins = F.when(t - F.col("__before") == step, None).otherwise(t)
-    runs = running(last.withColumn("__begins", begins), keys, "__b", [ts], maxes={"__run": F.col("__begins")})
-    part = F.floor((t - F.col("__run")) / (step * most))
-    rows = runs.withColumn("__part", part).groupBy(*keys, "__run", "__part").agg(F.array_sort(F.collect_list(F.struct(ts, value))).alias("rows"))
-    return rows.select(
+    width = BUCKET * max(1, -(-step * STEPS // (7 * 86400)))
+    whole, tasks, t = in_one_task(samples), tasks_of(samples), F.col(ts)
+    dealt = samples.withColumn("__b", bucket_of(t, width))
+    # dealt out once for the values of a time, the runs and their lists
+    dealt = dealt.repartition(tasks, *keys) if whole else dealt.repartition(tasks, *keys, "__b")
+    one = dealt.groupBy(*keys, "__b", ts).agg(F.min(value).alias(value))
+    dealt_by = Window.partitionBy(*keys, *([] if whole else ["__b"])).orderBy(ts)
+    begun = one.withColumn("__begins", F.when(t - F.lag(ts).over(dealt_by) == step, None).otherwise(t))
+    runs = begun.withColumn("__run", F.max("__begins").over(dealt_by.rowsBetween(Window.unboundedPreceding, 0)))
+    rows = F.array_sort(F.collect_list(F.struct(ts, value))).alias("rows")
+    if whole:
+        lists = runs.withColumn("__part", F.floor((t - F.col("__run")) / (step * most))).groupBy(*keys, "__run", "__part").agg(rows)
+    else:
+        lists = _joined(runs.groupBy(*keys, "__b", "__run").agg(rows, F.max(ts).alias("__last")), step, keys, most, width)
+    return lists.select(
         *keys, F.col("rows")[0][ts].alias("start_time"), F.lit(step).alias("sample_interval_s"), F.size("rows").cast("long").alias("num_values"), F.transform("rows", lambda r: r[value]).alias("values")
     )
 
 
+def _joined(pieces: DataFrame, step: int, keys: list[str], most: int, width: int) -> DataFrame:
+    """(keys, rows): pieces of runs (keys, __b, __run, __last, rows), each within one bucket, put together and cut after most values.
+
+    Pieces that reach neither end of their bucket are whole. Of the others only places and ends go along the series.
+    """
+    low = F.col("__b") * width
+    reaches = (F.col("__run") - step < low) | (F.col("__last") + step >= low + width)
+    stored = written(pieces.withColumn("__edge", F.coalesce(reaches, F.lit(False))))
+
+    def cut(found: DataFrame, ahead: Column) -> DataFrame:
+        """Each piece as its parts, ahead being how many values of its run come before it."""
+        found = found.withColumn("__ahead", ahead)
+        upto = F.floor((F.col("__ahead") + F.size("rows") - 1) / most)
+        parts = found.withColumn("__part", F.explode(F.sequence(F.floor(F.col("__ahead") / most), upto)))
+        first = F.greatest(F.col("__part") * most - F.col("__ahead"), F.lit(0)).cast("int")
+        end = ((F.col("__part") + 1) * most - F.col("__ahead")).cast("int")
+        return parts.withColumn("rows", F.slice("rows", first + 1, end - first))
+
+    inner = cut(stored.where(~F.col("__edge")), F.lit(0).cast("long")).select(*keys, "rows")
+    edges = stored.where("__edge")
+    ends = edges.select(*keys, "__run", "__last", F.floor(F.col("__b") / STEPS).alias("__c"))
+    last = running(ends, keys, "__c", ["__run"], maxes={"__before": F.col("__last")}, own=False)
+    begins = F.when(F.col("__run") - F.col("__before") == step, None).otherwise(F.col("__run"))
+    placed = running(last.withColumn("__begins", begins), keys, "__c", ["__run"], maxes={"__whole": F.col("__begins")})
+    # keys may be null
+    same = [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys]
+    both = edges.alias("x").join(placed.alias("y"), [*same, F.col("x.__run") == F.col("y.__run")]).select("x.*", "y.__whole")
+    grouped = cut(both, F.floor((F.col("__run") - F.col("__whole")) / step)).groupBy(*keys, "__whole", "__part").agg(F.array_sort(F.flatten(F.collect_list("rows"))).alias("rows"))
+    # stored, since Spark takes a join for as large as the product of its sides
+    return inner.unionByName(written(grouped.select(*keys, "rows")))
+
+
 def to_samples(spans: DataFrame, keys: list[str]) -> DataFrame:
     """(keys, ts, value) of spans."""
     rows = spans.select(*keys, "start_time", "sample_interval_s", F.posexplode("values").alias("pos", "value"))

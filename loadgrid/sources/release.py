@@ -62,7 +62,8 @@ def to_weather_rows(wide: DataFrame, features: list[str], units: DataFrame, keys
     """Wide spans (keys, an array per feature) as one row per feature (keys, feature_name, feature_unit, values)."""
     each = F.array(*(F.struct(F.lit(f).alias("feature_name"), F.col(f).alias("values")) for f in features))
     rows = wide.select(*keys, F.inline(each))
-    return rows.join(units, "feature_name", "left").select(*keys, "feature_name", F.coalesce("feature_unit", F.lit("unknown")).alias("feature_unit"), "values")
+    # units have a row for each feature: a shuffle by feature would put all spans into a few tasks
+    return rows.join(F.broadcast(units), "feature_name", "left").select(*keys, "feature_name", F.coalesce("feature_unit", F.lit("unknown")).alias("feature_unit"), "values")
 
 
 def write_weather(wide: DataFrame, features: list[str], units: DataFrame, keys: list[str], path: str) -> None:
@@ -73,7 +74,7 @@ def from_weather_rows(rows: DataFrame, features: list[str], wanted: list[str] |
     """(key, start_time, num_values, an array per feature). A span that lacks a feature, has one twice, or has features
     of different lengths raises an error; features: all that the release has, in order."""
     chosen = [f for f in features if wanted is None or f in wanted]
-    checks = [F.count("*").alias("__n"), F.countDistinct("feature_name").alias("__f"), F.min("num_values").alias("__low"), F.max("num_values").alias("num_values")]
+    checks = [F.count("*").alias("__n"), F.size(F.collect_set("feature_name")).alias("__f"), F.min("num_values").alias("__low"), F.max("num_values").alias("num_values")]
     picked = [F.first(F.when(F.col("feature_name") == f, F.col("values")), ignorenulls=True).alias(f) for f in chosen]
     spans = rows.groupBy(key, "start_time").agg(*checks, *picked)
     bad = (F.col("__n") != len(features)) | (F.col("__f") != len(features)) | (F.col("__low") != F.col("num_values"))
