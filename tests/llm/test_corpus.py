@@ -600,6 +600,51 @@ def test_banded_edit_distance(spark, most):
     assert len(rows) > 200 and all(min(r.d, most + 1) == min(edit(r.a, r.b), most + 1) for r in got)
 
 
+def test_pairs_are_dealt_by_number(spark, monkeypatch):
+    """Lines are compared with their leader in as many tasks as their number asks for, however few bytes they have."""
+    monkeypatch.setattr(line_dedup, "TASK_PAIRS", 20, raising=False)
+    tasks, real = [], line_dedup.written
+
+    def seen(df):
+        if "apart" in df.columns:
+            tasks.append(df.rdd.getNumPartitions())
+        return real(df)
+
+    monkeypatch.setattr(line_dedup, "written", seen)
+    rng = random.Random(15)
+    line = "".join(rng.choice("abcdefgh ") for _ in range(80))
+    lines = [line, *sorted({line[:k] + c + line[k + 1 :] for k in range(80) for c in "0123"})]
+    of = line_dedup.lines_of(spark.createDataFrame(list(enumerate(lines)), "doc_id long, text string"))
+    assert line_dedup.links(line_dedup.distinct_lines(of), of)[0].count() >= len(lines) - 1
+    assert tasks[0] >= (len(lines) - 1) // 20
+
+
+def varied(rng, most, n, letters):
+    """Pairs of texts, a few edits from each other or not, with repeats in them."""
+    for _ in range(n):
+        a = "".join(rng.choice(letters) * rng.randrange(1, 4) for _ in range(rng.randrange(most, 16)))
+        x = list(a)
+        for _ in range(rng.randrange(most + 3)):
+            at = rng.randrange(len(x) + 1)
+            x[at : at + rng.randrange(2)] = rng.choice(["", *letters, "\U0001f600"])
+        yield a, "".join(x)
+
+
+@pytest.mark.parametrize("most", [1, 2, 3])
+def test_close_and_strays_match_the_edit_table(spark, most):
+    rng = random.Random(16)
+    rows = [(a, b) for a, b in varied(rng, most, 500, ["a", "b", "\u00e9"]) if min(len(a), len(b)) >= most]
+    table = spark.createDataFrame(rows, "line_a string, line_b string").repartition(4)
+    lost = line_dedup.strays(F.col("line_a"), F.col("line_b"), most)
+    got = table.select("line_a", "line_b", line_dedup._close(most, 8).alias("close"), lost.alias("lost")).collect()
+    assert len(got) == len(rows) > 400
+    for r in got:
+        a, b = r.line_a, r.line_b
+        assert r.close == (edit(a, b) <= min(most, max(len(a), len(b)) // 8))
+        assert r.lost.upto == next((k for k in range(min(len(a), len(b))) if a[k] != b[k]), min(len(a), len(b)))
+        assert r.lost.beyond == next((j for j in range(1, len(b) + 1) if min((edit(a[:i], b[:j]) for i in range(max(0, j - most), min(len(a), j + most) + 1)), default=most + 1) > most), None)
+
+
 def test_kept_lines(spark):
     rows = [(2, "the first long line here\nsame\n\nunique to two", ""), (1, "the first long line there\nsame", ""), (3, None, ""), (4, "", ""), (5, "same\nthe furst long line here", ""), (None, "same\nonly the null has this line", "")]
     got = {r.doc_id: r for r in line_dedup.kept_lines(docs(spark, rows)).collect()}
